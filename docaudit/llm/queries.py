@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import quality
+from docaudit.llm import lm, quality, sharding
 from docaudit.llm.common import table
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.minimax_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_ppm": op2_ppm,
+    "op5_sharding": op5_sharding,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
