@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import jaccard, lm, quality, sharding
+from docaudit.llm import jaccard, lm, mixing, quality, sharding
 from docaudit.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents")).drop("set_id")
 
@@ -27,7 +31,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ppm": op2_ppm,
     "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
