@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docaudit.llm import jaccard, lm, mixing, quality, sharding
+from docaudit.llm import jaccard, lm, mixing, quality, sharding, tokens
 from docaudit.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents")).drop("set_id")
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
+    "op8_tokens": op8_tokens,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
