@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docaudit.llm import jaccard, lm, mixing, quality, sharding, tokens
-from docaudit.llm.common import table
+from docaudit.llm import jaccard, lm, mixing, quality, sharding, tokens, toxicity
+from docaudit.llm.common import residue, table
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,14 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id", (residue("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -40,6 +49,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_tokens": op8_tokens,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
