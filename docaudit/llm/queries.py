@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import jaccard, lm, mixing, quality, sharding, tokens, toxicity
+from docaudit.llm import decontamination, jaccard, langid, lm, mixing, quality, sharding, tokens, toxicity
 from docaudit.llm.common import residue, table
 
 
@@ -13,6 +13,14 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ppm": op2_ppm,
+    "op3_decontamination": op3_decontamination,
+    "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
