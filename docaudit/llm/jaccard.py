@@ -2,12 +2,12 @@
 
 Exact: no link between two sets of similarity 0.8 or more is missed, and every link used is counted.
 
-1. Each text gives its set of shingle hashes. Equal sets collapse to one representative.
-2. The global order of shingles puts those with hash below SHARE of the range first, by how many texts
-   have them, then all others by hash. Two sets that must share t of n shingles share one among the
-   first n - t + 1 of each in any global order, so only these leading shingles are compared. Each text
-   hands on its low-hash shingles (more where that gives fewer than its n - t + 1). Most are found in
-   one text alone: they fill the leading places without a row.
+1. Each text gives its set of shingle hashes. Sets are known by a 64-bit id of their content.
+2. The global order of shingles is by class, then hash. The class is about the logarithm of how many
+   texts have the shingle: each task counts those that several of its texts share, the sums go into a
+   table of SLOTS slots by hash. A slot may hold several shingles; any order serves, a better one only
+   spares work. Two sets that must share t of n shingles share one among the first n - t + 1 of each,
+   so only these leading shingles are handed on, and of them those that some other set has too.
 3. Rows of a leading shingle are compared star-wise in rounds: each with one row of the shingle that
    belongs to another component so far, picked anew each round; sizes and places in the order must
    allow the overlap. Last, rows outside a shingle's largest component are compared with all rows that
@@ -16,7 +16,7 @@ Exact: no link between two sets of similarity 0.8 or more is missed, and every l
 4. Candidate pairs are counted by vertical partitioning: the order of hashes is cut into FRAGMENTS,
    each text's set into segments of these; overlaps of segments are counted apart and summed by pair.
 
-Sets are known by a 64-bit id of their content, so repeated and null document ids need no care.
+Ids of sets, not of documents, run through all this, so repeated and null document ids need no care.
 
 Defined results: null or blank text has an empty set and stands alone; rows with equal id take part
 as one document each; where all ids of a component are null its id is null; an empty table gives no
@@ -38,13 +38,14 @@ from docaudit.llm.components import components
 
 WIDTH = 5
 PERCENT = 80
-#: Part of the hash range whose shingles are counted and ordered by count.
-SHARE = 0.26
+#: Slots of the table of classes, 4 MB whatever the corpus, and the texts of a block that make a shingle count.
+SLOT_BITS = 22
+FREQUENT = 3
 FRAGMENTS = 8
 ROUNDS = 2
 #: Bits of the filter that spares texts without a candidate a second reading; more texts only blunt it.
 FILTER_BITS = 1 << 24
-SETS = "doc_id long, n long, sid long, early long, h array<long>"
+SETS = "doc_id long, n long, sid long, h array<long>"
 
 
 def required(n, percent: int = PERCENT):
@@ -52,9 +53,39 @@ def required(n, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def _sets(width: int, percent: int, low: np.uint64, wanted=None):
-    """Sets of texts: size, id, shingles with hash below low, and the leading hashes, or all of them for
-    texts that the filter `wanted` has. A task gives the hashes of equal sets once, then null."""
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _texts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for b in B.blocks(batch, "text"):
+        s, at = B.shingles(B.words(b.column("text")), width)
+        yield b, [np.unique(s[at[d] : at[d + 1]]) for d in range(b.num_rows)]
+
+
+def _frequent(width: int):
+    """Slots of shingles that FREQUENT or more different sets of a block have, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _texts(batch, width):
+                unlike = {(len(x), int(x.sum(dtype=np.uint64))): x for x in sets}
+                h, c = np.unique(np.concatenate([*unlike.values(), np.zeros(0, np.uint64)]), return_counts=True)
+                on = c >= FREQUENT
+                yield pa.RecordBatch.from_arrays([pa.array(_slot(h[on])), pa.array(h[on].view(np.int64)), pa.array(c[on])], names=["slot", "g", "c"])
+
+    return run
+
+
+def set_id(x: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        pair = B.mix(np.array([x.sum(dtype=np.uint64), len(x)], np.uint64)).sum(dtype=np.uint64, keepdims=True)
+        return int(B.mix(pair ^ B.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))[0])
+
+
+def _sets(width: int, percent: int, classes, wanted=None):
+    """Size and id of each text's set, with its leading hashes in order, or all hashes for texts that the
+    filter `wanted` has. A task gives the hashes of equal sets once, then null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -62,29 +93,24 @@ def _sets(width: int, percent: int, low: np.uint64, wanted=None):
             if wanted is not None:
                 at = batch.column("bit").to_numpy()
                 batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            for b in B.blocks(batch, "text"):
-                s, at = B.shingles(B.words(b.column("text")), width)
-                z = b.num_rows
-                sizes, ids, early, parts, ends, null = np.zeros(z, np.int64), np.zeros(z, np.uint64), np.zeros(z, np.int64), [], [0], np.zeros(z, bool)
-                for d in range(z):
-                    x = np.unique(s[at[d] : at[d + 1]])
-                    n = sizes[d] = len(x)
-                    with np.errstate(over="ignore"):
-                        pair = np.array([x.sum(dtype=np.uint64), n], np.uint64)
-                        ids[d] = B.mix(B.mix(pair).sum(dtype=np.uint64, keepdims=True) ^ B.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))[0]
-                    early[d] = np.searchsorted(x, low)
-                    null[d] = n == 0 or int(ids[d]) in given
-                    given.add(int(ids[d]))
-                    if null[d]:
+            for b, sets in _texts(batch, width):
+                ids, parts, null = [], [], []
+                for x in sets:
+                    n = len(x)
+                    i = set_id(x)
+                    ids.append(i)
+                    null.append(n == 0 or i in given)
+                    given.add(i)
+                    if null[-1]:
                         x = x[:0]
                     elif wanted is None:
-                        x = x[: max(int(early[d]), n - required(n, percent) + 1)]
+                        x = x[np.lexsort((x, classes.value[_slot(x)]))[: n - required(n, percent) + 1]]
                     parts.append(x)
-                    ends.append(ends[-1] + len(x))
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat.view(np.int64)), mask=pa.array(null))
+                ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+                flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)), mask=pa.array(np.array(null, bool)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(sizes), pa.array(ids.view(np.int64)), pa.array(early), lists], names=["doc_id", "n", "sid", "early", "h"]
+                    [b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(np.array(ids, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "sid", "h"]
                 )
 
     return run
@@ -108,29 +134,31 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def _leading(sets: DataFrame, low: int, percent: int) -> DataFrame:
-    """(g, sid, n, k): shingles in places k up to n - required + 1, those that some other set has too."""
-    rows = sets.where("h is not null").select("sid", "n", "early", F.explode("h").alias("g"))
-    first = (F.col("g") >= 0) & (F.col("g") < low)
-    often = rows.where(first).groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    kept = rows.join(often, "g", "left").where(F.col("df").isNotNull() | ~first).distinct()
-    by = Window.partitionBy("sid")
-    place = F.row_number().over(by.orderBy(F.col("df").asc_nulls_last(), F.expr("g < 0"), "g"))
-    lone = F.col("early") - F.count("df").over(by)
-    last = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    return kept.withColumn("k", place + lone).where(F.col("k") <= last).select("g", "sid", "n", "k")
+def frequency_classes(base: DataFrame, width: int) -> np.ndarray:
+    """The table of classes: at most as many rows come to the driver as it has slots."""
+    counts = base.select("text").mapInArrow(_frequent(width), "slot long, g long, c long").groupBy("slot", "g").agg(F.sum("c").alias("c"))
+    slots = counts.groupBy("slot").agg(F.max(F.floor(F.log2(F.col("c").cast("double")) * 2)).alias("k")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[slots["slot"].to_numpy()] = slots["k"].to_numpy()
+    return out
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of shingles that more than one row has."""
+    return rows.join(rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "g")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_id."""
     spark = docs.sparkSession
-    low = np.uint64(int(SHARE * 2**64))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = persisted(base.mapInArrow(_sets(width, percent, low), SETS), "sets")
-    lead = persisted(_leading(sets, int(low), percent), "leading")
-    shared = lead.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    rows = persisted(lead.join(shared, "g"), "leading")
-    removed(lead)
+    classes = spark.sparkContext.broadcast(frequency_classes(base, width))
+    sets = persisted(base.mapInArrow(_sets(width, percent, classes), SETS), "sets")
+    lead = sets.where("h is not null").select("sid", "n", F.posexplode("h").alias("k", "g")).withColumn("k", F.col("k") + 1)
+    # copies of a set in other tasks count as others at first
+    some = persisted(_shared(lead).distinct(), "leading")
+    rows = persisted(_shared(some), "leading")
+    removed(some)
 
     # whole sets of the texts that have a candidate, read again and cut into segments
     some = rows.select("sid").distinct()
@@ -139,7 +167,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = bits.groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toArrow()
     wanted = np.zeros(FILTER_BITS // 8, np.uint8)
     wanted[bits["at"].to_numpy()] = bits["v"].to_numpy().astype(np.uint8)
-    whole = base.select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(width, percent, low, spark.sparkContext.broadcast(wanted)), SETS)
+    whole = base.select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(width, percent, classes, spark.sparkContext.broadcast(wanted)), SETS)
     whole = whole.where("h is not null").join(some, "sid", "left_semi").dropDuplicates(["sid"])
     shift = 64 - (FRAGMENTS.bit_length() - 1)
     part = F.shiftrightunsigned(F.col("g"), shift)
