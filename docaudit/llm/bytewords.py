@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
