@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import decontamination, jaccard, langid, lm, mixing, quality, sharding, tokens, toxicity
+from docaudit.llm import decontamination, jaccard, langid, lm, mixing, quality, sharding, tokens, toxicity, warc
 from docaudit.llm.common import residue, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_ppm": op2_ppm,
     "op3_decontamination": op3_decontamination,
     "op4_langid": op4_langid,
