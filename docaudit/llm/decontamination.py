@@ -20,13 +20,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import persisted
-
 ERRORS = 10
 MIN_PIECE = 8
 BLOCK = 2_000_000
@@ -139,15 +136,37 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return x.mapInArrow(run, schema)
 
-    found, block, size = [], [], 0
+    out = None
+    for block in item_blocks(benchmark, item_col, item_text_col):
+        found = searched(block)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else searched([])
+
+
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
+    """Folded items in blocks of about `size` characters."""
+    block, held = [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         block.append((r["i"], fold(r["t"])))
-        size += len(r["t"])
-        if size >= BLOCK:
-            found.append(persisted(searched(block), "hits"))
-            block, size = [], 0
-    found.append(searched(block))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        held += len(r["t"])
+        if held >= size:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """The rows of docs in which no item occurs within its budget; one pass for each block of items."""
+    spark, out = docs.sparkSession, docs
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+    for block in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Matcher(block, errors))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not m.find(fold(t.as_py())) for t in b.column("text")], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
     return out

@@ -212,3 +212,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         F.col("sid").alias("set_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; of rows with equal id and text one
+    stays. Rows without an id stay where no id is in their component."""
+    best = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    best = best.select(key.alias("__key")).distinct()
+    found = docs.withColumns({"__key": key, "__text": F.xxhash64("text")}).join(best, "__key", "left_semi")
+    return found.dropDuplicates(["__key", "__text"]).select(*docs.columns)

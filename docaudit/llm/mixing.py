@@ -75,27 +75,46 @@ def rake(cells: DataFrame, temper: dict[str, float], given: dict[str, dict[str,
     return x.select(*DIMENSIONS, "tokens", "weight", *[f"t_{d}" for d in DIMENSIONS])
 
 
+def _named(id_col: str, text_col: str, source_col: str, lang_col: str) -> dict[str, Column]:
+    """A document's cell, tokens and draw, under names that no table of documents has."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return {
+        "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
+        "__topic": topic_of(text), "__tokens": F.greatest(F.size(F.array_remove(F.split(text, SPACE, -1), "")), F.lit(1)).cast("long"),
+        "__draw": draw_of(F.col(id_col), F.col(text_col)),
+    }
+
+
+def _weights(named: DataFrame, temper: dict[str, float] | None, given: dict | None, share: float, sweeps: int) -> DataFrame:
+    """__source, __lang, __topic, weight, probability of every cell of the named documents."""
+    cells = named.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens"))
+    done = persisted(calibrate(rake(cells, temper or TEMPER, given, sweeps), share), "weights")
+    return done.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("weight").alias("__weight"), F.col("probability").alias("__probability"))
+
+
+CELL = [f"__{d}" for d in DIMENSIONS]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
         temper: dict[str, float] | None = None, given: dict | None = None, share: float = 0.6, sweeps: int = SWEEPS) -> DataFrame:
     """One row for each document: doc_id, source, lang, topic, n_tokens, weight (raked over raw tokens of
     its cell), probability, draw, kept, text_digest."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), topic_of(text).alias("topic"),
-        F.greatest(F.size(F.array_remove(F.split(text, SPACE, -1), "")), F.lit(1)).cast("long").alias("n_tokens"),
-        draw_of(F.col(id_col), F.col(text_col)).alias("draw"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_digest"),
-    )
-    small = persisted(named, "mixing")
-    cells = small.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(cells, temper or TEMPER, given, sweeps)
-    raked = persisted(calibrate(raked, share), "weights")
-    return small.join(raked.drop("tokens", *[f"t_{d}" for d in DIMENSIONS]), list(DIMENSIONS)).select(
-        "doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"),
-        F.round("draw", 9).alias("draw"), (F.col("draw") < F.col("probability")).alias("kept"), "text_digest",
+    named = _named(id_col, text_col, source_col, lang_col)
+    small = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in named.items()], F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_digest"))
+    small = persisted(small, "mixing")
+    return small.join(_weights(small, temper, given, share, sweeps), CELL).select(
+        "doc_id", *[F.col(f"__{d}").alias(d) for d in DIMENSIONS], F.col("__tokens").alias("n_tokens"), F.round("__weight", 6).alias("weight"),
+        F.round("__probability", 6).alias("probability"), F.round("__draw", 9).alias("draw"), (F.col("__draw") < F.col("__probability")).alias("kept"), "text_digest",
     )
 
 
+def sampled(docs: DataFrame, temper: dict[str, float] | None = None, given: dict | None = None, share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
+    """The rows of docs that the calibrated draw keeps."""
+    named = docs.withColumns(_named("doc_id", "text", "source", "lang"))
+    cells = _weights(named.select(*CELL, "__tokens"), temper, given, share, sweeps)
+    return named.join(cells, CELL).where("__draw < __probability").select(*docs.columns)
+
+
 def calibrate(raked: DataFrame, share: float) -> DataFrame:
     """Adds ratio = weight / tokens as `weight` and the probability min(1, c ratio), with c such that the
     expected tokens are `share` of all. With the cells in descending ratio, the first m have probability
