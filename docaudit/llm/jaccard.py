@@ -11,7 +11,7 @@ Exact: no link between two sets of similarity 0.8 or more is missed, and every l
 3. Rows of a leading shingle are compared star-wise in rounds: each with one row of the shingle that
    belongs to another component so far, picked anew each round; sizes and places in the order must
    allow the overlap. Last, rows outside a shingle's largest component are compared with all rows that
-   are still in other components. Within a component nothing more is compared, so large groups of near
+   are still in other components, if they share enough leading shingles. Within a component nothing more is compared, so large groups of near
    copies cost a few rounds, not all pairs.
 4. Candidate pairs are counted by vertical partitioning: the order of hashes is cut into FRAGMENTS,
    each text's set into segments of these; overlaps of segments are counted apart and summed by pair.
@@ -42,7 +42,7 @@ PERCENT = 80
 SLOT_BITS = 22
 FREQUENT = 3
 FRAGMENTS = 8
-ROUNDS = 2
+ROUNDS = 3
 #: Bits of the filter that spares texts without a candidate a second reading; more texts only blunt it.
 FILTER_BITS = 1 << 24
 SETS = "doc_id long, n long, sid long, h array<long>"
@@ -117,10 +117,22 @@ def _sets(width: int, percent: int, classes, wanted=None):
 
 
 def _fits(percent: int):
-    """Sizes allow the similarity, and so do a shingle's places k and ok in the order: the overlap is at
-    most what stands before, with it, and after in the set with less room."""
-    most = F.least("k", "ok") + F.least(F.col("n") - F.col("k"), F.col("on") - F.col("ok"))
-    return (100 * F.least("n", "on") >= percent * F.greatest("n", "on")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("on")))
+    """Sizes allow the similarity."""
+    return 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
+
+
+def _first(percent: int):
+    """A shingle in places k and ok may be the first that the sets share: with what follows it in the set
+    with less room, the overlap is enough. Of two similar sets their first shared shingle passes."""
+    return (100 + percent) * (1 + F.least(F.col("n") - F.col("k"), F.col("on") - F.col("ok"))) >= percent * (F.col("n") + F.col("on"))
+
+
+def _enough(c: str, percent: int):
+    """The number of leading shingles that two sets share allows the similarity: past the end of the leading
+    ones of either set, no more can follow than that set has left."""
+    need = F.ceil(percent * (F.col("n") + F.col("on")) / (100 + percent))
+    left = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    return F.col(c) >= need - F.greatest(left("n"), left("on"))
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -148,6 +160,15 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "g")
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Adds the pair in the order of ids and the sum of its sizes; n and on follow that order."""
+    turned = F.col("sid") > F.col("o")
+    return rows.withColumns({
+        "a": F.least("sid", "o"), "b": F.greatest("sid", "o"), "both": F.col("n") + F.col("on"),
+        "n": F.when(turned, F.col("on")).otherwise(F.col("n")), "on": F.when(turned, F.col("n")).otherwise(F.col("on")),
+    })
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_id."""
     spark = docs.sparkSession
@@ -181,18 +202,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = now.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
         now = persisted(now.join(mixed, "g", "left_semi"), "open")
         if turn < ROUNDS:
-            pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("n", "sid")
+            # first the row whose set has least of its own before the shingle, which lies nearest to the
+            # middle of a group; then others, by a number that changes with the round
+            pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("k", "sid")
             star = now.groupBy("g").agg(F.min_by(F.struct("sid", "n", "k", "c"), pick).alias("s"))
             pairs = now.join(star, "g").where("c <> s.c").select("sid", "n", "k", F.col("s.sid").alias("o"), F.col("s.n").alias("on"), F.col("s.k").alias("ok"))
+            pairs = _pairs(pairs.where(_fits(percent) & _first(percent))).select("a", "b", "both").distinct()
         else:
             main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
             apart = now.join(main, "g").where("c <> main")
             other = now.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
             meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent)
-            pairs = apart.join(other, "g").where(meet).select("sid", "n", "k", "o", "on", "ok")
-        pairs = pairs.where(_fits(percent)).select(
-            F.least("sid", "o").alias("a"), F.greatest("sid", "o").alias("b"), (F.col("n") + F.col("on")).alias("both")
-        ).distinct()
+            pairs = _pairs(apart.join(other, "g").where(meet).withColumn("first", _first(percent)))
+            pairs = pairs.groupBy("a", "b", "both", "n", "on").agg(F.count("*").alias("shared"), F.bool_or("first").alias("first"))
+            pairs = pairs.where(F.col("first") & _enough("shared", percent)).select("a", "b", "both")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = persisted(pairs, "pairs")
