@@ -36,8 +36,8 @@ from docaudit.llm.common import new_path, partitions
 END_ID = 1
 #: Chunks end where the hash has MASK_BITS zero bits, after at least LEAST ids and at most MOST.
 MASK_BITS, LEAST, MOST, WINDOW = 9, 64, 4096, 32
-#: Words whose ids a worker keeps; a full table starts anew.
-HELD_WORDS = 400_000
+#: Words whose ids a worker keeps; a full table becomes the old one, from which words used again come back.
+HELD_WORDS = 500_000
 _GEAR = np.random.default_rng(20240301).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 _WORD = re.compile(r"[^ \t\n\r\f\x0b]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
@@ -59,16 +59,19 @@ def encoder(path: str) -> Callable[[str], bytes]:
     letters = str.maketrans({b: _BYTE[b] or spare[b] for b in range(256)})
     word_wise = "</w>" == (tok.model.end_of_word_suffix or "")
     held: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
     def whole(word: str) -> bytes:
         return np.array(tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def fresh(word: str) -> bytes:
+        if word in old:
+            return old[word]
         m = _PLAIN.fullmatch(word) if word_wise else None
         if not m:
             return whole(word)
         stem, marks = m[1], m[2]
-        out = held.get(stem) if marks else None
+        out = held.get(stem) or old.get(stem) if marks else None
         if out is None:
             text = stem.lower()
             mapped = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
@@ -80,6 +83,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
         if not word_wise:
             return whole(text)
         if len(held) > HELD_WORDS:
+            old.clear()
+            old.update(held)
             held.clear()
         words = _WORD.findall(text)
         for w in set(words).difference(held):
