@@ -4,7 +4,10 @@ Items and texts are folded (lower case, every run of other than letters and digi
 of m characters may occur with up to k = m * ERRORS // 100 edits; cut into k + 1 pieces, at least one
 piece of any such occurrence stands in the text unchanged. An Aho-Corasick automaton of all pieces
 finds these, and Myers' bit-parallel algorithm takes the least edit distance of the item to any
-substring around the hit. All hits are verified, so no occurrence within the budget is missed.
+substring around the hit. Chance hits end early: pieces are leaves of a binary tree in which a node of
+L pieces may have L - 1 edits, and an occurrence within the budget has a leaf all of whose ancestors
+keep to theirs, so a hit is tried on its ancestors first, the smallest one first. All hits are tried, so
+no occurrence within the budget is missed.
 
 Items are a query set against all rows. They are read in blocks of at most BLOCK characters, one pass
 of the texts for each, so what a task holds has a size that doesn't depend on the benchmark.
@@ -73,14 +76,27 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def ancestors(leaf: int, leaves: int) -> list[tuple[int, int]]:
+    """Ranges of leaves of the nodes above a leaf, the smallest first, the root (the whole item) left out."""
+    out, a, b = [], 0, leaves
+    while b - a > 1:
+        out.append((a, b))
+        mid = (a + b) // 2
+        a, b = (a, mid) if leaf < mid else (mid, b)
+    return out[:0:-1]
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], errors: int = ERRORS, piece: int = MIN_PIECE):
         self.items = [(i, t, budget(len(t), errors, piece)) for i, t in items if t]
-        self.parts: dict[str, list[tuple[int, int]]] = {}
+        self.parts: dict[str, list[tuple[int, int, list[tuple[str, int, int]]]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for off, p in pieces(t, k):
+            cut = pieces(t, k)
+            ends = [off for off, _ in cut] + [len(t)]
+            for leaf, (off, p) in enumerate(cut):
                 if p:
-                    self.parts.setdefault(p, []).append((n, off))
+                    above = [(t[ends[a] : ends[b]], ends[a] - off, b - a - 1) for a, b in ancestors(leaf, k + 1)]
+                    self.parts.setdefault(p, []).append((n, off, above))
         self.machine = None
 
     def __getstate__(self) -> dict:
@@ -100,11 +116,14 @@ class Matcher:
         best: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}
         for end, (size, of) in self.machine.iter(text):
-            for n, off in of:
+            here = end - size + 1
+            for n, off, above in of:
                 _, item, k = self.items[n]
-                start = end - size + 1 - off
+                start = here - off
                 if n in best and best[n][0] == 0 or tried.get(n, -1) >= start:
                     continue
+                if any(myers(node, text[max(0, here + at - e) : here + at + len(node) + e])[0] > e for node, at, e in above):
+                    continue
                 # hits of one alignment differ by at most k, so the window covers those up to k further
                 lo, hi = max(0, start - k), start + len(item) + 2 * k
                 tried[n] = start + k
