@@ -83,29 +83,21 @@ def set_id(x: np.ndarray) -> int:
         return int(B.mix(pair ^ B.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))[0])
 
 
-def _sets(width: int, percent: int, classes, wanted=None):
-    """Size and id of each text's set, with its leading hashes in order, or all hashes for texts that the
-    filter `wanted` has. A task gives the hashes of equal sets once, then null."""
+def _sets(width: int, percent: int, classes):
+    """Size and id of each text's set, with its leading hashes in order. A task gives the hashes of equal
+    sets once, then null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
-            if wanted is not None:
-                at = batch.column("bit").to_numpy()
-                batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for b, sets in _texts(batch, width):
                 ids, parts, null = [], [], []
                 for x in sets:
-                    n = len(x)
-                    i = set_id(x)
+                    n, i = len(x), set_id(x)
                     ids.append(i)
                     null.append(n == 0 or i in given)
                     given.add(i)
-                    if null[-1]:
-                        x = x[:0]
-                    elif wanted is None:
-                        x = x[np.lexsort((x, classes.value[_slot(x)]))[: n - required(n, percent) + 1]]
-                    parts.append(x)
+                    parts.append(x[:0] if null[-1] else x[np.lexsort((x, classes.value[_slot(x)]))[: n - required(n, percent) + 1]])
                 ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
                 flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)), mask=pa.array(np.array(null, bool)))
@@ -116,6 +108,28 @@ def _sets(width: int, percent: int, classes, wanted=None):
     return run
 
 
+def _segments(width: int, wanted):
+    """Whole sets of the texts that the filter has, cut where the order of hashes is cut."""
+    cuts = np.array([i * (2**64 // FRAGMENTS) for i in range(1, FRAGMENTS)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for _, sets in _texts(batch, width):
+                ids, parts = [], []
+                for x in sets:
+                    ids.append(set_id(x))
+                    parts += np.split(x, np.searchsorted(x, cuts))
+                ends = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(ids, np.uint64), FRAGMENTS).view(np.int64)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(ids))), lists], names=["sid", "f", "h"]
+                )
+
+    return run
+
+
 def _fits(percent: int):
     """Sizes allow the similarity."""
     return 100 * F.least("n", "on") >= percent * F.greatest("n", "on")
@@ -136,14 +150,12 @@ def _enough(c: str, percent: int):
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs (a, b) -> (a, b, n): overlaps of the segments (sid, f, h) counted by fragment, then summed."""
+    """pairs (a, b) -> (a, b, n): overlaps of the segments (sid, f, h) counted by fragment, then summed.
+    Segments of a set may come more than once, from copies of the text."""
     left = segments.select(F.col("sid").alias("a"), "f", F.col("h").alias("ha"))
     right = segments.select(F.col("sid").alias("b"), "f", F.col("h").alias("hb"))
-    return (
-        pairs.join(left, "a").join(right, ["b", "f"])
-        .select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("n"))
-        .groupBy("a", "b").agg(F.sum("n").alias("n"))
-    )
+    counted = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "f", F.size(F.array_intersect("ha", "hb")).cast("long").alias("n"))
+    return counted.groupBy("a", "b", "f").agg(F.max("n").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def frequency_classes(base: DataFrame, width: int) -> np.ndarray:
@@ -181,19 +193,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = persisted(_shared(some), "leading")
     removed(some)
 
-    # whole sets of the texts that have a candidate, read again and cut into segments
-    some = rows.select("sid").distinct()
+    leads = persisted(rows.groupBy("sid").agg(F.collect_list("g").alias("h")), "leads")
+    ones = persisted(sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "ones")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = sets.select("doc_id", "sid").join(some, "sid", "left_semi").select(bit.alias("b"))
-    bits = bits.groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toArrow()
-    wanted = np.zeros(FILTER_BITS // 8, np.uint8)
-    wanted[bits["at"].to_numpy()] = bits["v"].to_numpy().astype(np.uint8)
-    whole = base.select("doc_id", "text", bit.alias("bit")).mapInArrow(_sets(width, percent, classes, spark.sparkContext.broadcast(wanted)), SETS)
-    whole = whole.where("h is not null").join(some, "sid", "left_semi").dropDuplicates(["sid"])
-    shift = 64 - (FRAGMENTS.bit_length() - 1)
-    part = F.shiftrightunsigned(F.col("g"), shift)
-    segments = whole.select("sid", F.explode("h").alias("g")).groupBy("sid", part.alias("f")).agg(F.collect_list("g").alias("h"))
-    segments = persisted(segments, "segments")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs that share enough leading shingles."""
+        x = pairs.join(leads.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(leads.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
+        return x.withColumn("shared", F.size(F.array_intersect("ha", "hb"))).where(_enough("shared", percent)).select("a", "b", "both")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets that are similar: one text of each set is read again, whole."""
+        some = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        bits = ones.join(some, "sid", "left_semi").select(bit.alias("b"))
+        bits = bits.groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toArrow()
+        wanted = np.zeros(FILTER_BITS // 8, np.uint8)
+        wanted[bits["at"].to_numpy()] = bits["v"].to_numpy().astype(np.uint8)
+        shared = spark.sparkContext.broadcast(wanted)
+        segments = persisted(base.select("text", bit.alias("bit")).mapInArrow(_segments(width, shared), "sid long, f int, h array<long>"), "segments")
+        found = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
+        links = persisted(found.where((100 + percent) * F.col("n") >= percent * F.col("both")).select("a", "b"), "links")
+        removed(segments)
+        return links
 
     tested = links = None
     roots = spark.createDataFrame([], "id long, root long")
@@ -207,7 +228,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("k", "sid")
             star = now.groupBy("g").agg(F.min_by(F.struct("sid", "n", "k", "c"), pick).alias("s"))
             pairs = now.join(star, "g").where("c <> s.c").select("sid", "n", "k", F.col("s.sid").alias("o"), F.col("s.n").alias("on"), F.col("s.k").alias("ok"))
-            pairs = _pairs(pairs.where(_fits(percent) & _first(percent))).select("a", "b", "both").distinct()
+            pairs = enough(_pairs(pairs.where(_fits(percent) & _first(percent))).select("a", "b", "both", "n", "on").distinct())
         else:
             main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
             apart = now.join(main, "g").where("c <> main")
@@ -219,13 +240,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = persisted(pairs, "pairs")
-        found = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
-        new = persisted(found.where((100 + percent) * F.col("n") >= percent * F.col("both")).select("a", "b"), "links")
+        new = spark.createDataFrame([], "a long, b long") if pairs.isEmpty() else linked(pairs)
         removed(now)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-    removed(segments, rows)
+    removed(leads, rows)
     mine = sets.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("id"), "left").select(
         "doc_id", "n", "sid", F.coalesce("root", "sid").alias("c")
     )
