@@ -28,7 +28,7 @@ RULES = (
     ("repeats", "repeat_share", 0.30, 0.02),
     ("capitals", "capital_share", 0.30, None),
     ("shouting", "shout_share", 0.20, None),
-    ("long_words", "word_length", 12.0, 8.0),
+    ("long_words", "word_length", 12.0, None),
 )
 
 
