@@ -3,12 +3,12 @@
 The model is a trie of byte contexts up to ORDER long. Escape estimation is by method D (of 2n, an escape
 gets one for each distinct symbol left and a symbol seen k times 2k - 1), with exclusion of the symbols
 that longer contexts have already offered. Counts come from all training texts: every byte, and an end of text, is counted
-in its context of ORDER bytes (shorter at the text's start) and these counts are summed in Spark.
-Shorter contexts' counts are sums of these. Of the two longest orders the NODES most frequent contexts
-stay in the trie, rarer ones back off to shorter ones: that is the model's size, and the only thing
-that bounds it. Each kept context becomes a row of log probabilities for all symbols, escapes and
-exclusions worked in, so scoring takes one table look-up a byte. model() gives a pretrained code;
-adaptive_bits() is the adaptive code of one text, which learns as it goes.
+in its context of ORDER bytes (shorter at the text's start), and shorter contexts' counts are sums of these. Every
+counted context stays. What the last three bytes of a context share is all that orders 3 and 4 need, so the
+table is dealt out by these; orders 0 to 2 have at most 258 * 258 * 257 counts and go to every task. A symbol
+in its context has one probability in the corpus, so texts ask for it as they ask for word counts: each group
+of texts gets its distinct symbols in context back with their logarithms. model() holds a whole
+model in memory; adaptive_bits() is the adaptive code of one text, which learns as it goes.
 
 Defined results: null text is empty and has only its end; ids may be null or repeat, each row is
 scored on its own; with no training text every symbol is uniform over 257; other columns are ignored.
@@ -28,7 +28,6 @@ from docaudit.llm import bytewords as B
 from docaudit.llm.common import partitions, persisted, residue
 
 ORDER = 4
-NODES = 1 << 15
 END = 256
 START = 257
 BASE = 258  # symbols and the start mark, as digits of a context
@@ -93,101 +92,78 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out()
 
 
+class Order:
+    """Counts of symbols in contexts of one length, sparse: a count for each key, and for each context how
+    many kinds of symbols it has, how often any occurs, and how often these kinds occur in the next shorter context."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shorter: Order | None):
+        self.keys, self.counts = keys, counts
+        context = keys // BASE
+        head = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = context[head]
+        self.kinds = np.diff(np.r_[head, len(keys)])
+        add = lambda x: np.add.reduceat(x, head) if len(head) else np.zeros(0, np.int64)
+        self.total = add(counts)
+        self.below = add(shorter.count(keys % shorter.base)) if shorter else np.zeros(len(head), np.int64)
+        self.base = BASE * (shorter.base if shorter else 1)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        at, known = _found(self.keys, keys)
+        return np.where(known, self.counts[at], 0) if len(self.keys) else np.zeros(len(keys), np.int64)
+
+    def context(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return (np.zeros(len(contexts), np.int64),) * 3
+        at, known = _found(self.contexts, contexts)
+        return tuple(np.where(known, x[at], 0) for x in (self.kinds, self.total, self.below))
+
+
+def _found(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the sorted array held, and whether they are there."""
+    at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
+    return at, (held[at] == keys if len(held) else np.zeros(len(keys), bool))
+
+
+def orders(keys: np.ndarray, counts: np.ndarray, longest: int, shorter: list[Order] = []) -> list[Order]:
+    """Orders up to the longest one, whose keys and counts are given, on top of those that are there."""
+    out = list(shorter)
+    for k in range(len(shorter), longest + 1):
+        out.append(Order(*_merge([keys % BASE ** (k + 1)], [counts]), out[-1] if out else None))
+    return out
+
+
 class Model:
-    """Rows of log10 probabilities by context; tables over codes of the bytes seen in training."""
-
-    def __init__(self, shorter: tuple, third: tuple, fourth: tuple):
-        """shorter: keys of 2 context digits and a symbol, and counts; third, fourth: keys of 3 and 4
-        context digits and a symbol, and counts, of the kept contexts only."""
-        k2, c2 = shorter
-        seen = np.unique(np.r_[k2 % BASE, [END]]).astype(np.int64)
-        self.code = np.full(BASE, len(seen), np.int64)  # all unseen symbols share one code
-        self.code[seen] = np.arange(len(seen))
-        self.code[START] = len(seen) + 1
-        self.n_unseen = 257 - len(seen)
-        a = self.width = len(seen) + 2
-        dense = np.zeros((a, a, a))
-        np.add.at(dense, (self.code[k2 // BASE**2], self.code[k2 // BASE % BASE], self.code[k2 % BASE]), c2)
-        self.n2 = dense.reshape(a * a, a)
-        self.n1, self.n0 = dense.sum(0), dense.sum((0, 1))
-        ctx3, n3 = self._rows(third, 3)
-        ctx4, n4 = self._rows(fourth, 4)
-        # suffixes: order 3 -> order 2 row; order 4 -> order 3 row, or none
-        suffix3 = ctx3 % (a * a)
-        self.child3 = np.full(a**3, -1, np.int32)
-        self.child3[ctx3] = np.arange(len(ctx3))
-        p3 = self.child3[ctx4 % a**3] if len(ctx4) else np.zeros(0, np.int32)
-        ok = p3 >= 0
-        ctx4, n4, p3 = ctx4[ok], n4[ok], p3[ok]
-        base = a * a
-        rows2 = self._log([self.n2, np.tile(self.n1, (a, 1)), np.broadcast_to(self.n0, (base, a))])
-        rows3 = self._log([n3, self.n2[suffix3], self.n1[suffix3 % a], np.broadcast_to(self.n0, (len(n3), a))])
-        s2 = suffix3[p3]
-        rows4 = self._log([n4, n3[p3], self.n2[s2], self.n1[s2 % a], np.broadcast_to(self.n0, (len(n4), a))])
-        self.table = np.concatenate([rows2, rows3, rows4]).astype(np.float32).ravel()
-        self.child3 = np.where(self.child3 >= 0, self.child3 + base, -1).astype(np.int32)
-        #: For a row of order 3 that stood one byte earlier and was led by one more byte: the row of order 4.
-        self.ctx4, self.base4 = ctx4, base + len(n3)
-        lead = ctx4 // a**3
-        pairs = (p3.astype(np.int64) * a + lead)
-        self.child4 = np.full(len(n3) * a, -1, np.int32)
-        self.child4[pairs] = np.arange(len(ctx4)) + self.base4
-        self.base = base
-        del self.n0, self.n1, self.n2
-
-    def _rows(self, counted: tuple, order: int) -> tuple[np.ndarray, np.ndarray]:
-        k, c = counted
-        a = self.width
-        ctx = np.zeros(len(k), np.int64)
-        for j in range(order, 0, -1):
-            ctx = ctx * a + self.code[k // BASE**j % BASE]
-        ids, row = np.unique(ctx, return_inverse=True)
-        n = np.zeros((len(ids), a), np.float32)
-        np.add.at(n, (row, self.code[k % BASE]), c)
-        return ids, n
-
-    def _log(self, orders: list[np.ndarray]) -> np.ndarray:
-        """log10 P by method D with exclusion, longest order first, then uniform over what is left of 257."""
-        n, a = orders[0].shape
-        out = np.empty((n, a), np.float32)
-        for lo in range(0, n, 2048):
-            part = [x[lo : lo + 2048].astype(np.float64) for x in orders]
-            p = np.zeros(part[0].shape)
-            escape = np.ones(len(p))
-            free = np.ones(p.shape, bool)
-            for x in part:
-                x = np.where(free, x, 0.0)
-                kinds = (x > 0).sum(1)
-                whole = 2 * x.sum(1)
-                live = kinds > 0
-                share = np.where(live, escape / np.maximum(whole, 1), 0)
-                p += np.maximum(2 * x - 1, 0) * share[:, None]
-                escape = np.where(live, escape * kinds / np.maximum(whole, 1), escape)
-                free &= x <= 0
-            free[:, a - 2 :] = False  # the shared code of unseen symbols stands for n_unseen of them; the start mark is no symbol
-            left = free.sum(1) + self.n_unseen
-            each = escape / np.maximum(left, 1)
-            p += np.where(free, each[:, None], 0)
-            p[:, a - 2] = each
-            p[:, a - 1] = 1.0
-            out[lo : lo + 2048] = np.log10(np.maximum(p, 1e-30))
-        return out
+    def __init__(self, of: list[Order]):
+        self.of = of
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        """log10 P of each key's symbol in its context, by method D with exclusion. Symbols that a context
+        offers are offered by all shorter ones too, so what is excluded follows from sums."""
+        p, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+        kinds, below = np.zeros((2, len(keys)), np.int64)
+        for order in reversed(self.of):
+            own = keys % order.base
+            n = order.count(own)
+            k, total, b = order.context(own // BASE)
+            left, whole = k - kinds, 2.0 * (total - below)
+            hit = open_ & (n > 0)
+            p[hit] += np.log10((2 * n[hit] - 1) / whole[hit])
+            open_ &= ~hit
+            escapes = open_ & (left > 0)
+            p[escapes] += np.log10(left[escapes] / whole[escapes])
+            kinds, below = k, b
+        p[open_] -= np.log10(np.maximum(257 - kinds[open_], 1))
+        return p
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each text with its end."""
-        s, at = _symbols(raw, offsets)
-        c = self.code[s].astype(np.int32)
-        a = self.width
-        n = len(c) - ORDER
-        two = c[2 : 2 + n] * np.int32(a) + c[3 : 3 + n]
-        three = self.child3[c[1 : 1 + n] * np.int32(a * a) + two]
-        four = self.child4[np.maximum(three - self.base, 0).astype(np.int64) * a + c[:n]] if len(self.child4) else np.full(n, -1, np.int32)
-        row = np.where(three >= 0, np.where(four >= 0, four, three), two)
-        lp = np.zeros(len(c), np.float64)
-        lp[ORDER:] = self.table[row.astype(np.int64) * a + c[ORDER:]]
-        for j in range(ORDER):
-            lp[at[:-1] + j] = 0
-        return np.add.reduceat(lp, at[:-1]) if len(at) > 1 else np.zeros(0)
+        keys, at = np.unique(_keys(*_symbols(raw, offsets)), return_inverse=True)
+        return summed(self.log_p(keys)[at], offsets)
+
+
+def summed(lp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of each text's symbols, its end included."""
+    return np.add.reduceat(lp, offsets[:-1] + np.arange(len(offsets) - 1)) if len(offsets) > 1 else np.zeros(0)
 
 
 def adaptive_bits(text: str, order: int = ORDER) -> float:
@@ -216,136 +192,147 @@ def adaptive_bits(text: str, order: int = ORDER) -> float:
     return bits
 
 
-def model(train: DataFrame, nodes: int = NODES) -> Model:
-    """Counts all training texts, then keeps the most frequent contexts. What comes to the driver is at
-    most nodes contexts of orders 3 and 4, with 257 symbols each, and the order-2 counts."""
-    counts = persisted(
-        train.select("text").mapInArrow(count_contexts, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "contexts"
-    )
+def model(train: DataFrame) -> Model:
+    """The model of all training texts, held in memory: for texts on one machine. score() deals it out."""
+    t = train.select("text").mapInArrow(count_contexts, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    return Model(orders(t["k"].to_numpy(), t["c"].to_numpy(), ORDER))
 
-    def taken(order: int) -> tuple[np.ndarray, np.ndarray]:
-        own = counts.select((F.col("k") % F.lit(BASE ** (order + 1))).alias("k"), "c").groupBy("k").agg(F.sum("c").alias("c"))
-        if order > 2:
-            ctx = own.groupBy(F.expr(f"k div {BASE}").alias("x")).agg(F.sum("c").alias("m"))
-            top = ctx.orderBy(F.desc("m"), "x").limit(nodes).select("x")
-            own = own.withColumn("x", F.expr(f"k div {BASE}")).join(top, "x", "left_semi").select("k", "c")
-        t = own.toArrow()
-        return t["k"].to_numpy(), t["c"].to_numpy()
-
-    return Model(taken(2), taken(3), taken(4))
-
-
-def _scan():
-    """Scores and word lists of one task's texts, under the number of the task: kind 0, a row for each
-    distinct word (hash, count in training texts); kind 1, a row for each text, its distinct words as
-    numbers in the order of their hashes among the task's, and how often each occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        names = ["part", "kind", "hash", "n", "doc_id", "held_out", "n_tokens", "score", "words", "often"]
-        context = TaskContext.get()
-        part, group, size = context.partitionId() * (1 << 20), 0, 0
-        m = shared.value
-        vocab = [np.zeros(0, np.uint64)]
-        trained = [np.zeros(0, np.int64)]
-        rows: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            v, c = _merge(vocab, trained)
-            z = len(v)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(z, part + group)), pa.array(np.zeros(z, np.int8)), pa.array(v.view(np.int64)), pa.array(c),
-                *[pa.nulls(z, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.binary(), pa.binary())],
-            ], names=names)
-            for ids, held, n, score, hashes, often, ends in rows:
-                at = np.searchsorted(v, hashes).astype(np.uint32)
-                z = len(ids)
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task in groups, under the number of the group: kind 0, a row for each distinct word (hash,
+    count in training texts); kind 2, a row for each distinct symbol in context (key, count likewise); kind 1,
+    a row for each text."""
+    from pyspark import TaskContext
+
+    names = ["part", "kind", "hash", "n", "doc_id", "held_out", "text"]
+    part, size = TaskContext.get().partitionId() * (1 << 20), 0
+    seen: dict[int, tuple[list, list]] = {0: ([], []), 2: ([], [])}
+    rows: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, (keys, counts) in seen.items():
+            k, c = _merge(keys, counts)
+            for lo in range(0, len(k), SLICE):
+                v, n = k[lo : lo + SLICE].view(np.int64), c[lo : lo + SLICE]
+                z = len(v)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(z, part + group)), pa.array(np.ones(z, np.int8)), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()),
-                    ids, held, pa.array(n), pa.array(score),
-                    pa.array([at[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array([often[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array(np.full(z, part)), pa.array(np.full(z, kind, np.int8)), pa.array(v), pa.array(n), *[pa.nulls(z, t) for t in (pa.int64(), pa.bool_(), pa.string())],
                 ], names=names)
-            vocab[:], trained[:], rows[:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-
-        for batch in batches:
-            for b in B.blocks(batch, "text"):
-                w = B.words(b.column("text"))
-                raw, offsets = B.bytes_of(b.column("text"))
-                score = m.score(raw, offsets)
-                doc = w.doc()
-                # distinct words of each document: sort by document, then hash
-                o = np.lexsort((w.hash, doc))
-                h, d = w.hash[o], doc[o]
-                head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
-                often = np.diff(np.r_[head, len(h)]).astype(np.uint32)
-                h, d = h[head], d[head]
-                ends = np.searchsorted(d, np.arange(b.num_rows + 1))
-                held = b.column("held_out").to_numpy(zero_copy_only=False)
-                vocab.append(h), trained.append(np.where(held[d], 0, often).astype(np.int64))
-                rows.append((b.column("doc_id"), b.column("held_out"), np.diff(w.first) + 1, score, h, often, ends))
-                if len(vocab) > 8:
-                    v, c = _merge(vocab, trained)
-                    vocab[:], trained[:] = [v], [c]
-                size += len(raw)
-                if size >= GROUP:
-                    yield from flush()
-                    group, size = group + 1, 0
-        if rows:
-            yield from flush()
-
-    return run
-
-
-#: Bytes of text whose words are looked up together; bounds what one later task holds.
+            keys.clear(), counts.clear()
+        for b in rows:
+            z = b.num_rows
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(z, part)), pa.array(np.ones(z, np.int8)), pa.nulls(z, pa.int64()), pa.nulls(z, pa.int64()), b.column("doc_id"), b.column("held_out"), b.column("text").cast(pa.string()),
+            ], names=names)
+        rows.clear()
+
+    for batch in batches:
+        for b in B.blocks(batch, "text"):
+            held = b.column("held_out").to_numpy(zero_copy_only=False)
+            w = B.words(b.column("text"))
+            raw, offsets = B.bytes_of(b.column("text"))
+            symbols = _keys(*_symbols(raw, offsets))
+            for kind, k, train in ((0, w.hash, ~np.repeat(held, np.diff(w.first))), (2, symbols, ~np.repeat(held, np.diff(offsets) + 1))):
+                k, c = _merge([k], [train.astype(np.int64)])
+                keys, counts = seen[kind]
+                keys.append(k), counts.append(c)
+                if len(keys) > 8:
+                    k, c = _merge(keys, counts)
+                    keys[:], counts[:] = [k], [c]
+            rows.append(b)
+            size += len(raw)
+            if size >= GROUP or len(seen[2][0][0]) > HELD:
+                yield from flush()
+                part, size = part + 1, 0
+    if rows:
+        yield from flush()
+
+
+def _log_p(batches: Iterator[pa.RecordBatch], low: list[Order]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, hash, n) in the order of the last three bytes of the contexts -> part, kind, hash, v: log10 P."""
+    held: list[pa.RecordBatch] = []
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, at = np.unique(t["hash"].to_numpy(), return_inverse=True)
+        c = np.zeros(len(k), np.int64)
+        np.add.at(c, at, t["n"].to_numpy())
+        v = Model(orders(k[c > 0], c[c > 0], ORDER, low)).log_p(k)[at]
+        yield from pa.table([t["part"], pa.array(np.full(len(at), 2, np.int8)), t["hash"], pa.array(v)], names=["part", "kind", "hash", "v"]).to_batches(SLICE)
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= SLICE:
+            t = pa.Table.from_batches(held)
+            tail = t["hash"].to_numpy() % BASE**ORDER // BASE
+            cut = int(np.flatnonzero(tail == tail[-1])[0])  # its last three bytes may go on in the next batch
+            if cut:
+                yield from out(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+    if held:
+        yield from out(pa.Table.from_batches(held))
+
+
+#: Rows handed on at once.
+SLICE = 100_000
+#: Bytes of text whose words and contexts are looked up together; bounds what one later task holds.
 GROUP = 16_000_000
 
 
-def _base(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """left: texts of a group; right: its words in hash order with the corpus counts and totals."""
-    right = right.take(pa.compute.sort_indices(pa.array(right["hash"].to_numpy().view(np.uint64))))
-    c = right["c"].to_numpy()
+def _scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """left: texts of a group; right: its words with the corpus counts (kind 0) and its symbols in context
+    with their log10 P (kind 2)."""
+    kind, hashes, value = (right[x].to_numpy() for x in ("kind", "hash", "v"))
+    of = {}
+    for k, h in ((0, hashes.view(np.uint64)), (2, hashes)):
+        h, v = h[kind == k], value[kind == k]
+        o = np.argsort(h)
+        of[k] = h[o], v[o]
     n, v = (int(left[x][0].as_py() or 0) for x in ("train_tokens", "train_words"))
     end = int(left["train_docs"][0].as_py() or 0)
-    log = np.log10(c + 1.0) if len(c) else np.zeros(0)
-    base, known = np.empty(left.num_rows), np.empty(left.num_rows, np.int64)
-    words, often = left["words"].to_pylist(), left["often"].to_pylist()
-    for i in range(left.num_rows):
-        at, k = np.frombuffer(words[i], np.uint32), np.frombuffer(often[i], np.uint32)
-        base[i] = (log[at] * k).sum()
-        known[i] = k[c[at] > 0].sum()
-    tokens = left["n_tokens"].to_numpy()
-    base += np.log10(end + 1.0) - tokens * np.log10(n + v + 1.0)
-    out = left.select(["doc_id", "held_out", "n_tokens"])
-    for name, x in (("n_known", known + (end > 0)), ("train_tokens", np.full(len(base), n)), ("base_score", base), ("score", left["score"])):
-        out = out.append_column(name, pa.array(x) if isinstance(x, np.ndarray) else x)
+    parts: list[tuple] = []
+    for batch in left.select(["text"]).to_batches():
+        for b in B.blocks(batch, "text"):
+            w = B.words(b.column("text"))
+            c = of[0][1][np.searchsorted(of[0][0], w.hash)]
+            sums = lambda x: np.diff(np.r_[0, np.cumsum(x)][w.first])
+            raw, offsets = B.bytes_of(b.column("text"))
+            k, at = np.unique(_keys(*_symbols(raw, offsets)), return_inverse=True)
+            lp = of[2][1][np.searchsorted(of[2][0], k)][at]
+            parts.append((np.diff(w.first) + 1, sums(c > 0), sums(np.log10(c + 1.0)), summed(lp, offsets)))
+    tokens, known, base, score = (np.concatenate(x) for x in zip(*parts))
+    base = base + np.log10(end + 1.0) - tokens * np.log10(n + v + 1.0)
+    out = left.select(["doc_id", "held_out"])
+    for name, x in (("n_tokens", tokens), ("n_known", known + (end > 0)), ("train_tokens", np.full(len(base), n)), ("base_score", base), ("score", score)):
+        out = out.append_column(name, pa.array(x))
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, nodes: int = NODES) -> DataFrame:
-    """One row for each document, as the contract of op2 has it. Word counts of all training texts are
-    summed by word and come back to the groups of texts that asked for them, so no task and no driver
-    holds the vocabulary."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2) -> DataFrame:
+    """One row for each document, as the contract of op2 has it. Counts of words and of symbols in context
+    over all training texts are summed by word and by context and come back to the groups of texts that
+    asked for them, so no task and no driver holds the vocabulary or the trie."""
     spark = docs.sparkSession
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", residue("doc_id", mod) == held)
-    m = model(x.where(~F.col("held_out")), nodes)
-    shared = spark.sparkContext.broadcast(m)
-    run = _scan()
-    schema = "part long, kind byte, hash long, n long, doc_id long, held_out boolean, n_tokens long, score double, words binary, often binary"
-    got = persisted(x.mapInArrow(lambda it: run(it, shared), schema), "scored")
+    got = persisted(x.mapInArrow(_scan, "part long, kind byte, hash long, n long, doc_id long, held_out boolean, text string"), "scanned")
     # a word's count in all training texts, beside each group that has the word
-    words = got.where("kind = 0").select("part", "hash", "n").withColumn("c", F.sum("n").over(Window.partitionBy("hash")))
+    words = got.where("kind = 0").select("part", "kind", "hash", F.sum("n").over(Window.partitionBy("hash")).cast("double").alias("v"))
     totals = got.where("kind = 0").groupBy("hash").agg(F.sum("n").alias("c")).agg(
         F.sum("c").alias("t"), F.count_if(F.col("c") > 0).alias("v")
     ).first()
     n_docs = got.where("kind = 1 and not held_out").count()
+    asked = got.where("kind = 2").select("part", "hash", "n")
+    low = asked.where("n > 0").groupBy((F.col("hash") % F.lit(BASE**3)).alias("k")).agg(F.sum("n").alias("c")).toArrow()
+    shared = spark.sparkContext.broadcast(orders(low["k"].to_numpy(), low["c"].to_numpy(), 2))
+    tail = F.expr(f"hash % {BASE**ORDER} div {BASE}")
+    contexts = asked.repartition(partitions(spark), tail).sortWithinPartitions(tail).mapInArrow(
+        lambda it: _log_p(it, shared.value), "part long, kind byte, hash long, v double"
+    )
     texts = got.where("kind = 1").select(
-        "part", "doc_id", "held_out", "n_tokens", "score", "words", "often",
+        "part", "doc_id", "held_out", "text",
         F.lit((totals["t"] or 0) + n_docs).cast("long").alias("train_tokens"),
         F.lit((totals["v"] or 0) + (n_docs > 0)).cast("long").alias("train_words"), F.lit(n_docs).cast("long").alias("train_docs"),
     )
     return (
-        texts.groupBy("part").cogroup(words.select("part", "hash", "c").groupBy("part"))
-        .applyInArrow(_base, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        texts.groupBy("part").cogroup(words.unionByName(contexts).groupBy("part"))
+        .applyInArrow(_scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

@@ -138,6 +138,16 @@ def test_lm_score_equals_trie(spark):
     assert lm.adaptive_bits("aaaaaaaaaaaaaaaaaaaa") < lm.adaptive_bits("qwertyuiopasdfghjklz")
 
 
+def test_lm_keeps_every_context(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 é") for _ in range(400)) for _ in range(200)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len({t[i : i + 4] for t in train for i in range(396)}) > 1 << 15
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i in [0, 1, 2, 3, 50, 120, 199] + [i for i in range(200) if texts[i] not in train][:5]:
+        assert math.isclose(got[i], brute_ppm(train, texts[i]), rel_tol=1e-9)
+
+
 def edit_distance(p, t):
     r = list(range(len(p) + 1))
     best = r[-1]
