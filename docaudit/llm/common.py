@@ -27,10 +27,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
+def persisted(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

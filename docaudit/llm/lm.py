@@ -313,7 +313,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     asked for them, so no task and no driver holds the vocabulary or the trie."""
     spark = docs.sparkSession
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", residue("doc_id", mod) == held)
-    got = persisted(x.mapInArrow(_scan, "part long, kind byte, hash long, n long, doc_id long, held_out boolean, text string"), "scanned")
+    got = persisted(x.mapInArrow(_scan, "part long, kind byte, hash long, n long, doc_id long, held_out boolean, text string"), "scanned", "zstd")
     # a word's count in all training texts, beside each group that has the word
     words = got.where("kind = 0").select("part", "kind", "hash", F.sum("n").over(Window.partitionBy("hash")).cast("double").alias("v"))
     totals = got.where("kind = 0").groupBy("hash").agg(F.sum("n").alias("c")).agg(
