@@ -21,6 +21,7 @@ tables give no matches; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,19 +115,22 @@ class Matcher:
                 self.machine.add_word(p, (len(p), of))
             self.machine.make_automaton()
         best: dict[int, tuple[int, int]] = {}
-        tried: dict[int, int] = {}
+        tried: dict[int, list[int]] = {}
         for end, (size, of) in self.machine.iter(text):
             here = end - size + 1
             for n, off, above in of:
                 _, item, k = self.items[n]
                 start = here - off
-                if n in best and best[n][0] == 0 or tried.get(n, -1) >= start:
+                starts = tried.setdefault(n, [])
+                i = bisect_right(starts, start)
+                if n in best and best[n][0] == 0 or i and starts[i - 1] + k >= start:
                     continue
                 if any(myers(node, text[max(0, here + at - e) : here + at + len(node) + e])[0] > e for node, at, e in above):
                     continue
-                # hits of one alignment differ by at most k, so the window covers those up to k further
+                # hits of one alignment differ by at most k, so the window covers those up to k further; a start may
+                # lie before the text, and before one that a later piece's or a chance hit led to
                 lo, hi = max(0, start - k), start + len(item) + 2 * k
-                tried[n] = start + k
+                starts.insert(i, start)
                 if text.startswith(item, max(0, start)):
                     d, at = 0, len(item) + max(0, start) - lo
                 else:

@@ -177,6 +177,29 @@ def test_decontamination_equals_edit_distance(spark, docs, none):
     assert decontamination.matches(none, bench).count() == 0 and decontamination.without_items(docs, bench.where("false")).count() == docs.count()
 
 
+def test_decontamination_at_the_ends_of_a_text():
+    rnd = random.Random(8)
+    for case in range(200):
+        item = prose(rnd, rnd.randint(8, 20))
+        k, t = decontamination.budget(len(item)), item
+        for _ in range(rnd.randint(1, k)):
+            at = rnd.choice((0, len(t) - 1))
+            t = t[:at] + t[at + 1 :] if case % 2 else t[:at] + rnd.choice("xyz") + t[at:]
+        for text in (t, decontamination.fold(t + " " + prose(rnd, 4)), decontamination.fold(prose(rnd, 4) + " " + t)):
+            d = edit_distance(item, text)
+            assert d > k or [x[:2] for x in decontamination.Matcher([(1, item)]).find(text)] == [(1, d)]
+
+
+def test_decontamination_after_a_chance_hit():
+    a, b, c, d = "abcdefghijklmnop", "qrstuvwxyzabqrst", "0123456789012345", "zyxwvutsrqponmlk"
+    item = a + b + c + d
+    # the halves of the item come in the wrong order first: hits that lead to later starts
+    text = a + b + "!" * 3 + item[3:40] + a[:8] + item[40:]
+    for t in (text, item[1:], item[:20] + a[:3] + item[20:]):
+        want, k = edit_distance(item, t), decontamination.budget(len(item))
+        assert [x[:2] for x in decontamination.Matcher([(1, item)]).find(t)] == ([(1, want)] if want <= k else [])
+
+
 def test_language_id(spark, docs, none):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     held = [r for r in docs.where("lang in ('en', 'fr') and doc_id < 120").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
