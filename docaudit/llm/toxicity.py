@@ -3,8 +3,9 @@
 A word's embedding joins vectors from three hashed tables: two independent hashes of the whole word and
 one of its first PREFIX bytes. Filters of widths 1, 2 and 3 run over the words, with ReLU and max pooling over the whole
 text, then one logistic layer. Max pooling sends each filter's gradient to one place of a text, so
-training touches few rows of the tables. Thresholds for decisions are calibrated by language on the
-training rows; the score itself sees the text alone.
+training touches few rows of the tables. Thresholds for decisions are calibrated by language on all labelled
+training rows, from a histogram of their scores that Spark makes; those that the classifier was fitted on count only
+where the others are too few. The score itself sees the text alone.
 
 The classifier is fitted on at most `sample` labelled rows a class, taken by a hash of the id; every
 document is scored over its whole text.
@@ -59,6 +60,8 @@ class Classifier:
         self.bias = np.float32(0)
         self.trained = False
         self.thresholds: dict[str, float] = {}
+        #: Ids of the rows that it was fitted on.
+        self.fitted: list = []
 
     def _pool(self, feats: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pooled activations of each text and the places of the maxima (-1: none above zero)."""
@@ -150,14 +153,19 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30))) if self.trained else np.full(len(logits), 0.5)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, at_most: float = 0.02) -> float:
-    """The threshold with the best F1 among those that flag at most that part of the clean rows."""
-    clean = max(1, int((y == 0).sum()))
+#: Thresholds to choose from; a score's bin is the number of them that it reaches.
+STEPS = np.linspace(0.05, 0.95, 19)
+#: Rows of each class that a threshold of its own needs.
+ENOUGH = 10
+
+
+def best_threshold(counts: np.ndarray, at_most: float = 0.02) -> float:
+    """counts: rows by label and bin of their scores. The threshold with the best F1 among those that flag
+    at most that part of the clean rows."""
+    reach = counts[:, ::-1].cumsum(1)[:, ::-1]  # rows that reach each threshold, after all rows
     best = (0.0, 0.5)
-    for t in np.linspace(0.05, 0.95, 19):
-        hit = p >= t
-        tp, fp, fn = int((hit & (y == 1)).sum()), int((hit & (y == 0)).sum()), int((~hit & (y == 1)).sum())
-        if fp <= at_most * clean and tp and (f1 := 2 * tp / (2 * tp + fp + fn)) > best[0]:
+    for t, fp, tp in zip(STEPS, reach[0, 1:], reach[1, 1:]):
+        if fp <= at_most * max(1, reach[0, 0]) and tp and (f1 := 2 * tp / (tp + fp + reach[1, 0])) > best[0]:
             best = (f1, float(t))
     return best[1]
 
@@ -175,11 +183,16 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """doc_id, toxic: the labels that may be learned from."""
+    mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    return mine.where(residue("doc_id", 4) != 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic") -> Classifier:
     """Fits on up to `sample` rows of each class of the labelled training rows; which ones, a hash of
     the id decides. Only their features come to the driver."""
-    mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    mine = mine.where(residue("doc_id", 4) != 2).withColumn("h", F.xxhash64("doc_id"))
+    mine = labelled(labels, id_col, label_col).withColumn("h", F.xxhash64("doc_id"))
     chosen = [mine.where(F.col("toxic") == v).orderBy("h", "doc_id").limit(sample) for v in (0, 1)]
     chosen = persisted(chosen[0].unionByName(chosen[1]).drop("h"), "labels")
     texts = docs.select(
@@ -195,19 +208,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     if not len(y):
         return model
     model.fit(feats, y)
-    p = np.concatenate([
-        model.probability(model.logits(np.concatenate(feats[i : i + 64]), np.r_[0, np.cumsum([len(f) for f in feats[i : i + 64]])])) for i in range(0, len(feats), 64)
-    ])
-    langs = np.array([x or "" for x in t["lang"].to_pylist()])
-    model.thresholds[""] = best_threshold(p, y)
-    names, counts = np.unique(langs, return_counts=True)
-    for name in names[np.argsort(-counts)][:LANGUAGES]:
-        of = langs == name
-        if (y[of] == 1).sum() >= 10 and (y[of] == 0).sum() >= 10:
-            model.thresholds[str(name)] = best_threshold(p[of], y[of])
+    model.fitted = t["doc_id"].unique().to_pylist()
     return model
 
 
+def calibrate(model: Classifier, scored: DataFrame, labels: DataFrame, score_col: str = "score") -> None:
+    """Sets the thresholds from all labelled training rows of scored (doc_id, lang, score). Rows that the
+    model was fitted on count only where fewer than ENOUGH others of a class are there."""
+    spark = scored.sparkSession
+    fitted = spark.createDataFrame([(i,) for i in model.fitted], scored.select("doc_id").schema).withColumn("fitted", F.lit(1))
+    bins = sum((F.col(score_col) >= float(t)).cast("int") for t in STEPS)
+    x = scored.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), bins.alias("bin")).join(labelled(labels), "doc_id")
+    x = x.join(F.broadcast(fitted), "doc_id", "left").groupBy("lang", F.coalesce("fitted", F.lit(0)).alias("fitted"), "toxic", "bin").agg(F.count("*").alias("n"))
+    x = persisted(x, "scores")
+
+    def threshold(rows: list, least: int = ENOUGH) -> float | None:
+        n = np.zeros((2, 2, len(STEPS) + 1), np.int64)
+        for r in rows:
+            n[r["fitted"], r["toxic"], r["bin"]] += r["n"]
+        for counts, need in ((n[0], ENOUGH), (n.sum(0), least)):
+            if (counts.sum(1) >= need).all():
+                return best_threshold(counts)
+        return None
+
+    by_all = x.groupBy("fitted", "toxic", "bin").agg(F.sum("n").alias("n")).collect()
+    own: dict[str, list] = {}
+    top = x.groupBy("lang").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "lang").limit(LANGUAGES).select("lang")
+    for r in x.join(F.broadcast(top), "lang").collect():
+        own.setdefault(r["lang"], []).append(r)
+    removed(x)
+    found = {"": threshold(by_all, 0)} | {name: threshold(rows) for name, rows in own.items() if name}
+    model.thresholds = {name: t for name, t in found.items() if t is not None}
+
+
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """The columns id_col and `keep`, and the score under the name `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -237,6 +270,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier, fitted on labels, doesn't reject at their language's threshold."""
     model = train(docs, labels)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = scores(docs, model, keep=rest, out="__score")
+    scored = persisted(scores(docs, model, keep=rest, out="__score"), "scored")
+    if model.trained:
+        calibrate(model, scored, labels, "__score")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     return scored.where(F.col("__score") < thresholds_column(model, lang)).select(*docs.columns)

@@ -345,6 +345,25 @@ def counts_by_force(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit)
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows(spark):
+    score = lambda i: (i * 7919 % 1000) / 1000
+    # language b: clean rows score up to 0.7; only a few of its rows are fitted on
+    rows = [(i, "b" if i % 2 else "a", 0.3 + 0.4 * score(i) if i % 3 else 0.75 + 0.2 * score(i)) for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1 - min(i % 3, 1)) for i in range(1200)], "doc_id long, toxic int")
+    model = toxicity.Classifier()
+    model.fitted = list(range(12))
+    toxicity.calibrate(model, spark.createDataFrame(rows, "doc_id long, lang string, score double"), labels)
+    assert set(model.thresholds) == {"", "a", "b"}
+    for lang, t in model.thresholds.items():
+        of = [(p, i) for i, l, p in rows if lang in ("", l) and i >= 12 and zlib.crc32(str(i).encode()) % 4 != 2]
+        f1 = {}
+        for s in toxicity.STEPS:
+            tp, fp = (sum(p >= s and (i % 3 == 0) == bad for p, i in of) for bad in (True, False))
+            if fp <= 0.02 * sum(i % 3 > 0 for _, i in of) and tp:
+                f1[float(s)] = 2 * tp / (tp + fp + sum(i % 3 == 0 for _, i in of))
+        assert t == max(f1, key=lambda s: (f1[s], -s))
+
+
 def test_quality_counts_and_votes(spark, docs, rows, none):
     got = quality.quality(docs).collect()
     mine = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got), key=str)
