@@ -12,7 +12,7 @@ document is scored over its whole text.
 
 Defined results: null or blank text has no words: its pooled values are zero and its score is what the
 bias gives; labels that are null or not 0/1 aren't learned from; several labels of an id each count;
-without labels of both classes the score is 0.5 for all; other columns are ignored.
+without labels of both classes the score is 0.5 for all and no row is rejected; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,9 +269,10 @@ def thresholds_column(model: Classifier, lang):
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier, fitted on labels, doesn't reject at their language's threshold."""
     model = train(docs, labels)
+    if not model.trained:
+        return docs
     rest = tuple(c for c in docs.columns if c != "doc_id")
     scored = persisted(scores(docs, model, keep=rest, out="__score"), "scored")
-    if model.trained:
-        calibrate(model, scored, labels, "__score")
+    calibrate(model, scored, labels, "__score")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     return scored.where(F.col("__score") < thresholds_column(model, lang)).select(*docs.columns)

@@ -364,6 +364,13 @@ def test_toxicity_thresholds_cover_all_labelled_rows(spark):
         assert t == max(f1, key=lambda s: (f1[s], -s))
 
 
+def test_untrained_toxicity_rejects_nothing(spark, docs, rows):
+    schema = "doc_id long, toxic int"
+    for labels in ([], [(i, 0) for i in range(100)], [(i, 1) for i in range(100)], [(10**6, 1), (10**6 + 1, 0)]):
+        kept = toxicity.without_toxic(docs, spark.createDataFrame(labels, schema))
+        assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
 def test_quality_counts_and_votes(spark, docs, rows, none):
     got = quality.quality(docs).collect()
     mine = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got), key=str)
