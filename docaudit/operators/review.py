@@ -23,8 +23,7 @@ LEAST_CONFIDENCE = 0.60
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Findings in the order of their checks and places, with seq and finding_id. Direct quotes are left
-    as they are: plain text has none that elements don't carry."""
+    """Findings in the order of their checks and places, with seq and finding_id."""
     order = Window.partitionBy("doc_id").orderBy("check_ord", "ord", "sub_ord", "match_pos", "original", "replacement")
     x = found.withColumn("seq", F.row_number().over(order))
     return x.withColumns({"finding_id": F.concat(F.lit("F-"), F.lpad(F.col("seq").cast("string"), 4, "0")), "status": F.lit("OPEN")})

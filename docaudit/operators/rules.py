@@ -293,17 +293,30 @@ def semicolons(text: Column, rule: str = "unbalanced_brackets_body") -> Column:
 
 # ---- rules over a document
 
-PLACE = ["doc_id", "ord", "section", "paragraph_id"]
+PLACE = ["doc_id", "ord", "section", "paragraph_id", "is_direct_quote"]
+
+
+def direct_quote(text: Column, style: Column, all_italic: Column) -> Column:
+    """Confidence that a paragraph quotes: typographic quotes, guillemets, italics, a leading dash, a
+    quotation style, Greek throughout; null where it doesn't."""
+    t = trimmed(text)
+    named = F.coalesce(style, F.lit("")).rlike("(?iu)quote|citat|blockquote")
+    return (
+        F.when(t.rlike(r"^\x{201E}[\s\S]*\x{201C}\z"), 0.95).when(t.rlike(r"^\x{00AB}[\s\S]*\x{00BB}\z"), 0.90)
+        .when(F.coalesce(all_italic, F.lit(False)) & (F.length(t) > 20) & (named | (F.length(t) > 100)), 0.80).when(t.rlike(f"^[\\x{{2014}}\\x{{2015}}]{WS}"), 0.80)
+        .when(named, 0.90).when(t.rlike(r"^[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}\s,.;\x{00B7}'\x{0022}]+\z"), 0.85)
+    )
 
 
 def as_findings(rows: DataFrame, made: Column) -> DataFrame:
     """Rows of elements with a finding struct -> finding rows with their place."""
     section = F.when(F.col("type") == "heading", F.when(F.col("text") != "", F.col("text")).otherwise("(bez naslova)")).otherwise(F.col("section"))
-    return rows.select("doc_id", "ord", section.alias("section"), F.col("id").alias("paragraph_id"), made.alias("f")).select(*PLACE, "f.*")
+    quote = (F.col("type") != "heading") & direct_quote(F.col("text"), F.lit("Normal"), F.lit(False)).isNotNull()
+    return rows.select("doc_id", "ord", section.alias("section"), F.col("id").alias("paragraph_id"), quote.alias("is_direct_quote"), made.alias("f")).select(*PLACE, "f.*")
 
 
 def for_document(rows: DataFrame, made: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(-1).alias("ord"), F.lit("(ceo dokument)").alias("section"), F.lit("doc-global").alias("paragraph_id"), made.alias("f")).select(*PLACE, "f.*")
+    return rows.select("doc_id", F.lit(-1).alias("ord"), F.lit("(ceo dokument)").alias("section"), F.lit("doc-global").alias("paragraph_id"), F.lit(False).alias("is_direct_quote"), made.alias("f")).select(*PLACE, "f.*")
 
 
 def quote_totals(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import count_of
 from docaudit.operators import rules as R
+from docaudit.operators.rules import direct_quote as direct_quote
 
 # Places in findings' wording, and the kinds of spacing and Markdown that each place is checked for.
 PLACES = {"cell": "ćeliji", "footnote": "fusnota", "endnote": "endnota", "header": "zaglavlju", "footer": "podnožju"}
@@ -87,15 +88,3 @@ def unit_findings(units: DataFrame, options: set[str]) -> DataFrame:
         found = demoted(found, F.col("_q")).drop("_q")
         out = found if out is None else out.unionByName(found)
     return out
-
-
-def direct_quote(text: Column, style: Column, all_italic: Column) -> Column:
-    """Confidence that a paragraph quotes: typographic quotes, guillemets, italics, a leading dash, a
-    quotation style, Greek throughout; null where it doesn't."""
-    t = R.trimmed(text)
-    named = F.coalesce(style, F.lit("")).rlike("(?iu)quote|citat|blockquote")
-    return (
-        F.when(t.rlike(r"^\x{201E}[\s\S]*\x{201C}\z"), 0.95).when(t.rlike(r"^\x{00AB}[\s\S]*\x{00BB}\z"), 0.90)
-        .when(F.coalesce(all_italic, F.lit(False)) & (F.length(t) > 20) & (named | (F.length(t) > 100)), 0.80).when(t.rlike(f"^[\\x{{2014}}\\x{{2015}}]{R.WS}"), 0.80)
-        .when(named, 0.90).when(t.rlike(r"^[\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}\s,.;\x{00B7}'\x{0022}]+\z"), 0.85)
-    )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.operators import review, rules
+from docaudit.operators import review, rules, units
 from docaudit.sources import paragraphs as P
 
 
@@ -36,7 +36,8 @@ def audit(docs: DataFrame, options: set[str] | None = None, kind: str = "markdow
     """docs: doc_id and text. One shuffle by doc_id serves every window of the elements."""
     options = review.FULL if options is None else options
     rows = P.identified(P.sections(P.elements(docs, kind, text_col)))
-    found = review.numbered(rules.candidates(rows, options, kind))
+    found = rules.candidates(rows, options, kind)
+    found = review.numbered(units.demoted(found, F.col("is_direct_quote")))
     return Audit(rows, found, review.verified(found, rows), docs, frozenset(options), kind)
 
 

@@ -96,6 +96,18 @@ def test_empty_and_null_texts(spark):
     assert {(r["doc_id"], r["total"], r["gate"]) for r in a.summary().collect()} == {(1, 0, True), (2, 0, True), (3, 0, True)}
 
 
+def test_findings_in_direct_quotes_are_to_be_verified(spark):
+    quoted = ["„Reč  i ) reč“", "«Reč  i ) reč»", "— Reč  i ) reč", "― Reč  i ) reč", "λόγος  λόγος"]
+    texts = list(enumerate([*quoted, "Reč  i ) reč", "# „Reč  i ) reč“"]))
+    got = audit(spark.createDataFrame(texts, "doc_id long, text string"), {"spacing", "brackets"}).candidates.collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in texts}
+    for r in got:
+        assert r["is_direct_quote"] == (r["doc_id"] < len(quoted))
+        if r["is_direct_quote"]:
+            assert (r["priority"], r["auto_fixable"], r["requires_source_verification"]) == (rules.CHECK, False, True)
+    assert any(r["priority"] != rules.CHECK for r in got if r["doc_id"] == 5)
+
+
 def test_export_open_only(spark):
     a, _ = found(spark, "a  b\nc  d")
     first = a.verified.orderBy("seq").first()["finding_id"]
