@@ -99,7 +99,7 @@ def sample_size(params: DataFrame) -> DataFrame:
     return params.select("p", "e", "level", "design", "per_doc", n.alias("n"), total.alias("findings"), F.ceil(total / F.col("per_doc")).alias("documents"))
 
 
-def bootstrap_bca(labels: DataFrame, group: str = "rule_id", resamples: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+def bootstrap_bca(labels: DataFrame, group: str = "rule_id", resamples: int = 10000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
     """BCa interval of each group's mean label. Labels are 0/1, so a group is its two counts: resamples
     are binomial draws and the jackknife has two values; nothing grows with the group."""
     import pandas as pd

@@ -156,3 +156,9 @@ def test_cliff_and_bootstrap(spark):
     assert (r["delta"], r["effect"]) == (1.0, "large")
     b = E.bootstrap_bca(spark.createDataFrame([("a", 1)] * 8 + [("a", 0)] * 2, "rule_id string, label int")).first()
     assert 0.1 <= b["lower"] <= 0.8 <= b["upper"] <= 1.0
+
+
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    x = spark.createDataFrame([(f"r{k}", int(i < k)) for k in range(90, 200, 7) for i in range(997)], "rule_id string, label int")
+    got, ten, two = (sorted(map(tuple, E.bootstrap_bca(x, **k).collect())) for k in ({}, {"resamples": 10000}, {"resamples": 2000}))
+    assert got == ten != two
