@@ -7,8 +7,9 @@ training touches few rows of the tables. Thresholds for decisions are calibrated
 training rows, from a histogram of their scores that Spark makes; those that the classifier was fitted on count only
 where the others are too few. The score itself sees the text alone.
 
-The classifier is fitted on at most `sample` labelled rows a class, taken by a hash of the id; every
-document is scored over its whole text.
+The classifier is fitted on at most `sample` labelled rows a class, taken by a hash of the id; its bias is then
+shifted by the log ratio of what of each class was taken to all there is, so that scores mean the same at
+every size. Every document is scored over its whole text.
 
 Defined results: null or blank text has no words: its pooled values are zero and its score is what the
 bias gives; labels that are null or not 0/1 aren't learned from; several labels of an id each count;
@@ -202,12 +203,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = persisted(texts.mapInArrow(_examples, "doc_id long, lang string, toxic int, words binary"), "examples")
     model = Classifier()
     t = got.orderBy("doc_id", "toxic").toArrow()
+    there = {r["toxic"]: r["count"] for r in mine.groupBy("toxic").count().collect()}
     removed(chosen, got)
     feats = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in t["words"].to_pylist()]
     y = t["toxic"].to_numpy().astype(np.float32)
     if not len(y):
         return model
     model.fit(feats, y)
+    if model.trained:
+        model.bias += np.float32(np.log(max(1.0, there[1] / sample)) - np.log(max(1.0, there[0] / sample)))
     model.fitted = t["doc_id"].unique().to_pylist()
     return model
 

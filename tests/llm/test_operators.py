@@ -364,6 +364,14 @@ def test_toxicity_thresholds_cover_all_labelled_rows(spark):
         assert t == max(f1, key=lambda s: (f1[s], -s))
 
 
+def test_toxicity_bias_follows_the_share_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity.Classifier, "fit", lambda self, feats, labels: setattr(self, "trained", True))
+    docs = spark.createDataFrame([(i, "word", "en", "s0", 0) for i in range(600)], SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int"), 20)
+    n = collections.Counter(i % 10 == 0 for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert math.isclose(model.bias, math.log(n[True] / n[False]), rel_tol=1e-5)  # 20 of each were taken
+
+
 def test_untrained_toxicity_rejects_nothing(spark, docs, rows):
     schema = "doc_id long, toxic int"
     for labels in ([], [(i, 0) for i in range(100)], [(i, 1) for i in range(100)], [(10**6, 1), (10**6 + 1, 0)]):
