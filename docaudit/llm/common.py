@@ -42,6 +42,17 @@ def removed(*frames: DataFrame) -> None:
             drop_path(spark, f)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        out.append(stem)
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,9 +10,12 @@ Exact: no link between two sets of similarity 0.8 or more is missed, and every l
    so only these leading shingles are handed on, and of them those that some other set has too.
 3. Rows of a leading shingle are compared star-wise in rounds: each with one row of the shingle that
    belongs to another component so far, picked anew each round; sizes and places in the order must
-   allow the overlap. Last, rows outside a shingle's largest component are compared with all rows that
-   are still in other components, if they share enough leading shingles. Within a component nothing more is compared, so large groups of near
-   copies cost a few rounds, not all pairs.
+   allow the overlap. Within a component nothing more is compared.
+   Sets still outside the largest component of a shingle then go by their difference from that component's
+   hub, the set with most links. Two sets differ by as much as their differences do, and what a group has in
+   common is gone from these, so a prefix filter over differences pairs few sets even of a group whose
+   members are all alike. It serves sets that have half or more in common with the hub, and by the triangle
+   inequality all that are similar to one of these; the rest meet by leading shingle.
 4. Candidate pairs are counted by vertical partitioning: the order of hashes is cut into FRAGMENTS,
    each text's set into segments of these; overlaps of segments are counted apart and summed by pair.
 
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm import bytewords as B
-from docaudit.llm.common import persisted, removed
+from docaudit.llm.common import persisted, removed, unused
 from docaudit.llm.components import components
 
 WIDTH = 5
@@ -42,9 +45,13 @@ PERCENT = 80
 SLOT_BITS = 22
 FREQUENT = 3
 FRAGMENTS = 8
-ROUNDS = 3
+ROUNDS = 2
+#: Largest Jaccard distance in percent from its hub at which a set goes by its difference.
+NEAR = 50
 #: Bits of the filter that spares texts without a candidate a second reading; more texts only blunt it.
 FILTER_BITS = 1 << 24
+#: Ids of sets that a task remembers, so that equal ones give their hashes once.
+REMEMBERED = 1 << 18
 SETS = "doc_id long, n long, sid long, h array<long>"
 
 
@@ -91,6 +98,8 @@ def _sets(width: int, percent: int, classes):
         given: set[int] = set()
         for batch in batches:
             for b, sets in _texts(batch, width):
+                if len(given) > REMEMBERED:
+                    given.clear()
                 ids, parts, null = [], [], []
                 for x in sets:
                     n, i = len(x), set_id(x)
@@ -181,6 +190,42 @@ def _pairs(rows: DataFrame) -> DataFrame:
     })
 
 
+def _differences(at: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """at (sid, n, c, hub, apart) -> what each set lacks of its hub and has beyond it, in the order of a prefix
+    filter: what the hub lacks first, then by hash. Adds size (of the difference), near, similar and lone."""
+    own = segments.select("sid", "f", "h")
+    hubs = segments.select(F.col("sid").alias("hub"), "f", F.col("h").alias("hh"))
+    less = lambda x, y: F.sort_array(F.flatten(F.collect_list(F.array_except(x, y))))
+    x = at.join(own, "sid").join(hubs, ["hub", "f"]).groupBy("sid", "n", "c", "hub", "apart").agg(
+        F.concat(less("h", "hh"), less("hh", "h")).alias("d"), F.sum(F.size("hh")).alias("n_hub")
+    ).withColumn("size", F.size("d").cast("long"))
+    union2 = F.col("n") + F.col("n_hub") + F.col("size")  # twice the union of the set and its hub
+    similar = (100 + percent) * F.col("size") <= (100 - percent) * (F.col("n") + F.col("n_hub"))
+    x = x.withColumns({"near": 200 * F.col("size") <= NEAR * union2, "mid": 200 * F.col("size") <= (NEAR + 100 - percent) * union2, "similar": similar})
+    return x.withColumn("lone", F.col("apart") & ~F.col("similar"))
+
+
+def _by_difference(x: DataFrame, percent: int) -> DataFrame:
+    """Pairs (sid, n, o, on) whose differences from a common hub may overlap enough. With Q the share of both
+    sizes by which similar sets may differ, differences of sizes s and t must share (s + t - Q (n + on)) / 2. A
+    lone set has s > Q (n + n_hub), and no set has t < |on - n_hub|; this bounds what each side must share."""
+    q, whole = 100 - percent, 100 + percent
+    least = lambda sizes: F.ceil((whole * F.col("size") - q * sizes) / (2 * whole))
+    short = F.col("size") - least(F.col("n") - F.col("n_hub")) + 1
+    long = F.col("size") - least(F.col("n") + F.col("n_hub")) + 1
+    rows = x.where("mid and size > 0").withColumns({"short": short, "to": F.when(F.col("lone"), F.greatest(long, short)).otherwise(short)})
+    rows = rows.select("hub", "sid", "n", "c", "size", "near", "lone", "short", F.posexplode(F.slice("d", F.lit(1), F.col("to").cast("int"))).alias("k", "g"))
+    rows = rows.withColumn("early", F.col("k") < F.col("short")).drop("short")
+    names = {y: f"o_{y}" for y in ("sid", "n", "c", "size", "near", "lone", "k")}
+    other = rows.where("early").drop("early").withColumnsRenamed(names)
+    room = F.least(F.col("size") - F.col("k"), F.col("o_size") - F.col("o_k"))  # k counts from 0
+    enough = 2 * whole * room >= whole * (F.col("size") + F.col("o_size")) - q * (F.col("n") + F.col("o_n"))
+    once = ~F.col("o_lone") | (F.col("early") & (F.col("sid") < F.col("o_sid")))
+    sizes = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    met = (F.col("c") != F.col("o_c")) & (F.col("near") | F.col("o_near")) & sizes & enough & once
+    return rows.where("lone").join(other, ["hub", "g"]).where(met).select("sid", "n", F.col("o_sid").alias("o"), F.col("o_n").alias("on"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_id."""
     spark = docs.sparkSession
@@ -202,48 +247,66 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = pairs.join(leads.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(leads.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b")
         return x.withColumn("shared", F.size(F.array_intersect("ha", "hb"))).where(_enough("shared", percent)).select("a", "b", "both")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs of sets that are similar: one text of each set is read again, whole."""
-        some = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        bits = ones.join(some, "sid", "left_semi").select(bit.alias("b"))
+    def whole(ids: DataFrame) -> DataFrame:
+        """Segments of the whole sets: one text of each is read again."""
+        bits = ones.join(ids, "sid", "left_semi").select(bit.alias("b"))
         bits = bits.groupBy(F.shiftright("b", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("v")).toArrow()
         wanted = np.zeros(FILTER_BITS // 8, np.uint8)
         wanted[bits["at"].to_numpy()] = bits["v"].to_numpy().astype(np.uint8)
         shared = spark.sparkContext.broadcast(wanted)
-        segments = persisted(base.select("text", bit.alias("bit")).mapInArrow(_segments(width, shared), "sid long, f int, h array<long>"), "segments")
+        return persisted(base.select("text", bit.alias("bit")).mapInArrow(_segments(width, shared), "sid long, f int, h array<long>"), "segments")
+
+    def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        """Pairs of sets that are similar."""
         found = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
-        links = persisted(found.where((100 + percent) * F.col("n") >= percent * F.col("both")).select("a", "b"), "links")
-        removed(segments)
-        return links
+        return found.where((100 + percent) * F.col("n") >= percent * F.col("both")).select("a", "b")
 
-    tested = links = None
-    roots = spark.createDataFrame([], "id long, root long")
-    for turn in range(ROUNDS + 1):
+    def open_rows(roots: DataFrame) -> DataFrame:
+        """Rows of shingles that more than one component has."""
         now = rows.join(roots, rows["sid"] == roots["id"], "left").select(*rows.columns, F.coalesce("root", "sid").alias("c"))
         mixed = now.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
-        now = persisted(now.join(mixed, "g", "left_semi"), "open")
-        if turn < ROUNDS:
-            # first the row whose set has least of its own before the shingle, which lies nearest to the
-            # middle of a group; then others, by a number that changes with the round
-            pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("k", "sid")
-            star = now.groupBy("g").agg(F.min_by(F.struct("sid", "n", "k", "c"), pick).alias("s"))
-            pairs = now.join(star, "g").where("c <> s.c").select("sid", "n", "k", F.col("s.sid").alias("o"), F.col("s.n").alias("on"), F.col("s.k").alias("ok"))
-            pairs = enough(_pairs(pairs.where(_fits(percent) & _first(percent))).select("a", "b", "both", "n", "on").distinct())
-        else:
-            main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-            apart = now.join(main, "g").where("c <> main")
-            other = now.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
-            meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent)
-            pairs = _pairs(apart.join(other, "g").where(meet).withColumn("first", _first(percent)))
-            pairs = pairs.groupBy("a", "b", "both", "n", "on").agg(F.count("*").alias("shared"), F.bool_or("first").alias("first"))
-            pairs = pairs.where(F.col("first") & _enough("shared", percent)).select("a", "b", "both")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = persisted(pairs, "pairs")
-        new = spark.createDataFrame([], "a long, b long") if pairs.isEmpty() else linked(pairs)
+        return persisted(now.join(mixed, "g", "left_semi"), "open")
+
+    none = spark.createDataFrame([], "a long, b long")
+    tested, links, roots = none, none, spark.createDataFrame([], "id long, root long")
+    for turn in range(ROUNDS):
+        now = open_rows(roots)
+        # first the row whose set has least of its own before the shingle, which lies nearest to the
+        # middle of a group; then others, by a number that changes with the round
+        pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("k", "sid")
+        star = now.groupBy("g").agg(F.min_by(F.struct("sid", "n", "k", "c"), pick).alias("s"))
+        pairs = now.join(star, "g").where("c <> s.c").select("sid", "n", "k", F.col("s.sid").alias("o"), F.col("s.n").alias("on"), F.col("s.k").alias("ok"))
+        pairs = enough(_pairs(pairs.where(_fits(percent) & _first(percent))).select("a", "b", "both", "n", "on").distinct())
+        pairs = persisted(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            segments = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+            links = links.unionByName(persisted(linked(pairs, segments), "links"))
+            removed(segments)
+            roots = components(links)
+        tested = tested.unionByName(pairs.select("a", "b"))
+        removed(now)
+
+    now = open_rows(roots)
+    if not now.isEmpty():
+        main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        hubs = ends.join(roots, "id").groupBy("root").agg(F.max_by("id", F.struct("links", "id")).alias("hub"))
+        last = persisted(
+            now.join(main.join(hubs, F.col("main") == F.col("root"), "left").select("g", "main", F.coalesce("hub", "main").alias("hub")), "g"), "last"
+        )
         removed(now)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = new if links is None else links.unionByName(new)
+        at = last.where("sid <> hub").select("sid", "n", "c", "hub", (F.col("c") != F.col("main")).alias("apart")).distinct()
+        segments = whole(last.select(F.explode(F.array("sid", "hub")).alias("sid")).distinct())
+        from_hub = persisted(_differences(at, segments.dropDuplicates(["sid", "f"]), percent), "differences")
+        near = _pairs(_by_difference(from_hub, percent)).select("a", "b", "both").distinct()
+        far = last.join(from_hub.where("not near").select("sid", "hub"), ["sid", "hub"], "left_semi")
+        other = far.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
+        meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent) & _first(percent)
+        apart = enough(_pairs(far.where("c <> main").join(other, "g").where(meet)).select("a", "b", "both", "n", "on").distinct())
+        pairs = persisted(near.unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        to_hub = from_hub.where("apart and similar").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+        links = links.unionByName(persisted(linked(pairs, segments).unionByName(to_hub), "links"))
+        removed(last, segments, from_hub)
         roots = components(links)
     removed(leads, rows)
     mine = sets.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("id"), "left").select(
@@ -262,6 +325,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays. Rows without an id stay where no id is in their component."""
     best = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    best = best.select(key.alias("__key")).distinct()
-    found = docs.withColumns({"__key": key, "__text": F.xxhash64("text")}).join(best, "__key", "left_semi")
-    return found.dropDuplicates(["__key", "__text"]).select(*docs.columns)
+    k, t = unused(docs, "key", "text_hash")
+    best = best.select(key.alias(k)).distinct()
+    found = docs.withColumns({k: key, t: F.xxhash64("text")}).join(best, k, "left_semi")
+    return found.dropDuplicates([k, t]).select(*docs.columns)
