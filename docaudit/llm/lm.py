@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm import bytewords as B
@@ -249,15 +249,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_p(batches: Iterator[pa.RecordBatch], low: list[Order]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, hash, n) in the order of the last three bytes of the contexts -> part, kind, hash, v: log10 P."""
+    """Distinct symbols in context (hash, c) in the order of the contexts' last three bytes -> kind, hash, v: log10 P."""
     held: list[pa.RecordBatch] = []
 
     def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k, at = np.unique(t["hash"].to_numpy(), return_inverse=True)
-        c = np.zeros(len(k), np.int64)
-        np.add.at(c, at, t["n"].to_numpy())
-        v = Model(orders(k[c > 0], c[c > 0], ORDER, low)).log_p(k)[at]
-        yield from pa.table([t["part"], pa.array(np.full(len(at), 2, np.int8)), t["hash"], pa.array(v)], names=["part", "kind", "hash", "v"]).to_batches(SLICE)
+        k, c = t["hash"].to_numpy(), t["c"].to_numpy()
+        o = np.argsort(k)
+        k, c = k[o], c[o]
+        v = Model(orders(k[c > 0], c[c > 0], ORDER, low)).log_p(k)
+        yield from pa.table([pa.array(np.full(len(k), 2, np.int8)), pa.array(k), pa.array(v)], names=["kind", "hash", "v"]).to_batches(SLICE)
 
     for b in batches:
         held.append(b)
@@ -275,7 +275,7 @@ def _log_p(batches: Iterator[pa.RecordBatch], low: list[Order]) -> Iterator[pa.R
 #: Rows handed on at once.
 SLICE = 100_000
 #: Bytes of text whose words and contexts are looked up together; bounds what one later task holds.
-GROUP = 16_000_000
+GROUP = 32_000_000
 
 
 def _scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -314,25 +314,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     spark = docs.sparkSession
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", residue("doc_id", mod) == held)
     got = persisted(x.mapInArrow(_scan, "part long, kind byte, hash long, n long, doc_id long, held_out boolean, text string"), "scanned", "zstd")
-    # a word's count in all training texts, beside each group that has the word
-    words = got.where("kind = 0").select("part", "kind", "hash", F.sum("n").over(Window.partitionBy("hash")).cast("double").alias("v"))
-    totals = got.where("kind = 0").groupBy("hash").agg(F.sum("n").alias("c")).agg(
-        F.sum("c").alias("t"), F.count_if(F.col("c") > 0).alias("v")
-    ).first()
+    asked = got.where("kind <> 1")
+    # sums come before anything meets by key, so a common word or context costs no task more than its groups
+    counts = persisted(asked.groupBy("kind", "hash").agg(F.sum("n").alias("c")), "counts", "zstd")
+    totals = counts.where("kind = 0").agg(F.sum("c").alias("t"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_docs = got.where("kind = 1 and not held_out").count()
-    asked = got.where("kind = 2").select("part", "hash", "n")
-    low = asked.where("n > 0").groupBy((F.col("hash") % F.lit(BASE**3)).alias("k")).agg(F.sum("n").alias("c")).toArrow()
+    low = counts.where("kind = 2 and c > 0").groupBy((F.col("hash") % F.lit(BASE**3)).alias("k")).agg(F.sum("c").alias("c")).toArrow()
     shared = spark.sparkContext.broadcast(orders(low["k"].to_numpy(), low["c"].to_numpy(), 2))
     tail = F.expr(f"hash % {BASE**ORDER} div {BASE}")
-    contexts = asked.repartition(partitions(spark), tail).sortWithinPartitions(tail).mapInArrow(
-        lambda it: _log_p(it, shared.value), "part long, kind byte, hash long, v double"
+    contexts = counts.where("kind = 2").select("hash", "c").repartition(partitions(spark), tail).sortWithinPartitions(tail).mapInArrow(
+        lambda it: _log_p(it, shared.value), "kind byte, hash long, v double"
     )
+    values = contexts.unionByName(counts.where("kind = 0").select("kind", "hash", F.col("c").cast("double").alias("v")))
+    values = asked.select("part", "kind", "hash").join(values, ["kind", "hash"]).select(F.col("part").alias("of"), "kind", "hash", "v")
     texts = got.where("kind = 1").select(
         "part", "doc_id", "held_out", "text",
         F.lit((totals["t"] or 0) + n_docs).cast("long").alias("train_tokens"),
         F.lit((totals["v"] or 0) + (n_docs > 0)).cast("long").alias("train_words"), F.lit(n_docs).cast("long").alias("train_docs"),
     )
     return (
-        texts.groupBy("part").cogroup(words.unionByName(contexts).groupBy("part"))
+        texts.groupBy("part").cogroup(values.groupBy("of"))
         .applyInArrow(_scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

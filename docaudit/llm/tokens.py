@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,7 +201,7 @@ def _manifest(table: pa.Table) -> pa.Table:
     root = merkle(table["root"].to_pylist())
     return pa.table({
         "range": pa.array([table["range"][0].as_py()], pa.int64()), "root": pa.array([root], pa.binary()),
-        "documents": pa.array([table.num_rows], pa.int64()), "ids": pa.array([pa.compute.sum(table["n"]).as_py()], pa.int64()),
+        "documents": pa.array([table.num_rows], pa.int64()), "ids": pa.array([pc.sum(table["n"]).as_py()], pa.int64()),
     })
 
 
