@@ -46,6 +46,8 @@ SLOT_BITS = 22
 FREQUENT = 3
 FRAGMENTS = 8
 ROUNDS = 2
+#: Rows of a shingle that are compared with one another as they are; of more, each goes by its hub.
+SMALL = 64
 #: Largest Jaccard distance in percent from its hub at which a set goes by its difference.
 NEAR = 50
 #: Bits of the filter that spares texts without a candidate a second reading; more texts only blunt it.
@@ -288,25 +290,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     now = open_rows(roots)
     if not now.isEmpty():
-        main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+        main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("rows"))
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
         hubs = ends.join(roots, "id").groupBy("root").agg(F.max_by("id", F.struct("links", "id")).alias("hub"))
-        last = persisted(
-            now.join(main.join(hubs, F.col("main") == F.col("root"), "left").select("g", "main", F.coalesce("hub", "main").alias("hub")), "g"), "last"
+        main = main.join(hubs, F.col("main") == F.col("root"), "left").select(
+            "g", "main", F.when(F.col("rows") > SMALL, F.coalesce("hub", "main")).alias("hub")
         )
+        last = persisted(now.join(main, "g"), "last")
         removed(now)
-        at = last.where("sid <> hub").select("sid", "n", "c", "hub", (F.col("c") != F.col("main")).alias("apart")).distinct()
-        segments = whole(last.select(F.explode(F.array("sid", "hub")).alias("sid")).distinct())
+        large = last.where("hub is not null")
+        at = large.where("sid <> hub").select("sid", "n", "c", "hub", (F.col("c") != F.col("main")).alias("apart")).distinct()
+        segments = whole(large.select(F.explode(F.array("sid", "hub")).alias("sid")).distinct())
         from_hub = persisted(_differences(at, segments.dropDuplicates(["sid", "f"]), percent), "differences")
+        removed(segments)
         near = _pairs(_by_difference(from_hub, percent)).select("a", "b", "both").distinct()
-        far = last.join(from_hub.where("not near").select("sid", "hub"), ["sid", "hub"], "left_semi")
-        other = far.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
+        far = large.join(from_hub.where("not near").select("sid", "hub"), ["sid", "hub"], "left_semi").select(*last.columns)
+        left = last.where("hub is null").unionByName(far)
+        other = left.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
         meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent) & _first(percent)
-        apart = enough(_pairs(far.where("c <> main").join(other, "g").where(meet)).select("a", "b", "both", "n", "on").distinct())
+        apart = enough(_pairs(left.where("c <> main").join(other, "g").where(meet)).select("a", "b", "both", "n", "on").distinct())
         pairs = persisted(near.unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         to_hub = from_hub.where("apart and similar").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+        segments = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
         links = links.unionByName(persisted(linked(pairs, segments).unionByName(to_hub), "links"))
-        removed(last, segments, from_hub)
+        removed(last, segments, from_hub, pairs)
         roots = components(links)
     removed(leads, rows)
     mine = sets.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("id"), "left").select(
