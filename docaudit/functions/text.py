@@ -25,6 +25,11 @@ def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
+def sign_count(c: Column, sign: str) -> Column:
+    """How often a text has one character."""
+    return (F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))).cast("long")
+
+
 def hits(text: Column, pattern: str) -> Column:
     """array<struct<pos, m>> of a pattern's matches, positions from 0. Matches are marked in place, so
     look-around sees the text itself; texts without a match skip the fold."""
@@ -59,11 +64,14 @@ def spliced(text: Column, pos: Column, radius: int, size: Column, new: Column) -
     return F.concat(F.substring(ctx, F.lit(1), local), new, F.substring(ctx, local + size + 1, F.length(ctx)))
 
 
-def unit_hash(text: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 units, as a long."""
-    units = F.transform(
-        F.when(F.length(text) > 0, F.sequence(F.lit(1), (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))).otherwise(F.expr("cast(array() as array<int>)")),
-        lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-16BE"), (i - 1) * 2 + 1, F.lit(2))), 16, 10).cast("long"),
-    )
+def unit_hash(text: Column, start: Column | None = None) -> Column:
+    """32-bit FNV-1a over UTF-16 units, as a long; with start, what goes on from a hash. One pass over the
+    characters: one beyond the first plane is two units."""
+    code = lambda c: F.ascii(c).cast("long")
     step = lambda h, u: ((h.bitwiseXOR(u)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(units, F.lit(2166136261).cast("long"), step)
+    high = lambda x: F.shiftright(x - 65536, 10) + 0xD800
+    low = lambda x: (x - 65536).bitwiseAND(F.lit(1023)) + 0xDC00
+    fold = lambda h, x: F.when(x < 65536, step(h, x)).otherwise(step(step(h, high(x)), low(x)))
+    first = F.lit(2166136261).cast("long") if start is None else start
+    codes = F.transform(F.split(text, "", -1), code)
+    return F.when(text == "", first).otherwise(F.aggregate(codes, first, fold))

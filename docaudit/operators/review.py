@@ -13,12 +13,16 @@ FULL = BASIC | {
     "noteContentChecks", "toc", "bibliography", "capsWords", "numbering", "greek", "markdown", "urls", "emptyHeadings", "repetition", "headersFooters",
 }
 CHECKS = [
-    ("brackets", R.BRACKETS), ("quotes", R.QUOTES), ("markdown", R.MARKDOWN), ("spacing", R.SPACING), ("scriptMix", R.SCRIPT), ("greek", R.GREEK),
-    ("duplicates", R.DOUBLED), ("toc", R.TOC), ("numbering", R.NUMBERING), ("bibliography", R.BIBLIOGRAPHY), ("urls", R.URL),
-    ("repetition", R.REPETITION), ("capsWords", R.CAPITALS), ("emptyHeadings", R.STRUCTURE),
+    ("brackets", R.BRACKETS, "Nebalansirane zagrade"), ("quotes", R.QUOTES, "Navodnici"), ("markdown", R.MARKDOWN, "Markdown artefakti"),
+    ("spacing", R.SPACING, "Razmaci i interpunkcija"), ("scriptMix", R.SCRIPT, "Mešanje ćirilice/latinice"), ("greek", R.GREEK, "Grčki citati bez prevoda"),
+    ("duplicates", R.DOUBLED, "Duple reči"), ("toc", R.TOC, "TOC vs naslovi"), ("numbering", R.NUMBERING, "Numeracija lista"),
+    ("bibliography", R.BIBLIOGRAPHY, "Bibliografija"), ("urls", R.URL, "URL-ovi"), ("repetition", R.REPETITION, "Ponovljeni pasusi"),
+    ("capsWords", R.CAPITALS, "ALL-CAPS reči"), ("emptyHeadings", R.STRUCTURE, "Prazni naslovi"),
 ]
-EXEMPT = ("[", "TOC:", "Stavka", "Lista", "Izvor", "Citiran")
-SYNTHETIC = ("fn-", "en-", "hdr-", "ftr-", "doc-")
+# What an audit must have covered to be final, and the words for it.
+REQUIRED = ("grammar", "visual_layout", "style")
+COVERED = {"proofreading": "determinističke provere", "grammar": "gramatička analiza", "style": "stilska analiza", "visual_layout": "vizuelni pregled"}
+LACKING = {"grammar": "gramatika", "style": "stil", "visual_layout": "vizuelni prelom"}
 LEAST_CONFIDENCE = 0.60
 
 
@@ -26,68 +30,76 @@ def numbered(found: DataFrame) -> DataFrame:
     """Findings in the order of their checks and places, with seq and finding_id."""
     order = Window.partitionBy("doc_id").orderBy("check_ord", "ord", "sub_ord", "match_pos", "original", "replacement")
     x = found.withColumn("seq", F.row_number().over(order))
-    return x.withColumns({"finding_id": F.concat(F.lit("F-"), F.lpad(F.col("seq").cast("string"), 4, "0")), "status": F.lit("OPEN")})
+    return x.withColumns({"finding_id": F.format_string("F-%04d", "seq"), "status": F.lit("OPEN")})
 
 
-def verified(found: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(found: DataFrame) -> DataFrame:
     """Drops findings that change nothing, repeat an earlier one of the document, are too uncertain, or
-    whose text doesn't stand in their element."""
+    whose text doesn't stand in their element. The window's key begins with that of numbered(), so nothing is
+    shuffled again."""
     x = found.where(~F.col("original").eqNullSafe(F.col("replacement")))
     key = Window.partitionBy("doc_id", "paragraph_id", "category", "original", "replacement").orderBy("seq")
-    x = x.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n").where(F.col("confidence") >= LEAST_CONFIDENCE)
-    starts = lambda c, heads: F.lit(False) if not heads else c.rlike("^(" + "|".join("\\Q" + h + "\\E" for h in heads) + ")")
-    free = F.col("global_pattern") | starts(F.col("original"), EXEMPT) | starts(F.col("paragraph_id"), SYNTHETIC)
-    clean = F.regexp_replace(F.regexp_replace("original", r"^\.\.\.", ""), r"\.\.\.\z", "")
-    place = rows.select("doc_id", F.col("id").alias("paragraph_id"), F.col("text").alias("_text")).dropDuplicates(["doc_id", "paragraph_id"])
-    stands = F.col("_text").isNotNull() & ((F.col("_text") == "") | (F.length(clean) <= 3) | F.contains("_text", clean))
-    return x.join(place, ["doc_id", "paragraph_id"], "left").where(free | stands).drop("_text")
-
-
-def scanned(rows: DataFrame, kind: str = "txt") -> DataFrame:
-    """doc_id, area, count: the elements each check looks at."""
-    text, par, head = F.col("text"), F.col("type") == "paragraph", F.col("type") == "heading"
-    some = (text != "").cast("long")
-    doc = Window.partitionBy("doc_id")
-    x = rows.withColumn("fh", F.min(F.when(head, F.col("ord"))).over(doc))
-    t = R.trimmed(text)
-    shout = (t == F.upper(t)) & (t != F.lower(t))
-    caps = par & (text != "") & (F.col("fh").isNull() | (F.col("ord") >= F.col("fh"))) & ~text.rlike(r"\.{3,}") & ~shout
-    entries = R.bibliography_entries(rows)[0].groupBy("doc_id").agg(F.count("*").alias("bibliography"))
-    sums = x.groupBy("doc_id").agg(
-        F.sum((t != "").cast("long")).alias("brackets"), *[F.sum(some).alias(k) for k in ("quotes", "spacing", "scriptMix", "greek", "duplicates", "urls")],
-        (F.sum(some) if kind != "markdown" else F.lit(0).cast("long")).alias("markdown"), F.count_if(par & text.rlike(R.TOC_LINE)).alias("toc"),
-        F.count_if(text.rlike(f"^{R.WS}*(\\d+)[.)]{R.WS}")).alias("numbering"), F.count_if(par & (F.length(t) >= 50)).alias("repetition"),
-        F.count_if(caps).alias("capsWords"), F.count_if(head).alias("emptyHeadings"),
-    ).join(entries, "doc_id", "left").fillna(0, ["bibliography"])
-    return sums.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("area"), F.col(k).cast("long").alias("count")) for k, _ in CHECKS])).alias("x")).select("doc_id", "x.*")
-
-
-def passed_checks(found: DataFrame, rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
+    x = x.withColumn("_n", F.row_number().over(key)).where((F.col("_n") == 1) & (F.col("confidence") >= LEAST_CONFIDENCE))
+    return x.where("stands").drop("_n", "stands")
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """Marked elements -> doc_id, check, count: the elements each check looks at."""
+    bits = [F.sum(F.shiftright("seen", i).bitwiseAND(F.lit(1)).cast("long")).alias(k) for i, (k, *_) in enumerate(CHECKS)]
+    each = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("count")) for k, *_ in CHECKS])
+    return rows.groupBy("doc_id").agg(*bits).select("doc_id", F.inline(each))
+
+
+def passed_checks(found: DataFrame, rows: DataFrame, options: set[str]) -> DataFrame:
     """Checks that are on and have no finding of their category, before verification."""
-    category = F.create_map(*[F.lit(y) for kv in CHECKS for y in kv])
-    counts = scanned(rows, kind).where(F.col("area").isin(sorted(options))).withColumn("category", F.element_at(category, F.col("area")))
-    return counts.join(found.select("doc_id", "category").distinct(), ["doc_id", "category"], "left_anti").select("doc_id", "area", F.lit("Bez grešaka").alias("result"), "count")
+    named = lambda i: F.element_at(F.create_map(*[F.lit(y) for x in CHECKS for y in (x[0], x[i])]), F.col("check"))
+    counts = scanned(rows).where(F.col("check").isin(sorted(options))).withColumns({"category": named(1), "area": named(2)})
+    some = found.select("doc_id", "category").distinct()
+    return counts.join(some, ["doc_id", "category"], "left_anti").select("doc_id", "area", F.lit("Bez grešaka").alias("result"), "count")
+
+
+def scope(options: set[str], preset: str = "full") -> dict:
+    """What an audit with these options covers, and a note that says so."""
+    on = {
+        "preset": preset, "proofreading": bool(set(options) & {*(k for k, *_ in CHECKS), "footnotes"}), "grammar": "grammar" in options, "style": "style" in options,
+        "bibliography": "bibliography" in options, "visual_layout": "visualLayout" in options, "fact_checking": False, "web_research": False,
+    }
+    done, not_done = ", ".join(v for k, v in COVERED.items() if on[k]), lacking(on)
+    return on | {"note": f"Izvršeno: {done or 'ništa'}." + (f" Nije izvršeno: {not_done}." if not_done else "")}
+
+
+def lacking(on: dict) -> str:
+    return ", ".join(v for k, v in LACKING.items() if not on[k])
 
 
-def summary(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Counts of each document by priority and status, also of documents without findings; the gate: no
-    open blocker, mandatory or verification finding."""
+def summary(found: DataFrame, docs: DataFrame, options: set[str] = FULL, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Counts of each document by priority and status, also of documents without findings; the gate: all that is
+    required was covered, and no blocker, mandatory or verification finding is open."""
     count = lambda c: F.count_if(c).cast("long")
     p, is_open = F.col("priority"), F.col("status") == "OPEN"
     sums = found.groupBy("doc_id").agg(
         F.count("*").alias("total"), count(p == "BLOCKER").alias("blocker"), count(p == R.MUST).alias("mandatory"), count(p == R.CHECK).alias("verify"),
         count(p == R.SHOULD).alias("recommended"), count(is_open).alias("open"), count(F.col("status") == "DONE").alias("done"),
-        count(F.col("status") == "REJECTED").alias("rejected"), count(is_open & p.isin("BLOCKER", R.MUST)).alias("open_must"),
-        count(is_open & (p == R.CHECK)).alias("open_verify"), F.count_distinct("category").alias("categories"),
+        count(F.col("status") == "REJECTED").alias("rejected"), count(is_open & (p == "BLOCKER")).alias("open_blocker"),
+        count(is_open & (p == R.MUST)).alias("open_mandatory"), count(is_open & (p == R.CHECK)).alias("open_verify"),
+        count(is_open & (p == R.SHOULD)).alias("open_recommended"), F.count_distinct("category").alias("categories"),
     )
     x = docs.select("doc_id").distinct().join(sums, "doc_id", "left").fillna(0)
-    return x.withColumn("gate", (F.col("open_must") == 0) & (F.col("open_verify") == 0)).withColumn("assessment", assessment())
+    on = scope(options)
+    none_open = (F.col("open_blocker") == 0) & (F.col("open_mandatory") == 0) & (F.col("open_verify") == 0)
+    x = x.withColumn("gate", none_open & F.lit(all(on.get(c) is True for c in required)))
+    return x.withColumns({"status": F.when(F.col("gate"), "POTPUN").otherwise("DELIMIČAN"), "assessment": assessment(none_open, on)})
 
 
-def assessment() -> Column:
+def assessment(none_open: Column, on: dict) -> Column:
+    # The wording of the four outcomes.
+    final, some = F.col("gate"), F.col("open_recommended") > 0
     return (
-        F.when(F.col("open_must") > 0, F.format_string("open mandatory findings: %d", "open_must")).when(F.col("open_verify") > 0, F.format_string("open findings to verify: %d", "open_verify"))
-        .when(F.col("open") > 0, "only recommendations open").otherwise("nothing open")
+        F.when(final & ~some, "Audit je završen. Sve provere su prošle bez nalaza.")
+        .when(final, F.format_string("Nema otvorenih blokirajućih, obaveznih ni nalaza za proveru. Postoji %d preporuka.", "open_recommended"))
+        .when(none_open, f"Determinističke provere su završene. Nedostaje: {lacking(on) or 'ništa'}.")
+        .otherwise(F.format_string(
+            "Dokument ima %d obaveznih, %d blokirajućih i %d za proveru. Nije spreman za objavljivanje.", "open_mandatory", "open_blocker", "open_verify"))
     )
 
 

@@ -1,7 +1,8 @@
 """Rules over elements (doc_id, ord, type, level, text, section, id).
 
-Local rules are columns of array<finding>, so one pass reads each text once for all of them; rules that
-need the whole document are windows and joins keyed by doc_id.
+Most rules are columns of array<finding>, so one pass reads each text once for all of them. What a rule needs of
+the rest of its document comes from windows that share one shuffle by doc_id (in_context). Rules that compare
+elements with one another are joins of the narrow columns that the same pass leaves (marked).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import EDGE_LEFT, EDGE_RIGHT, NOT_WS, WS, collapsed, count_of, hits, spliced, trimmed, window
+from docaudit.functions.text import EDGE_LEFT, EDGE_RIGHT, NOT_WS, WS, collapsed, hits, sign_count, spliced, trimmed, window
 from docaudit.sources.paragraphs import in_order
 
 # Categories, priorities and wording of findings.
@@ -70,10 +71,10 @@ FINDING = (
 )
 
 
-def finding(rule: str, category: str, priority: str, confidence: float, original, replacement, rationale, check: int, sub: int = 0, pos=None, fix: bool = False, source: bool = False, whole: bool = False) -> Column:
+def finding(rule: str, category: str, priority: str, confidence, original, replacement, rationale, check: int, sub: int = 0, pos=None, fix: bool = False, source: bool = False, whole: bool = False) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
-        F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"),
+        F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"),
         text(original).alias("original"), text(replacement).alias("replacement"), text(rationale).alias("rationale"), F.lit(fix).alias("auto_fixable"),
         F.lit(source).alias("requires_source_verification"), F.lit(whole).alias("global_pattern"), F.lit(check).alias("check_ord"), F.lit(sub).alias("sub_ord"),
         (F.lit(0) if pos is None else pos).cast("int").alias("match_pos"),
@@ -249,27 +250,29 @@ def bracket_errors(text: Column, code: Column | None = None, markers: bool = Tru
     return F.when(text.rlike(r"[()\[\]{}]"), fold).otherwise(none)
 
 
-def brackets(rows: DataFrame) -> DataFrame:
-    """Crossed, orphan and unclosed brackets of body elements. Orphans and unclosed ones are let pass where
-    the document has ten or more of their kind and opens and closes differ by two at most."""
-    doc = Window.partitionBy("doc_id")
-    for o, c, name in (("\\(", "\\)", "b0"), ("\\[", "\\]", "b1"), ("\\{", "\\}", "b2")):
-        opened, closed = F.sum(count_of(F.col("text"), o)).over(doc), F.sum(count_of(F.col("text"), c)).over(doc)
-        rows = rows.withColumn(name, (opened + closed >= 10) & (F.abs(opened - closed) <= 2))
-    text = F.col("text")
-    found = rows.where(text.rlike(r"[()\[\]{}]")).withColumn("e", F.explode(bracket_errors(text, code_like(text))))
-    e = F.col("e")
-    kind = F.coalesce(e["open"], F.translate(e["close"], ")]}", "([{"))
-    level = F.when(kind == "(", F.col("b0")).when(kind == "[", F.col("b1")).otherwise(F.col("b2"))
-    name = F.when(kind == "(", "obla").when(kind == "[", "uglasta").otherwise("vitičasta")
-    ctx = window(text, e["pos"], 40)
-    made = (
-        F.when(e["kind"] == "crossed", finding("unbalanced_brackets_body", BRACKETS, MUST, 0.95, ctx, quoted("[ukrštene zagrade: ", e["open"], "...", e["close"], "]"), quoted(
-            "Ukrštene zagrade: ", e["open"], " na poziciji ", e["open_pos"].cast("string"), " zatvorena sa ", e["close"], " na poziciji ", e["pos"].cast("string"), "."), 0, 0, e["pos"]))
-        .when(e["kind"] == "orphan_close", finding("unbalanced_brackets_body", BRACKETS, MUST, 0.98, ctx, quoted("[ukloniti višak „", e["close"], "“]"), quoted("Zatvorena zagrada ", e["close"], " bez odgovarajuće otvorene."), 0, 0, e["pos"]))
-        .otherwise(finding("unbalanced_brackets_body", BRACKETS, MUST, 0.98, ctx, quoted("[dodati „", e["close"], "“]"), quoted("Otvorena ", name, " zagrada bez zatvorene."), 0, 0, e["pos"]))
-    )
-    return as_findings(found.where((e["kind"] == "crossed") | ~level), made)
+def brackets(text: Column, balanced: Column, rule: str = "unbalanced_brackets_body") -> Column:
+    """Crossed, orphan and unclosed brackets. Orphans and unclosed ones of a kind are let pass where balanced
+    (struct<b0,b1,b2>, see in_context) says so of it."""
+    def of(e: Column) -> tuple[Column, Column]:
+        kind = F.coalesce(e["open"], F.translate(e["close"], ")]}", "([{"))
+        level = F.when(kind == "(", balanced["b0"]).when(kind == "[", balanced["b1"]).otherwise(balanced["b2"])
+        return level, F.when(kind == "(", "obla").when(kind == "[", "uglasta").otherwise("vitičasta")
+
+    def made(e: Column) -> Column:
+        close, open_, pos = e["close"], e["open"], e["pos"]
+        name = of(e)[1]
+        to = F.when(e["kind"] == "crossed", quoted("[ukrštene zagrade: ", open_, "...", close, "]")).when(
+            e["kind"] == "orphan_close", quoted("[ukloniti višak „", close, "“]")
+        ).otherwise(quoted("[dodati „", close, "“]"))
+        crossed = quoted("Ukrštene zagrade: ", open_, " na poziciji ", e["open_pos"].cast("string"), " zatvorena sa ", close, " na poziciji ", pos.cast("string"), ".")
+        why = F.when(e["kind"] == "crossed", crossed).when(
+            e["kind"] == "orphan_close", quoted("Zatvorena zagrada ", close, " bez odgovarajuće otvorene.")
+        ).otherwise(quoted("Otvorena ", name, " zagrada bez zatvorene."))
+        sure = F.when(e["kind"] == "crossed", 0.95).otherwise(0.98)
+        return finding(rule, BRACKETS, MUST, sure, window(text, pos, 40), to, why, 0, 0, pos)
+
+    errors = F.filter(bracket_errors(text, code_like(text)), lambda e: (e["kind"] == "crossed") | ~of(e)[0])
+    return F.when(text.rlike(r"[()\[\]{}]"), F.transform(errors, made))
 
 
 def semicolons(text: Column, rule: str = "unbalanced_brackets_body") -> Column:
@@ -294,6 +297,8 @@ def semicolons(text: Column, rule: str = "unbalanced_brackets_body") -> Column:
 # ---- rules over a document
 
 PLACE = ["doc_id", "ord", "section", "paragraph_id", "is_direct_quote"]
+#: Levels that a heading may have; one without a level counts as the first.
+LEVELS = range(1, 10)
 
 
 def direct_quote(text: Column, style: Column, all_italic: Column) -> Column:
@@ -308,103 +313,143 @@ def direct_quote(text: Column, style: Column, all_italic: Column) -> Column:
     )
 
 
-def as_findings(rows: DataFrame, made: Column) -> DataFrame:
-    """Rows of elements with a finding struct -> finding rows with their place."""
-    section = F.when(F.col("type") == "heading", F.when(F.col("text") != "", F.col("text")).otherwise("(bez naslova)")).otherwise(F.col("section"))
-    quote = (F.col("type") != "heading") & direct_quote(F.col("text"), F.lit("Normal"), F.lit(False)).isNotNull()
-    return rows.select("doc_id", "ord", section.alias("section"), F.col("id").alias("paragraph_id"), quote.alias("is_direct_quote"), made.alias("f")).select(*PLACE, "f.*")
-
+def in_context(rows: DataFrame) -> DataFrame:
+    """Adds what the rules need of the rest of a document, all from one shuffle by doc_id:
 
-def for_document(rows: DataFrame, made: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(-1).alias("ord"), F.lit("(ceo dokument)").alias("section"), F.lit("doc-global").alias("paragraph_id"), F.lit(False).alias("is_direct_quote"), made.alias("f")).select(*PLACE, "f.*")
+    num, before: number of a list item, and of the item just before it; next_type, next_level;
+    first_heading: place of the document's first heading; balanced: the document has ten or more brackets of
+    a kind and opens and closes differ by two at most; straight, opened, closed: quotes of the document, on its
+    first element; earlier: id (place, where there are no ids) of the element that a long paragraph repeats;
+    in_bibliography: a paragraph between a bibliography heading and the next heading of its level or a
+    higher one; bibliography: place of the first bibliography heading."""
+    w, doc = in_order(), Window.partitionBy("doc_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text, head = F.col("text"), F.col("type") == "heading"
+    par, t = F.col("type") == "paragraph", trimmed(F.col("text"))
+    level = F.coalesce("level", F.lit(1))
+    item = F.regexp_extract("text", f"^{WS}*(\\d+)[.)]{WS}", 1)
+    rows = rows.withColumns({
+        "num": F.when(item != "", item.try_cast("long")), "_title": head & t.rlike(f"(?iu)^({BIBLIOGRAPHY_TITLES})\\z"),
+        "_norm": F.when(par & (F.length(t) >= 50), F.md5(collapsed(t))),
+    })
+    signs = {"_o0": "(", "_c0": ")", "_o1": "[", "_c1": "]", "_o2": "{", "_c2": "}", "_s": '"', "_lo": "„", "_hi": "“"}
+    rows = rows.withColumns({k: F.sum(sign_count(text, c)).over(doc) for k, c in signs.items()})
+    many = lambda k: (F.col(f"_o{k}") + F.col(f"_c{k}") >= 10) & (F.abs(F.col(f"_o{k}") - F.col(f"_c{k}")) <= 2)
+    # a bibliography heading of a level is open while it is the last heading of its level or a higher one
+    last = lambda c: F.max(F.when(c, F.col("ord"))).over(so_far)
+    inside = reduce(lambda a, b: a | b, [F.coalesce(last(F.col("_title") & (level == k)) == last(head & (level <= k)), F.lit(False)) for k in LEVELS])
+    mine = F.col("id") if "id" in rows.columns else F.col("ord").cast("string")
+    same = Window.partitionBy("doc_id", "_norm").orderBy("ord")
+    first = F.row_number().over(w) == 1
+    rows = rows.withColumns({
+        "before": F.lag("num").over(w), "next_type": F.lead("type").over(w), "next_level": F.lead("level").over(w),
+        "first_heading": F.min(F.when(head, F.col("ord"))).over(doc),
+        "balanced": F.struct(*[many(k).alias(f"b{k}") for k in range(3)]),
+        **{k: F.when(first, F.col(c)) for k, c in (("straight", "_s"), ("opened", "_lo"), ("closed", "_hi"))},
+        "in_bibliography": par & inside, "bibliography": F.min(F.when(F.col("_title"), F.col("ord"))).over(doc),
+        "earlier": F.when(F.col("_norm").isNotNull() & (F.row_number().over(same) > 1), F.first(mine).over(same)),
+    })
+    return rows.drop("_title", "_norm", *signs)
+
+
+def place_of(rows: DataFrame) -> list[Column]:
+    """Columns PLACE of elements."""
+    text, head = F.col("text"), F.col("type") == "heading"
+    section = F.when(head, F.when(text != "", text).otherwise("(bez naslova)")).otherwise(F.col("section"))
+    quote = ~head & direct_quote(text, F.col("style") if "style" in rows.columns else F.lit("Normal"), F.col("all_italic") if "all_italic" in rows.columns else F.lit(False)).isNotNull()
+    return [F.col("doc_id"), F.col("ord"), section.alias("section"), F.col("id").alias("paragraph_id"), quote.alias("is_direct_quote")]
 
 
 def quote_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(
-        F.sum(count_of(F.col("text"), '"')).alias("straight"), F.sum(count_of(F.col("text"), "„")).alias("opened"), F.sum(count_of(F.col("text"), "“")).alias("closed")
-    )
+    return in_context(rows).where("straight is not null").select("doc_id", "straight", "opened", "closed")
 
 
-def quotes(rows: DataFrame) -> DataFrame:
-    """One row a document for straight quotes, one for typographic ones that don't pair."""
-    t = quote_totals(rows)
-    n = F.col("straight").cast("string")
-    straight = for_document(t.where("straight > 0"), finding(
+def quotes() -> Column:
+    """On a document's first element: one finding for straight quotes, one for typographic ones that don't pair."""
+    n, opened, closed = (F.col(c).cast("string") for c in ("straight", "opened", "closed"))
+    straight = finding(
         "quotes_body", QUOTES, MUST, 0.95, quoted("[", n, " ravnih navodnika u dokumentu]"), "[zameniti tipografskim: „...“]",
-        quoted("Ukupno ", n, " ravnih navodnika. Standard: „...“."), 1, fix=True, whole=True))
-    unpaired = for_document(t.where("opened <> closed"), finding(
-        "unmatched_quotes_body", QUOTES, MUST, 0.88, quoted("[", F.col("opened").cast("string"), "× „ vs ", F.col("closed").cast("string"), "× “ u celom dokumentu]"),
-        "[upariti navodnike]", "Neupareni tipografski navodnici kroz ceo dokument (moguć višepasusni citat).", 1, 1))
-    return straight.unionByName(unpaired)
+        quoted("Ukupno ", n, " ravnih navodnika. Standard: „...“."), WHOLE_DOCUMENT, fix=True, whole=True)
+    unpaired = finding(
+        "unmatched_quotes_body", QUOTES, MUST, 0.88, quoted("[", opened, "× „ vs ", closed, "× “ u celom dokumentu]"),
+        "[upariti navodnike]", "Neupareni tipografski navodnici kroz ceo dokument (moguć višepasusni citat).", WHOLE_DOCUMENT, 1)
+    return F.array_compact(F.array(F.when(F.col("straight") > 0, straight), F.when(F.col("opened") != F.col("closed"), unpaired)))
 
 
+#: The check whose findings are about the document, not about the element that carries them.
+WHOLE_DOCUMENT = 1
 TOC_LINE = f"^(.+?)(?:\\.{{3,}}|\\t){WS}*\\d+{WS}*\\z"
 
 
-def toc_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries of tables of contents, headings), both with their text trimmed."""
-    entries = rows.where((F.col("type") == "paragraph") & F.col("text").rlike(TOC_LINE)).withColumn("title", trimmed(F.regexp_extract("text", TOC_LINE, 1)))
-    headings = rows.where((F.col("type") == "heading") & (trimmed(F.col("text")) != "")).withColumn("title", trimmed(F.col("text")))
-    return entries, headings
+def toc_entry() -> Column:
+    """Trimmed title of an entry of a table of contents, else null."""
+    return F.when((F.col("type") == "paragraph") & F.col("text").rlike(TOC_LINE), trimmed(F.regexp_extract("text", TOC_LINE, 1)))
+
+
+def heading_title() -> Column:
+    title = trimmed(F.col("text"))
+    return F.when((F.col("type") == "heading") & (title != ""), title)
 
 
 def toc_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries with whether a heading equals them and the first one near them; headings with whether an
-    entry matches. The joins' key is the document, a bounded edit distance is what is left of them."""
-    entries, headings = toc_parts(rows)
-    h = headings.select("doc_id", F.col("ord").alias("h_ord"), F.col("title").alias("h_title"))
-    same = collapsed(F.col("h_title")) == collapsed(F.col("title"))
-    near = F.levenshtein(F.lower("h_title"), collapsed(F.col("title")), 3) >= 0
-    keys = ["doc_id", "ord", "section", "id", "type", "text", "title"]
-    left = entries.join(h, "doc_id", "left").groupBy(*keys).agg(
-        F.coalesce(F.bool_or(same), F.lit(False)).alias("same"), F.min_by("h_title", F.when(near, F.col("h_ord"))).alias("near")
-    )
-    e = entries.select("doc_id", F.col("title").alias("e_title"))
-    met = (collapsed(F.col("e_title")) == collapsed(F.col("title"))) | (F.levenshtein(F.lower("e_title"), collapsed(F.col("title")), 3) >= 0)
-    right = headings.join(e, "doc_id").groupBy(*keys).agg(F.bool_or(met).alias("met"))
+    """rows with doc_id, ord, entry, title (see toc_entry and heading_title). Entries with whether a heading
+    equals them and the first one near them; headings of documents with entries, with whether an entry
+    matches. Equal titles meet by an equi-join; near ones, three edits apart at most, differ in length by three
+    at most, so that documents and lengths are the key of the other."""
+    entries = rows.where("entry is not null").withColumn("key", collapsed(F.col("entry")))
+    heads = rows.where("title is not null").withColumn("key", collapsed(F.col("title")))
+    band = lambda c: F.explode(F.sequence(F.length(c) - 3, F.length(c) + 3))
+
+    def met(asked: DataFrame, asked_key: str, other: DataFrame, other_name: str) -> DataFrame:
+        """asked rows with same (an equal key in the document) and near (text of the first other row near it)."""
+        some = other.groupBy("doc_id", "key", F.col(other_name).alias("o_name")).agg(F.min("ord").alias("o_ord"))
+        keys = asked.select("doc_id", "key").distinct()
+        same = some.select("doc_id", "key").distinct().withColumn("same", F.lit(True))
+        low = some.groupBy("doc_id", F.lower("o_name").alias("o_low")).agg(F.min_by(F.struct("o_ord", "o_name"), "o_ord").alias("o"))
+        low = low.withColumn("len", F.length("o_low"))
+        near = keys.select("doc_id", "key", band(F.col("key")).alias("len")).join(low, ["doc_id", "len"]).where(F.levenshtein("o_low", "key", 3) >= 0)
+        near = near.groupBy("doc_id", "key").agg(F.min("o").alias("o"))
+        x = asked.join(same, ["doc_id", "key"], "left").join(near, ["doc_id", "key"], "left")
+        return x.withColumns({"same": F.coalesce("same", F.lit(False)), "near": F.col("o.o_name")}).drop("o", "key")
+
+    left = met(entries, "entry", heads, "title")
+    some = heads.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
+    right = met(some, "title", entries, "entry").withColumn("met", F.col("same") | F.col("near").isNotNull())
     return left, right
 
 
 def toc(rows: DataFrame) -> DataFrame:
+    """rows of PLACE, entry and title -> findings."""
     left, right = toc_pairs(rows)
     close = F.col("near").isNotNull()
-    original = quoted("TOC: „", F.col("title"), "“")
+    original = quoted("TOC: „", F.col("entry"), "“")
     made = F.when(close, finding("toc_mismatch", TOC, MUST, 0.88, original, quoted("Uskladiti: „", F.col("near"), "“"), "Razlika TOC i naslova.", 7)).otherwise(
         finding("toc_mismatch", TOC, CHECK, 0.70, original, "[proveriti]", "TOC stavka bez odgovarajućeg naslova.", 7))
     absent = finding("toc_mismatch", TOC, CHECK, 0.70, quoted("Naslov: „", F.col("title"), "“"), "[dodati u sadržaj]", "Naslov postoji u dokumentu ali nije u sadržaju.", 7, 1)
-    return as_findings(left.where("not same"), made).unionByName(as_findings(right.where("not met"), absent))
+    # a heading's text is shorter than this original, so the original can't stand in it
+    return flat(left.where("not same"), made, True).unionByName(flat(right.where("not met"), absent, False))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Items of numbered lists with the item before; other elements break a list."""
-    n = F.regexp_extract("text", f"^{WS}*(\\d+)[.)]{WS}", 1)
-    x = rows.withColumn("num", F.when(n != "", n.try_cast("long")))
-    x = x.withColumn("run", F.sum(F.col("num").isNull().cast("int")).over(in_order()))
-    x = x.where("num is not null")
-    return x.withColumn("before", F.lag("num").over(Window.partitionBy("doc_id", "run").orderBy("ord")))
+def flat(rows: DataFrame, made: Column, stands: bool) -> DataFrame:
+    return rows.withColumn("f", made).select(*PLACE, "f.*", F.lit(stands).alias("stands"))
 
 
-def numbering(rows: DataFrame) -> DataFrame:
-    x = numbered(rows).where("before is not null and num <> 1 and num <> before + 1")
+def numbering() -> Column:
+    """A list item that doesn't follow the one just before it; items that begin anew at 1 do."""
     num, before = F.col("num").cast("string"), F.col("before").cast("string")
-    return as_findings(x, finding(
+    made = finding(
         "numbering_skip", NUMBERING, MUST, 0.85, quoted("Stavka ", num, " (prethodno: ", before, ")"), quoted("Očekivano: ", (F.col("before") + 1).cast("string")),
-        quoted("Numeracija preskače sa ", before, " na ", num, "."), 8))
+        quoted("Numeracija preskače sa ", before, " na ", num, "."), 8)
+    return F.when(skips(), F.array(made))
 
 
-def bibliography_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, the first bibliography heading of each document). Only paragraphs between a bibliography
-    heading and the next heading of its level or a higher one are entries."""
-    level = F.coalesce("level", F.lit(1))
-    title = (F.col("type") == "heading") & trimmed(F.col("text")).rlike(f"(?iu)^({BIBLIOGRAPHY_TITLES})\\z")
-    heads = rows.where(title).select("doc_id", F.col("ord").alias("b_ord"), level.alias("b_level"))
-    ends = rows.where("type = 'heading'").select("doc_id", F.col("ord").alias("e_ord"), level.alias("e_level"))
-    spans = heads.join(ends, "doc_id").groupBy("doc_id", "b_ord", "b_level").agg(F.min(F.when((F.col("e_ord") > F.col("b_ord")) & (F.col("e_level") <= F.col("b_level")), F.col("e_ord"))).alias("end"))
-    texts = rows.where((F.col("type") == "paragraph") & (F.length(trimmed(F.col("text"))) > 10))
-    inside = (F.col("ord") > F.col("b_ord")) & (F.col("ord") < F.coalesce("end", F.lit(2**31 - 1)))
-    entries = texts.join(spans, "doc_id").where(inside).dropDuplicates(["doc_id", "ord"]).drop("b_ord", "b_level", "end")
-    first = heads.groupBy("doc_id").agg(F.min("b_ord").alias("first"))
-    return entries, first
+def skips() -> Column:
+    return F.col("before").isNotNull() & F.col("num").isNotNull() & (F.col("num") != 1) & (F.col("num") != F.col("before") + 1)
+
+
+def bibliography_entry() -> Column:
+    """Whether an element is an entry of a bibliography."""
+    return F.col("in_bibliography") & (F.length(trimmed(F.col("text"))) > 10)
 
 
 def bibliography_lacks(text: Column) -> tuple[Column, Column]:
@@ -416,91 +461,158 @@ def bibliography_lacks(text: Column) -> tuple[Column, Column]:
     return modern & ~year, modern & ~house
 
 
-def cited_authors(rows: DataFrame, first: DataFrame) -> DataFrame:
-    """Distinct surnames cited with a year before the first bibliography heading."""
-    before = rows.join(first, "doc_id").where("ord < first")
+def bibliography() -> Column:
+    """Entries without a year or a publisher."""
+    text = trimmed(F.col("text"))
+    no_year, no_house = bibliography_lacks(text)
+    snip = F.concat(F.substring(text, 1, 60), F.when(F.length(text) > 60, "...").otherwise(""))
+    year = finding("bibliography_missing_year", BIBLIOGRAPHY, CHECK, 0.75, snip, "[dodati godinu]", "Bez godine izdanja.", 9, source=True)
+    house = finding("bibliography_missing_publisher", BIBLIOGRAPHY, CHECK, 0.60, snip, "[proveriti izdavača]", "Moguć nedostatak izdavača.", 9, 1, source=True)
+    return F.when(bibliography_entry(), F.array_compact(F.array(F.when(no_year, year), F.when(no_house, house))))
+
+
+def cited_names() -> Column:
+    """Surnames cited with a year, in elements before the first bibliography heading."""
     names = F.concat(
         F.regexp_extract_all("text", F.lit(f"\\((\\p{{Lu}}\\p{{Ll}}{{2,}}),?{WS}*\\d{{4}}\\)"), F.lit(1)),
         F.regexp_extract_all("text", F.lit(f"(\\p{{Lu}}\\p{{Ll}}{{2,}}){WS}*\\(\\d{{4}}\\)"), F.lit(1)),
     )
-    return before.select("doc_id", "first", F.explode(names).alias("author")).where(~F.col("author").isin(NOT_AUTHORS)).distinct()
+    return F.when(F.col("ord") < F.col("bibliography"), F.filter(names, lambda n: ~n.isin(NOT_AUTHORS)))
 
 
-def bibliography(rows: DataFrame) -> DataFrame:
-    entries, first = bibliography_entries(rows)
-    text = trimmed(F.col("text"))
-    no_year, no_house = bibliography_lacks(text)
-    snip = F.concat(F.substring(text, 1, 60), F.when(F.length(text) > 60, "...").otherwise(""))
-    year = as_findings(entries.where(no_year), finding("bibliography_missing_year", BIBLIOGRAPHY, CHECK, 0.75, snip, "[dodati godinu]", "Bez godine izdanja.", 9, source=True))
-    house = as_findings(entries.where(no_house), finding("bibliography_missing_publisher", BIBLIOGRAPHY, CHECK, 0.60, snip, "[proveriti izdavača]", "Moguć nedostatak izdavača.", 9, 1, source=True))
-    listed = entries.select("doc_id", F.col("text").alias("entry"))
-    some = entries.select("doc_id").distinct()
-    cited_here = cited_authors(rows, first).join(some, "doc_id", "left_semi")
-    lost = cited_here.alias("c").join(listed.alias("l"), F.expr("c.doc_id = l.doc_id and contains(l.entry, c.author)"), "left_anti")
-    heads = rows.join(lost.withColumnRenamed("first", "ord"), ["doc_id", "ord"])
-    cited = as_findings(heads, finding("bibliography_cross_reference", BIBLIOGRAPHY, CHECK, 0.70, quoted("Citiran: „", F.col("author"), "“"), "[dodati u bibliografiju]", quoted(
-        "„", F.col("author"), "“ citiran ali nije u bibliografiji."), 9, 2, source=True))
-    return year.unionByName(house).unionByName(cited)
+def cited(rows: DataFrame) -> DataFrame:
+    """rows of PLACE, bibliography, cited (see cited_names) and entry_text (text of bibliography entries) ->
+    a finding at the first bibliography heading for each author that no entry names."""
+    entries = rows.where("entry_text is not null").select("doc_id", "entry_text")
+    some = rows.where("cited is not null").select("doc_id", F.col("bibliography").alias("ord"), F.explode("cited").alias("author")).distinct()
+    some = some.join(entries.select("doc_id").distinct(), "doc_id", "left_semi")
+    lost = some.alias("c").join(entries.alias("l"), F.expr("c.doc_id = l.doc_id and contains(l.entry_text, c.author)"), "left_anti")
+    heads = rows.where("ord = bibliography").select(*PLACE).join(lost, ["doc_id", "ord"])
+    made = finding("bibliography_cross_reference", BIBLIOGRAPHY, CHECK, 0.70, quoted("Citiran: „", F.col("author"), "“"), "[dodati u bibliografiju]", quoted(
+        "„", F.col("author"), "“ citiran ali nije u bibliografiji."), 9, 2, source=True)
+    return flat(heads, made, True)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Paragraphs of 50 characters or more that stood earlier in the document."""
-    x = rows.where((F.col("type") == "paragraph") & (F.length(trimmed(F.col("text"))) >= 50)).withColumn("norm", collapsed(trimmed(F.col("text"))))
-    w = Window.partitionBy("doc_id", F.xxhash64("norm"), "norm").orderBy("ord")
-    return x.withColumn("nth", F.row_number().over(w)).withColumn("first_id", F.first("id").over(w)).where("nth > 1").drop("nth")
+def repetition() -> Column:
+    made = finding("repeated_paragraph", REPETITION, MUST, 0.98, F.concat(F.substring("text", 1, 80), F.lit("...")), "[ukloniti]", quoted("Ponovljen pasus (", F.col("earlier"), ")."), 12)
+    return F.when(F.col("earlier").isNotNull(), F.array(made))
 
 
-def repetition(rows: DataFrame) -> DataFrame:
-    return as_findings(repeated(rows), finding("repeated_paragraph", REPETITION, MUST, 0.98, F.concat(F.substring("text", 1, 80), F.lit("...")), "[ukloniti]", quoted("Ponovljen pasus (", F.col("first_id"), ")."), 12))
-
-
-def capital_words(rows: DataFrame) -> DataFrame:
-    """Words all in capitals, one row each, that aren't acronyms, Roman numerals or words of headings."""
-    doc = Window.partitionBy("doc_id")
-    x = rows.withColumn("first_heading", F.min(F.when(F.col("type") == "heading", F.col("ord"))).over(doc))
+def body_for_capitals() -> Column:
     t = trimmed(F.col("text"))
     shout = (t == F.upper(t)) & (t != F.lower(t))
-    body = x.where((F.col("type") == "paragraph") & (F.col("first_heading").isNull() | (F.col("ord") >= F.col("first_heading"))) & ~F.col("text").rlike(r"\.{3,}") & ~shout)
-    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & (w != F.lower(w)))
-    found = body.select("*", F.posexplode(words).alias("nth", "word")).where(~F.col("word").isin(ACRONYMS) & ~F.col("word").rlike(r"^[IVXLCDM]+\z"))
-    titles = rows.where("type = 'heading'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).where((F.col("word") == F.upper("word")) & (F.length("word") >= 3)).distinct()
+    return (F.col("type") == "paragraph") & (F.col("first_heading").isNull() | (F.col("ord") >= F.col("first_heading"))) & ~F.col("text").rlike(r"\.{3,}") & ~shout
+
+
+def capital_words() -> Column:
+    """array<struct<nth, word>>: words all in capitals that are neither acronyms nor Roman numerals, of
+    paragraphs from the first heading on; of headings, all words in capitals."""
+    head = F.col("type") == "heading"
+    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & (head | (w != F.lower(w))))
+    numbered_words = F.transform(words, lambda w, i: F.struct(i.alias("nth"), w.alias("word")))
+    rare = F.filter(numbered_words, lambda x: head | (~x["word"].isin(ACRONYMS) & ~x["word"].rlike(r"^[IVXLCDM]+\z")))
+    return F.when((head | body_for_capitals()) & F.col("text").rlike(r"\p{Lu}"), rare)
+
+
+def unlisted_capitals(rows: DataFrame) -> DataFrame:
+    """rows with doc_id, type and capitals (see capital_words) -> a row for each word of a paragraph that no
+    heading of the document has in capitals."""
+    titles = rows.where("type = 'heading'").select("doc_id", F.explode("capitals.word").alias("word")).distinct()
+    found = rows.where("type <> 'heading'").select("*", F.explode("capitals").alias("x")).select("*", "x.nth", "x.word").drop("x", "capitals")
     return found.join(titles, ["doc_id", "word"], "left_anti")
 
 
 def capitals(rows: DataFrame) -> DataFrame:
     w = F.col("word")
-    return as_findings(capital_words(rows), finding("all_caps_body", CAPITALS, SHOULD, 0.70, w, "[normalizovati ako nije skraćenica]", quoted("„", w, "“ ALL-CAPS u telu teksta."), 13, 0, F.col("nth")))
+    made = finding("all_caps_body", CAPITALS, SHOULD, 0.70, w, "[normalizovati ako nije skraćenica]", quoted("„", w, "“ ALL-CAPS u telu teksta."), 13, 0, F.col("nth"))
+    return flat(unlisted_capitals(rows), made, True)
 
 
-def headings(rows: DataFrame) -> DataFrame:
+def headings() -> Column:
     """Blank headings, and headings that one of the same or a higher level follows at once."""
-    w = in_order()
-    x = rows.withColumns({"next_type": F.lead("type").over(w), "next_level": F.lead("level").over(w)}).where("type = 'heading'")
-    blank = as_findings(x.where(trimmed(F.col("text")) == ""), finding("empty_heading", STRUCTURE, MUST, 0.99, quoted("[Prazan naslov nivoa ", F.col("level").cast("string"), "]"), "[dodati tekst]", "Naslov bez sadržaja.", 14))
-    bare = x.where((F.col("next_type") == "heading") & (F.coalesce("next_level", F.lit(1)) <= F.coalesce("level", F.lit(1))))
-    made = finding("empty_heading", STRUCTURE, SHOULD, 0.75, F.when(F.col("text") == "", "[prazan]").otherwise(F.col("text")), "[dodati sadržaj ispod]", "Naslov bez sadržaja pre naslova istog/višeg nivoa.", 14, 1)
-    return blank.unionByName(as_findings(bare, made))
+    head, text = F.col("type") == "heading", F.col("text")
+    blank = finding("empty_heading", STRUCTURE, MUST, 0.99, quoted("[Prazan naslov nivoa ", F.col("level").cast("string"), "]"), "[dodati tekst]", "Naslov bez sadržaja.", 14)
+    bare = (F.col("next_type") == "heading") & (F.coalesce("next_level", F.lit(1)) <= F.coalesce("level", F.lit(1)))
+    made = finding("empty_heading", STRUCTURE, SHOULD, 0.75, F.when(text == "", "[prazan]").otherwise(text), "[dodati sadržaj ispod]", "Naslov bez sadržaja pre naslova istog/višeg nivoa.", 14, 1)
+    return F.when(head, F.array_compact(F.array(F.when(trimmed(text) == "", blank), F.when(bare, made))))
 
 
-#: Local rules by option: one pass explodes all that are on.
+#: Rules that look at one text alone, by option.
 LOCAL = {
     "brackets": semicolons, "markdown": markdown_left, "spacing": spacing, "scriptMix": script_mix, "greek": greek, "duplicates": duplicate_words, "urls": urls,
 }
-DOCUMENT = {
-    "brackets": brackets, "quotes": quotes, "toc": toc, "numbering": numbering, "bibliography": bibliography, "repetition": repetition, "capsWords": capitals, "emptyHeadings": headings,
+#: Rules over an element in its context, by option.
+IN_CONTEXT = {
+    "brackets": lambda: brackets(F.col("text"), F.col("balanced")), "quotes": quotes, "numbering": numbering, "bibliography": bibliography,
+    "repetition": repetition, "emptyHeadings": headings,
 }
+#: Rules that compare elements of a document, by option; they read the narrow columns of marked().
+ACROSS = {"toc": toc, "bibliography": cited, "capsWords": capitals}
+
+# Heads of originals and of ids that need not stand in the text.
+EXEMPT = ("[", "TOC:", "Stavka", "Lista", "Izvor", "Citiran")
+
+
+def local_columns(options: set[str], kind: str = "txt") -> list[Column]:
+    some = F.col("text") != ""
+    return [F.when(some, f(F.col("text"))) for k, f in LOCAL.items() if k in options and not (k == "markdown" and kind == "markdown")]
+
+
+def merged(columns: list[Column]) -> Column:
+    none = F.expr(f"cast(array() as {FINDING})")
+    return F.concat(*[F.coalesce(c, none) for c in columns]) if columns else none
+
+
+def stands_in(text: Column, f: Column) -> Column:
+    """A finding that holds for the document or says what isn't there, or whose original stands in the text."""
+    original = f["original"]
+    free = f["global_pattern"] | (f["check_ord"] == WHOLE_DOCUMENT) | reduce(lambda a, b: a | b, [original.startswith(h) for h in EXEMPT])
+    clean = F.regexp_replace(F.regexp_replace(original, r"^\.\.\.", ""), r"\.\.\.\z", "")
+    return free | (text == "") | (F.length(clean) <= 3) | F.contains(text, clean)
 
 
 def local(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame | None:
-    rules = [f for k, f in LOCAL.items() if k in options and not (k == "markdown" and kind == "markdown")]
-    if not rules:
-        return None
-    all_of = F.concat(*[F.coalesce(f(F.col("text")), F.expr(f"cast(array() as {FINDING})")) for f in rules])
-    found = rows.where(F.col("text") != "").select("*", F.explode(all_of).alias("f"))
-    return as_findings(found.withColumn("g", F.col("f")).drop("f"), F.col("g"))
+    """Findings of the local rules alone."""
+    columns = local_columns(options, kind)
+    return exploded(rows.select(*place_of(rows), "text", merged(columns).alias("found"))) if columns else None
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """rows of PLACE and found -> findings; those about the document get its place."""
+    whole = F.col("f.check_ord") == WHOLE_DOCUMENT
+    x = rows.select(*PLACE, F.explode("found").alias("f"))
+    return x.select(
+        "doc_id", F.when(whole, -1).otherwise(F.col("ord")).alias("ord"), F.when(whole, "(ceo dokument)").otherwise(F.col("section")).alias("section"),
+        F.when(whole, "doc-global").otherwise(F.col("paragraph_id")).alias("paragraph_id"), (F.col("is_direct_quote") & ~whole).alias("is_direct_quote"), "f.*",
+    )
+
+
+def marked(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
+    """Elements -> PLACE, type, found (findings of all rules but those of ACROSS, and whether they stand in the
+    text) and the narrow columns that ACROSS and the counts of checks read. This is the one pass over texts."""
+    text = F.col("text")
+    columns = local_columns(options, kind) + [f() for k, f in IN_CONTEXT.items() if k in options]
+    found = F.transform(merged(columns), lambda f: f.withField("stands", stands_in(text, f)))
+    on = lambda k, c: c if k in options else F.lit(None)
+    return in_context(rows).select(
+        *place_of(rows), "type", found.alias("found"), on("toc", toc_entry()).cast("string").alias("entry"), on("toc", heading_title()).cast("string").alias("title"),
+        F.when(bibliography_entry(), text).alias("entry_text"), on("bibliography", cited_names()).cast("array<string>").alias("cited"), "bibliography",
+        on("capsWords", capital_words()).cast("array<struct<nth:int,word:string>>").alias("capitals"), seen(kind).alias("seen"),
+    )
+
+
+def seen(kind: str = "txt") -> Column:
+    """Bits of the checks, in the order of review.CHECKS, that look at an element."""
+    text, par, t = F.col("text"), F.col("type") == "paragraph", trimmed(F.col("text"))
+    some, no = text != "", F.lit(False)
+    looks = [
+        t != "", some, no if kind == "markdown" else some, some, some, some, some, par & text.rlike(TOC_LINE), text.rlike(f"^{WS}*(\\d+)[.)]{WS}"),
+        bibliography_entry(), some, par & (F.length(t) >= 50), body_for_capitals() & some, F.col("type") == "heading",
+    ]
+    return reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(looks)]).cast("int")
 
 
-def candidates(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
-    """Findings of all rules that are on; those that are off are not in the plan."""
-    parts = [x for x in [local(rows, options, kind), *[f(rows) for k, f in DOCUMENT.items() if k in options]] if x is not None]
+def candidates(rows: DataFrame, options: set[str]) -> DataFrame:
+    """Findings of all rules that are on, from marked elements; rules that are off are not in the plan."""
+    parts = [exploded(rows), *[f(rows) for k, f in ACROSS.items() if k in options]]
     return reduce(DataFrame.unionByName, parts)

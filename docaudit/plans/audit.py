@@ -9,36 +9,38 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import review, rules, units
 from docaudit.sources import paragraphs as P
+from docaudit.sources.shared import persisted
 
 
 @dataclass(frozen=True)
 class Audit:
-    """Frames of an audit; none is computed until it is read."""
+    """Frames of an audit. Marked elements are written once, and all else is computed from them when it is read."""
 
     elements: DataFrame
     candidates: DataFrame
     verified: DataFrame
     docs: DataFrame
     options: frozenset[str]
-    kind: str
 
     def passed(self) -> DataFrame:
-        return review.passed_checks(self.candidates, self.elements, set(self.options), self.kind)
+        return review.passed_checks(self.candidates, self.elements, set(self.options))
 
     def summary(self) -> DataFrame:
-        return review.summary(self.verified, self.docs)
+        return review.summary(self.verified, self.docs, set(self.options))
 
     def patterns(self) -> DataFrame:
         return review.global_patterns(self.verified)
 
 
 def audit(docs: DataFrame, options: set[str] | None = None, kind: str = "markdown", text_col: str = "text") -> Audit:
-    """docs: doc_id and text. One shuffle by doc_id serves every window of the elements."""
+    """docs: doc_id and text. One shuffle by doc_id serves every window of the elements; the marked elements, with
+    their findings but without their texts, go to the shared folder."""
     options = review.FULL if options is None else options
     rows = P.identified(P.sections(P.elements(docs, kind, text_col)))
-    found = rules.candidates(rows, options, kind)
-    found = review.numbered(units.demoted(found, F.col("is_direct_quote")))
-    return Audit(rows, found, review.verified(found, rows), docs, frozenset(options), kind)
+    marked = persisted(rules.marked(rows, options, kind), "marked")
+    found = units.demoted(rules.candidates(marked, options), F.col("is_direct_quote"))
+    found = review.numbered(found)
+    return Audit(marked, found, review.verified(found), docs, frozenset(options))
 
 
 # Fixed value: text changed by id so that every rule has something to find; the same expression runs in DuckDB.

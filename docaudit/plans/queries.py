@@ -96,8 +96,12 @@ def params(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PARAMS, "p double, e double, level double, design double, per_doc double")
 
 
-def full(spark: SparkSession, sf_dir: str):
-    return audit(made(spark, sf_dir))
+def full(spark: SparkSession, sf_dir: str, options: set[str] | None = None):
+    return audit(made(spark, sf_dir), options)
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(spark, sf_dir).select("doc_id", "ord", rules.toc_entry().alias("entry"), rules.heading_title().alias("title"))
 
 
 def statuses(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,23 +120,23 @@ QUERIES = {
     "section_fill": lambda s, d: P.sections(plain(s, d)).select("doc_id", "ord", "section"),
     "element_ids": lambda s, d: rows(s, d).select("doc_id", "ord", "id"),
     "dup_words": lambda s, d: P.paragraphs(docs(s, d)).select("doc_id", F.size(rules.duplicate_words(F.col("text"))).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("findings")).where("findings > 0"),
-    "repeated_paragraphs": lambda s, d: rules.repeated(P.elements(docs(s, d), "txt").withColumn("id", F.col("ord").cast("string"))).select("doc_id", "ord", F.col("first_id").cast("int").alias("first_ord")),
+    "repeated_paragraphs": lambda s, d: rules.in_context(P.elements(docs(s, d), "txt")).where("earlier is not null").select("doc_id", "ord", F.col("earlier").cast("int").alias("first_ord")),
     **{f"spacing_{k}": (lambda s, d, k=k: exploded(plain(s, d), rules.spacing(F.col("text"), kinds=(k,)))) for k in SPACING_SQL},
     "quote_balance": lambda s, d: rules.quote_totals(plain(s, d)),
     "bracket_balance": lambda s, d: plain(s, d).groupBy("doc_id").agg(*[F.sum(count_of(F.col("text"), p)).alias(n) for p, n in ((r"\(", "round_open"), (r"\)", "round_close"), (r"\[", "square_open"), (r"\]", "square_close"))]),
-    "brackets": lambda s, d: rules.brackets(rows(s, d)).select("doc_id", "ord", "match_pos", "original", "rationale"),
+    "brackets": lambda s, d: exploded(rules.in_context(plain(s, d)), rules.IN_CONTEXT["brackets"]()).select("doc_id", "ord", "match_pos", "original", "rationale"),
     "markdown_links": lambda s, d: exploded(plain(s, d), rules.markdown_left(F.col("text"), patterns=rules.MARKDOWN_PATTERNS[7:9])).drop("match_pos"),
     "markdown_artifacts": lambda s, d: exploded(plain(s, d), rules.markdown_left(F.col("text"))).drop("match_pos"),
     "script_mix": lambda s, d: exploded(plain(s, d), rules.script_mix(F.col("text"))).drop("match_pos"),
     "greek": lambda s, d: exploded(plain(s, d), rules.greek(F.col("text"))),
-    "all_caps": lambda s, d: rules.capital_words(plain(s, d)).select("doc_id", "ord", F.col("nth").alias("nth"), "word"),
+    "all_caps": lambda s, d: rules.unlisted_capitals(rules.in_context(plain(s, d)).select("doc_id", "ord", "type", rules.capital_words().alias("capitals"))).select("doc_id", "ord", "nth", "word"),
     "urls": lambda s, d: exploded(plain(s, d), rules.urls(F.col("text"))).drop("match_pos"),
-    "toc_match": lambda s, d: rules.toc_pairs(rows(s, d))[0].select("doc_id", "ord", "title", "same", "near"),
-    "heading_not_in_toc": lambda s, d: rules.toc_pairs(rows(s, d))[1].where("not met").select("doc_id", "ord", "title"),
-    "numbering_gaps": lambda s, d: rules.numbered(plain(s, d)).where("before is not null and num <> 1 and num <> before + 1").select("doc_id", "ord", "num", "before"),
-    "heading_sequence": lambda s, d: rules.headings(rows(s, d)).select("doc_id", "ord", "priority", "original"),
-    "bibliography_entries": lambda s, d: rules.bibliography_entries(plain(s, d))[0].select("doc_id", "ord", *[c.alias(n) for c, n in zip(rules.bibliography_lacks(trimmed(F.col("text"))), ("no_year", "no_publisher"))]),
-    "bibliography_crossref": lambda s, d: rules.bibliography(rows(s, d)).where("rule_id = 'bibliography_cross_reference'").select("doc_id", "ord", "original"),
+    "toc_match": lambda s, d: rules.toc_pairs(titled(s, d))[0].select("doc_id", "ord", F.col("entry").alias("title"), "same", "near"),
+    "heading_not_in_toc": lambda s, d: rules.toc_pairs(titled(s, d))[1].where("not met").select("doc_id", "ord", "title"),
+    "numbering_gaps": lambda s, d: rules.in_context(plain(s, d)).where(rules.skips()).select("doc_id", "ord", "num", "before"),
+    "heading_sequence": lambda s, d: rules.in_context(plain(s, d)).select("doc_id", "ord", F.explode(rules.headings()).alias("f")).select("doc_id", "ord", "f.priority", "f.original"),
+    "bibliography_entries": lambda s, d: rules.in_context(plain(s, d)).where(rules.bibliography_entry()).select("doc_id", "ord", *[c.alias(n) for c, n in zip(rules.bibliography_lacks(trimmed(F.col("text"))), ("no_year", "no_publisher"))]),
+    "bibliography_crossref": lambda s, d: full(s, d, {"bibliography"}).candidates.where("rule_id = 'bibliography_cross_reference'").select("doc_id", "ord", "original"),
     "findings": lambda s, d: full(s, d).candidates.select(*FINDING_COLUMNS),
     "findings_verified": lambda s, d: full(s, d).verified.select(*FINDING_COLUMNS),
     "passed_checks": lambda s, d: full(s, d).passed(),

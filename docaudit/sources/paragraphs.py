@@ -56,11 +56,11 @@ def identified(rows: DataFrame) -> DataFrame:
     style = F.when(F.col("type") == "heading", F.concat(F.lit("Heading"), F.col("level").cast("string"))).otherwise("Normal")
     key = F.concat_ws("|", "type", style, "text", near(F.lag("text").over(w)), near(F.lead("text").over(w)))
     letter = F.when(F.col("type") == "heading", "h-").otherwise("p-")
-    named = lambda c: F.concat(letter, F.lpad(F.lower(F.conv(unit_hash(c).cast("string"), 10, 36)), 7, "0"))
-    rows = rows.withColumn("_k", key).withColumn("_h", named(F.col("_k")))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("ord")))
-    again = named(F.concat("_k", F.lit("|#"), F.col("_n").cast("string")))
-    return rows.withColumn("id", F.when(F.col("_n") > 1, again).otherwise(F.col("_h"))).drop("_k", "_h", "_n")
+    named = lambda h: F.concat(letter, F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 7, "0"))
+    rows = rows.withColumn("_h", unit_hash(key))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "type", "_h").orderBy("ord")))
+    again = unit_hash(F.concat(F.lit("|#"), F.col("_n").cast("string")), F.col("_h"))
+    return rows.withColumn("id", named(F.when(F.col("_n") > 1, again).otherwise(F.col("_h")))).drop("_h", "_n")
 
 
 def word_count(text: Column) -> Column:

@@ -7,6 +7,7 @@ from docaudit.operators import evaluation as E
 from docaudit.operators import review, rules
 from docaudit.plans import queries as Q
 from docaudit.plans.audit import audit
+from docaudit.sources import paragraphs as P
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "pages", "benchmark", "conversations")
@@ -93,7 +94,33 @@ def test_empty_and_null_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string")
     a = audit(docs)
     assert a.verified.count() == 0
-    assert {(r["doc_id"], r["total"], r["gate"]) for r in a.summary().collect()} == {(1, 0, True), (2, 0, True), (3, 0, True)}
+    assert {(r["doc_id"], r["total"], r["gate"], r["status"]) for r in a.summary().collect()} == {(i, 0, False, "DELIMIČAN") for i in (1, 2, 3)}
+
+
+def test_gate_asks_for_what_was_covered(spark):
+    docs = spark.createDataFrame([(1, "čist tekst"), (2, "a  b"), (3, "x ( a ) y")], "doc_id long, text string")
+    for extra, final in ((set(), False), ({"grammar", "visualLayout"}, False), ({"grammar", "visualLayout", "style"}, True)):
+        s = {r["doc_id"]: r for r in audit(docs, review.FULL | extra).summary().collect()}
+        assert s[1]["gate"] == s[3]["gate"] == final and not s[2]["gate"]
+        assert s[1]["assessment"] == ("Audit je završen. Sve provere su prošle bez nalaza." if final else "Determinističke provere su završene. Nedostaje: " + {
+            0: "gramatika, stil, vizuelni prelom", 2: "stil"}[len(extra)] + ".")
+        assert s[2]["assessment"] == "Dokument ima 1 obaveznih, 0 blokirajućih i 0 za proveru. Nije spreman za objavljivanje."
+        assert not final or s[3]["assessment"].endswith("Postoji 2 preporuka.")
+    assert review.scope(review.BASIC)["note"] == "Izvršeno: determinističke provere. Nije izvršeno: gramatika, stil, vizuelni prelom."
+    assert review.scope({"grammar", "style", "visualLayout"})["note"] == "Izvršeno: gramatička analiza, stilska analiza, vizuelni pregled."
+    assert audit(docs).summary().count() == 3 and review.summary(audit(docs).verified, docs, review.FULL, ()).where("doc_id = 1").first()["gate"]
+
+
+def test_finding_ids_stay_unique_beyond_9999(spark):
+    a = audit(spark.createDataFrame([(1, "\n".join(f"w{i}  x{i}" for i in range(12000)))], "doc_id long, text string"), {"spacing"})
+    ids = [r["finding_id"] for r in a.candidates.select("finding_id").collect()]
+    assert len(ids) == len(set(ids)) == 12000 and {"F-0001", "F-12000"} < set(ids)
+
+
+def test_bibliography_spans(spark):
+    text = "# Izvori\n# Literatura\nprvi unos bez\n## Dodatak\ndrugi unos bez\n# Kraj\ntreći unos bez\n## References\nčetvrti unos\n## X\npeti unos bez"
+    rows = rules.in_context(P.elements(spark.createDataFrame([(1, text)], "doc_id long, text string"))).where(rules.bibliography_entry())
+    assert sorted(r["text"].split()[0] for r in rows.collect()) == ["drugi", "prvi", "četvrti"]
 
 
 def test_findings_in_direct_quotes_are_to_be_verified(spark):
