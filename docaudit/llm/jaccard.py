@@ -46,7 +46,7 @@ SLOT_BITS = 22
 FREQUENT = 3
 FRAGMENTS = 8
 ROUNDS = 2
-#: Rows of a shingle that are compared with one another as they are; of more, each goes by its hub.
+#: Rows of a shingle's largest component beyond which its rows go by their difference from the hub.
 SMALL = 64
 #: Largest Jaccard distance in percent from its hub at which a set goes by its difference.
 NEAR = 50
@@ -215,7 +215,7 @@ def _by_difference(x: DataFrame, percent: int) -> DataFrame:
     least = lambda sizes: F.ceil((whole * F.col("size") - q * sizes) / (2 * whole))
     short = F.col("size") - least(F.col("n") - F.col("n_hub")) + 1
     long = F.col("size") - least(F.col("n") + F.col("n_hub")) + 1
-    rows = x.where("mid and size > 0").withColumns({"short": short, "to": F.when(F.col("lone"), F.greatest(long, short)).otherwise(short)})
+    rows = x.where("size > 0").withColumns({"short": short, "to": F.when(F.col("lone"), F.greatest(long, short)).otherwise(short)})
     rows = rows.select("hub", "sid", "n", "c", "size", "near", "lone", "short", F.posexplode(F.slice("d", F.lit(1), F.col("to").cast("int"))).alias("k", "g"))
     rows = rows.withColumn("early", F.col("k") < F.col("short")).drop("short")
     names = {y: f"o_{y}" for y in ("sid", "n", "c", "size", "near", "lone", "k")}
@@ -290,21 +290,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     now = open_rows(roots)
     if not now.isEmpty():
-        main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("rows"))
+        main = now.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "c")).alias("x")).select("g", F.col("x.c").alias("main"), "x.m")
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
         hubs = ends.join(roots, "id").groupBy("root").agg(F.max_by("id", F.struct("links", "id")).alias("hub"))
         main = main.join(hubs, F.col("main") == F.col("root"), "left").select(
-            "g", "main", F.when(F.col("rows") > SMALL, F.coalesce("hub", "main")).alias("hub")
+            "g", "main", F.when(F.col("m") > SMALL, F.col("hub")).alias("hub")
         )
         last = persisted(now.join(main, "g"), "last")
         removed(now)
         large = last.where("hub is not null")
         at = large.where("sid <> hub").select("sid", "n", "c", "hub", (F.col("c") != F.col("main")).alias("apart")).distinct()
         segments = whole(large.select(F.explode(F.array("sid", "hub")).alias("sid")).distinct())
-        from_hub = persisted(_differences(at, segments.dropDuplicates(["sid", "f"]), percent), "differences")
+        from_hub = persisted(_differences(at, segments.dropDuplicates(["sid", "f"]), percent).where("mid"), "differences")
         removed(segments)
         near = _pairs(_by_difference(from_hub, percent)).select("a", "b", "both").distinct()
-        far = large.join(from_hub.where("not near").select("sid", "hub"), ["sid", "hub"], "left_semi").select(*last.columns)
+        far = large.where("sid <> hub").join(from_hub.where("near").select("sid", "hub"), ["sid", "hub"], "left_anti").select(*last.columns)
         left = last.where("hub is null").unionByName(far)
         other = left.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
         meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent) & _first(percent)
