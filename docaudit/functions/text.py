@@ -12,8 +12,11 @@ EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 MARK = "\u0001"
 
 
+WS_SIGNS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_SIGNS))
 
 
 def collapsed(c: Column) -> Column:

@@ -159,7 +159,7 @@ def greek(text: Column, rule: str = "greek_body") -> Column:
     return F.transform(F.filter(hits(text, GREEK_RUN), bare), made)
 
 
-DOUBLE_WORD = f"(?iu)(?<={WS}|^)(\\p{{L}}+){WS}+\\1(?={WS}|[,.:;!?)\\]}}]|\\z)"
+DOUBLE_WORD = f"(?iu)(?<!{NOT_WS})(\\p{{L}}++){WS}++\\1(?={WS}|[,.:;!?)\\]}}]|\\z)"
 
 
 def duplicate_words(text: Column, rule: str = "duplicate_words_body") -> Column:
