@@ -1,47 +1,19 @@
-"""Shared folder, session and input helpers of the llm operators."""
+"""Session and input helpers of the llm operators; those of the shared folder are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.sources.shared import drop_path as drop_path
+from docaudit.sources.shared import new_path as new_path
+from docaudit.sources.shared import persisted as persisted
+from docaudit.sources.shared import removed as removed
+
 #: Word separators of every contract: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docaudit-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def persisted(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(*frames: DataFrame) -> None:
-    """Delete tables that persisted() wrote and that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()[:1]}:
-            drop_path(spark, f)
-
-
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df doesn't have, whatever the case of its letters."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -53,12 +25,6 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

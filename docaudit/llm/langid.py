@@ -31,8 +31,6 @@ FEATURES = 1 << 13
 LANDMARKS = 96
 SAMPLE = 1200
 RIDGE = 1e-2
-#: Languages that may be learned; a corpus with more keeps the most frequent.
-LANGUAGES = 256
 
 
 def presence(texts: pa.Array) -> np.ndarray:
@@ -95,7 +93,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE) -> Classifier:
     """Fits on rows of docs, of which all are training rows."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return Classifier(np.zeros((0, FEATURES), np.float32), [])
     each = -(-sample // len(counts))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import SPACE, persisted, removed
+from docaudit.llm.common import SPACE, persisted, removed, unused
 
 SWEEPS = 12
 DIMENSIONS = ("source", "lang", "topic")
@@ -76,7 +76,7 @@ def rake(cells: DataFrame, temper: dict[str, float], given: dict[str, dict[str,
 
 
 def _named(id_col: str, text_col: str, source_col: str, lang_col: str) -> dict[str, Column]:
-    """A document's cell, tokens and draw, under names that no table of documents has."""
+    """A document's cell, tokens and draw."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return {
         "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")),
@@ -110,9 +110,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def sampled(docs: DataFrame, temper: dict[str, float] | None = None, given: dict | None = None, share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
     """The rows of docs that the calibrated draw keeps."""
-    named = docs.withColumns(_named("doc_id", "text", "source", "lang"))
-    cells = _weights(named.select(*CELL, "__tokens"), temper, given, share, sweeps)
-    return named.join(cells, CELL).where("__draw < __probability").select(*docs.columns)
+    made = _named("doc_id", "text", "source", "lang")
+    own = dict(zip(made, unused(docs, *made)))
+    named = docs.withColumns({own[k]: c for k, c in made.items()})
+    cells = _weights(named.select(*[F.col(own[k]).alias(k) for k in (*CELL, "__tokens")]), temper, given, share, sweeps)
+    (p,) = unused(named, "__probability")
+    cells = cells.select(*[F.col(k).alias(own[k]) for k in CELL], F.col("__probability").alias(p))
+    kept = named.join(cells, [own[k] for k in CELL]).where(F.col(own["__draw"]) < F.col(p))
+    return kept.select(*docs.columns)
 
 
 def calibrate(raked: DataFrame, share: float) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm import bytewords as B
-from docaudit.llm.common import persisted, removed, residue
+from docaudit.llm.common import persisted, removed, residue, unused
 
 PREFIX = 4
 BUCKETS = 1 << 17
@@ -35,9 +35,6 @@ WIDTHS = (1, 2, 3)
 FILTERS = 12
 EPOCHS = 10
 SAMPLE = 2000
-#: Languages whose thresholds are kept; all others use the common one.
-LANGUAGES = 256
-
 
 def word_features(w: B.Words) -> np.ndarray:
     """Three table rows for each word."""
@@ -237,8 +234,8 @@ def calibrate(model: Classifier, scored: DataFrame, labels: DataFrame, score_col
 
     by_all = x.groupBy("fitted", "toxic", "bin").agg(F.sum("n").alias("n")).collect()
     own: dict[str, list] = {}
-    top = x.groupBy("lang").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "lang").limit(LANGUAGES).select("lang")
-    for r in x.join(F.broadcast(top), "lang").collect():
+    # a row for each language that is labelled, score bin and label: the names of languages bound it, not the corpus
+    for r in x.collect():
         own.setdefault(r["lang"], []).append(r)
     removed(x)
     found = {"": threshold(by_all, 0)} | {name: threshold(rows) for name, rows in own.items() if name}
@@ -248,18 +245,19 @@ def calibrate(model: Classifier, scored: DataFrame, labels: DataFrame, score_col
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """The columns id_col and `keep`, and the score under the name `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    (held,) = unused(docs.select(id_col, *keep).withColumn(out, F.lit(0)), "text_to_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in B.blocks(batch, "__text"):
-                w = B.words(b.column("__text"))
+            for b in B.blocks(batch, held):
+                w = B.words(b.column(held))
                 p = m.probability(m.logits(word_features(w), w.first))
-                at = b.schema.get_field_index("__text")
+                at = b.schema.get_field_index(held)
                 yield b.set_column(at, pa.field(out, pa.float64()), pa.array(p.astype(np.float64)))
 
-    x = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in x.dtypes if c != "__text") + f", `{out}` double"
+    x = docs.select(id_col, *keep, F.col(text_col).alias(held))
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in x.dtypes if c != held) + f", `{out}` double"
     return x.mapInArrow(run, schema)
 
 
@@ -276,7 +274,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not model.trained:
         return docs
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = persisted(scores(docs, model, keep=rest, out="__score"), "scored")
-    calibrate(model, scored, labels, "__score")
+    (score,) = unused(docs, "toxic_score")
+    scored = persisted(scores(docs, model, keep=rest, out=score), "scored")
+    calibrate(model, scored, labels, score)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    return scored.where(F.col("__score") < thresholds_column(model, lang)).select(*docs.columns)
+    return scored.where(F.col(score) < thresholds_column(model, lang)).select(*docs.columns)

@@ -193,7 +193,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=[x.split()[0] for x in CAPTURE.split(", ")])
 
 
-DIRECTORY = "part string, first string, last string, offset long, length long, lines long"
+#: A block's first and last line (key and id), and where it lies.
+DIRECTORY = "part string, first string, first_page long, last string, last_page long, offset long, length long, lines long"
+DIRECTORY_NAMES = [x.split()[0] for x in DIRECTORY.split(", ")]
+#: Stands for a null id, which sorts before all others.
+NO_PAGE = -(2**63)
+
+
+def _page():
+    return F.coalesce(F.col("page_id"), F.lit(NO_PAGE))
 
 
 def build_index(captures: DataFrame, path: str, lines: int = LINES) -> DataFrame:
@@ -210,7 +218,7 @@ def build_index(captures: DataFrame, path: str, lines: int = LINES) -> DataFrame
                 sink = system.open_output_stream(f"{base}/{name}", compression=None)
             data = squeeze("\n".join(" ".join(map(str, x)) for x in held).encode())
             sink.write(data)
-            rows.append((name, held[0][0], held[-1][0], at, len(data), len(held)))
+            rows.append((name, *held[0][:2], *held[-1][:2], at, len(data), len(held)))
             at += len(data)
             held.clear()
 
@@ -223,12 +231,12 @@ def build_index(captures: DataFrame, path: str, lines: int = LINES) -> DataFrame
             flush()
         if sink is not None:
             sink.close()
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "first", "last", "offset", "length", "lines"])
+            kinds = [pa.string() if " string" in x else pa.int64() for x in DIRECTORY.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=DIRECTORY_NAMES)
 
     system, base = _open(path)
     system.create_dir(base, recursive=True)
-    ordered = captures.select("url_key", "page_id", "file", "offset", "length").repartitionByRange(partitions(captures.sparkSession), "url_key", "page_id")
+    ordered = captures.select("url_key", _page().alias("page_id"), "file", "offset", "length").repartitionByRange(partitions(captures.sparkSession), "url_key", "page_id")
     return persisted(ordered.sortWithinPartitions("url_key", "page_id").mapInArrow(run, DIRECTORY), "directory")
 
 
@@ -237,75 +245,81 @@ class Index:
 
     def __init__(self, path: str, rows: list[tuple]):
         self.system, self.base = _open(path)
-        self.rows = sorted(rows, key=lambda r: (r[1], r[2]))
-        self.first, self.last = [r[1] for r in self.rows], [r[2] for r in self.rows]
-        self.block: tuple[int, list[list[str]]] = (-1, [])
+        self.rows = sorted(rows, key=lambda r: r[1:5])
+        self.first, self.last = [r[1:3] for r in self.rows], [r[3:5] for r in self.rows]
+        self.block: tuple[int, list[tuple]] = (-1, [])
         self.reads = 0
 
-    def captures(self, key: str) -> list[tuple[str, str, int, int]]:
-        """(page_id, file, offset, length) of the key's lines, from the blocks that may hold it."""
-        out = []
-        for i in range(bisect_left(self.last, key), bisect_right(self.first, key)):
+    def captures(self, key: str, page: int) -> list[tuple[str, int, int]]:
+        """(file, offset, length) of the lines of a key and id, from the blocks that may hold them."""
+        out, want = [], (key, page)
+        for i in range(bisect_left(self.last, want), bisect_right(self.first, want)):
             if self.block[0] != i:
-                part, _, _, offset, length, _ = self.rows[i]
+                part, offset, length = self.rows[i][0], *self.rows[i][5:7]
                 with self.system.open_input_file(f"{self.base}/{part}") as f:
                     data = f.read_at(length, offset)
-                self.block, self.reads = (i, [x.split(" ") for x in zlib.decompress(data, 31).decode().split("\n")]), self.reads + 1
+                lines = [x.split(" ") for x in zlib.decompress(data, 31).decode().split("\n")]
+                self.block, self.reads = (i, [(k, int(p), f, int(o), int(n)) for k, p, f, o, n in lines]), self.reads + 1
             lines = self.block[1]
-            lo = bisect_left(lines, [key])
-            while lo < len(lines) and lines[lo][0] == key:
-                out.append((lines[lo][1], lines[lo][2], int(lines[lo][3]), int(lines[lo][4])))
-                lo += 1
+            at = bisect_left(lines, want)
+            while at < len(lines) and lines[at][:2] == want:
+                out.append(lines[at][2:])
+                at += 1
         return out
 
 
 def lookup(keys: DataFrame, directory: DataFrame, index_path: str, archive_path: str | None = None) -> DataFrame:
-    """keys (url_key, page_id) -> the same with where the index has the capture, and, with archive_path, the
-    digest of the record found there. Keys and directory rows meet by ranges of keys that the directory
-    itself gives: a sample of its first keys cuts them, a block that spans a cut goes to both sides."""
+    """keys (url_key, page_id) -> a row for each capture that the index has of a key and id, where it lies and,
+    with archive_path, the digest of the record found there; nulls where it has none. Keys and directory
+    rows meet by ranges of lines that the directory itself gives: a sample of its first lines cuts them, a
+    block that spans a cut goes to both sides, and one key with many ids is cut as well."""
     spark = keys.sparkSession
     n = partitions(spark)
     cuts = _cuts(directory, n)
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<string>)")
-    place = lambda c: F.size(F.filter(edges, lambda e: e <= c))
-    blocks = directory.withColumn("bin", F.explode(F.sequence(place(F.col("first")), place(F.col("last")))))
-    asked = keys.select("url_key", "page_id").withColumn("bin", place(F.col("url_key")))
+    line = lambda k, p: F.struct(k.alias("k"), p.alias("p"))
+    none = F.expr("cast(array() as array<struct<k:string,p:bigint>>)")
+    edges = F.array(*[line(F.lit(k), F.lit(p).cast("long")) for k, p in cuts]) if cuts else none
+    place = lambda x: F.size(F.filter(edges, lambda e: e <= x))
+    first, last = (line(F.col(c), F.col(f"{c}_page")) for c in ("first", "last"))
+    blocks = directory.withColumn("bin", F.explode(F.sequence(place(first), place(last))))
+    asked = keys.select("url_key", _page().alias("page_id")).withColumn("bin", place(line(F.col("url_key"), F.col("page_id"))))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["part", "first", "last", "offset", "length", "lines"]
-        index = Index(index_path, list(zip(*(right[c].to_pylist() for c in names))))
-        left = left.sort_by([("url_key", "ascending"), ("page_id", "ascending")])
+        index = Index(index_path, list(zip(*(right[c].to_pylist() for c in DIRECTORY_NAMES))))
+        system, base = _open(archive_path) if archive_path else (None, None)
         found, files = [], {}
-        last: tuple[str | None, dict] = (None, {})
-        for k, p in zip(left["url_key"].to_pylist(), left["page_id"].to_pylist()):
-            if last[0] != k:
-                last = (k, {x[0]: x[1:] for x in index.captures(k)})
-            hit = last[1].get(str(p))
-            digest = None
-            if hit and archive_path:
-                system, base = _open(archive_path)
-                f = files.get(hit[0])
-                if f is None:
-                    if len(files) > 64:
-                        for x in files.values():
-                            x.close()
-                        files.clear()
-                    f = files[hit[0]] = system.open_input_file(f"{base}/{hit[0]}")
-                digest = parse(zlib.decompress(f.read_at(hit[2], hit[1]), 31))["payload_digest"]
-            found.append((k, p, *(hit or (None, None, None)), digest))
+        for k, p in sorted(set(zip(left["url_key"].to_pylist(), left["page_id"].to_pylist()))):
+            hits = index.captures(k, p)
+            for name, offset, length in hits:
+                digest = None
+                if archive_path:
+                    if name not in files:
+                        if len(files) > 64:
+                            for x in files.values():
+                                x.close()
+                            files.clear()
+                        files[name] = system.open_input_file(f"{base}/{name}")
+                    digest = parse(zlib.decompress(files[name].read_at(length, offset), 31))["payload_digest"]
+                found.append((k, p, name, offset, length, digest))
+            if not hits:
+                found.append((k, p, None, None, None, None))
         for x in files.values():
             x.close()
-        cols = list(zip(*found)) or [[]] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["url_key", "page_id", "file", "offset", "length", "found_digest"])
+        names = ["url_key", "page_id", "file", "offset", "length", "found_digest"]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 6, kinds)], names=names)
 
-    return asked.groupBy("bin").cogroup(blocks.groupBy("bin")).applyInArrow(run, "url_key string, page_id long, file string, offset long, length long, found_digest string")
+    # a given number of partitions is kept: what a key asks for is far larger than the key
+    dealt = lambda x: x.repartition(n, "bin").groupBy("bin")
+    x = dealt(asked).cogroup(dealt(blocks)).applyInArrow(run, "url_key string, page_id long, file string, offset long, length long, found_digest string")
+    return x.withColumn("page_id", F.when(F.col("page_id") != NO_PAGE, F.col("page_id")))
 
 
-def _cuts(directory: DataFrame, n: int) -> list[str]:
-    """At most n - 1 keys that cut the blocks evenly: quantiles over a hash of bounded size of their first keys."""
-    rows = directory.select("first").distinct().orderBy(F.xxhash64("first")).limit(50 * n).collect()
-    keys = sorted(r["first"] for r in rows)
-    return sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+def _cuts(directory: DataFrame, n: int) -> list[tuple[str, int]]:
+    """At most n - 1 lines that cut the blocks evenly: quantiles over a hash of bounded size of their first lines."""
+    rows = directory.select("first", "first_page").distinct().orderBy(F.xxhash64("first", "first_page")).limit(50 * n).collect()
+    lines = sorted((r["first"], r["first_page"]) for r in rows)
+    return sorted({lines[len(lines) * i // n] for i in range(1, n)}) if lines else []
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -315,10 +329,8 @@ def archive(pages: DataFrame) -> DataFrame:
     manifest = write_archives(pages, path)
     captures = persisted(read_archives(spark, path, manifest), "captures")
     directory = build_index(captures, index)
-    found = lookup(captures, directory, index, path).where("file is not null").groupBy("url_key", "page_id").agg(F.max("found_digest").alias("found_digest"))
-    # null ids match null ids
-    same = (captures["url_key"] == found["url_key"]) & captures["page_id"].eqNullSafe(found["page_id"])
-    return captures.join(found, same, "left").select(
-        captures["page_id"], "payload_bytes", "payload_digest", "record_type", "refers_to", captures["url_key"],
-        F.coalesce(F.col("found_digest") == F.col("payload_digest"), F.lit(False)).alias("in_index"),
+    found = lookup(captures, directory, index, path).select("file", "offset", "found_digest", F.col("url_key").alias("found_key"))
+    return captures.join(found, ["file", "offset"], "left").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key",
+        F.coalesce((F.col("found_digest") == F.col("payload_digest")) & (F.col("found_key") == F.col("url_key")), F.lit(False)).alias("in_index"),
     )

@@ -389,3 +389,30 @@ def test_quality_counts_and_votes(spark, docs, rows, none):
     kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(junk, SCHEMA)).collect()}
     assert not any(kept[i] for i in kept if i % 5 == 0) and sum(kept[i] for i in kept if i % 5) > 200
     assert quality.quality(none).count() == 0
+
+
+def test_warc_index_splits_hot_keys_and_finds_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(warc.build_index, "__defaults__", (20,))
+    pages = [(i, "http://hot.example/", f"{i} " * 3) for i in range(900)] + [(i, None, "x" * (i % 3)) for i in range(300)]
+    pages += [(7, "http://hot.example/", "another payload"), (7, "http://hot.example/", "another payload"), (None, "http://hot.example/", "no id"), (5000, "http://a.b/", "y" * 3_000_000)]
+    x = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("file", F.lit("clash")).withColumn("offset", F.lit(1))
+    got = warc.archive(x).collect()
+    assert len(got) == len(pages) and all(r["in_index"] for r in got)
+    assert sum(r["payload_bytes"] for r in got) == sum(len(h or "") for *_, h in pages)
+    path, index = warc.new_path(spark, "w"), warc.new_path(spark, "i")
+    captures = warc.persisted(warc.read_archives(spark, path, warc.write_archives(x, path)), "captures")
+    directory = warc.build_index(captures, index)
+    cuts = warc._cuts(directory, 4)
+    assert len(cuts) == 3 and len({k for k, _ in cuts}) < 3
+    lost = spark.createDataFrame([("com,none)/", 1), ("example,hot)/", 899), ("example,hot)/", 90000)], "url_key string, page_id long")
+    found = {(r["url_key"], r["page_id"]): r["file"] for r in warc.lookup(lost, directory, index).collect()}
+    assert len(found) == 3 and [k for k, v in found.items() if v] == [("example,hot)/", 899)]
+
+
+def test_helper_columns_never_clash(spark, docs, none):
+    clash = docs.select("*", *[F.lit(1).alias(c) for c in ("key", "text_hash", "text_to_score", "toxic_score", "__source", "__draw", "__probability", "__key", "sid")])
+    assert jaccard.one_of_each(clash).columns == clash.columns
+    assert sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(clash).collect()) == sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(docs).collect())
+    assert sorted(str(r["doc_id"]) for r in mixing.sampled(clash).collect()) == sorted(str(r["doc_id"]) for r in mixing.sampled(docs).collect())
+    labels = clash.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.without_toxic(clash, labels).columns == clash.columns
