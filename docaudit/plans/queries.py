@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docaudit.functions.text import count_of, trimmed
 from docaudit.operators import evaluation as E
 from docaudit.operators import review, rules
+from docaudit.plans import findings_sql
 from docaudit.plans.audit import INJECTED, audit, injected
 from docaudit.sources import paragraphs as P
 
@@ -202,3 +203,5 @@ ORACLE_SQL = {
     "cliffs_delta": LABELS + ", a AS (SELECT lang, n_chars AS x FROM lab WHERE label = 1), b AS (SELECT lang, n_chars AS y FROM lab WHERE label = 0), d AS (SELECT lang, sum(sign(x - y)) AS s, count(*) AS pairs FROM a JOIN b USING (lang) GROUP BY 1), n AS (SELECT lang, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM lab GROUP BY 1), q AS (SELECT n.*, CASE WHEN pairs > 0 THEN CAST(s AS DOUBLE) / pairs ELSE 0.0 END AS v FROM n LEFT JOIN d USING (lang)) SELECT lang, n1, n0, round(v, 6) AS delta, CASE WHEN abs(v) < 0.147 THEN 'negligible' WHEN abs(v) < 0.33 THEN 'small' WHEN abs(v) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM q",
     "sample_size": "WITH p AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row) + ")" for row in PARAMS) + ") t(p, e, level, design, per_doc)), n AS (SELECT *, CASE level WHEN 0.9 THEN 1.645 WHEN 0.95 THEN 1.96 ELSE 2.576 END AS z FROM p) SELECT p, e, level, design, per_doc, CAST(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) AS BIGINT) AS n, CAST(ceil(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) * design) AS BIGINT) AS findings, CAST(ceil(ceil(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) * design) / per_doc) AS BIGINT) AS documents FROM n",
 }
+
+ORACLE_SQL |= findings_sql.oracle(ELEMENTS, {k: spacing_sql(k) for k in SPACING_SQL}, ORACLE_SQL, FINDING_COLUMNS)
