@@ -24,6 +24,8 @@ REQUIRED = ("grammar", "visual_layout", "style")
 COVERED = {"proofreading": "determinističke provere", "grammar": "gramatička analiza", "style": "stilska analiza", "visual_layout": "vizuelni pregled"}
 LACKING = {"grammar": "gramatika", "style": "stil", "visual_layout": "vizuelni prelom"}
 LEAST_CONFIDENCE = 0.60
+#: Places of the checks of notes, cells, headers and footers, and coverage in the order of findings.
+NOTE_CHECK, CELL_CHECK, MARGIN_CHECK, COVERAGE_CHECK = 11, 20, 21, 22
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -50,12 +52,18 @@ def scanned(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*bits).select("doc_id", F.inline(each))
 
 
-def passed_checks(found: DataFrame, rows: DataFrame, options: set[str]) -> DataFrame:
-    """Checks that are on and have no finding of their category, before verification."""
+def passed_checks(found: DataFrame, rows: DataFrame, options: set[str], notes: DataFrame | None = None) -> DataFrame:
+    """Checks that are on and have no finding of their category, before verification. notes (doc_id, one row for
+    each note) adds the check of notes, which any finding in a note fails."""
     named = lambda i: F.element_at(F.create_map(*[F.lit(y) for x in CHECKS for y in (x[0], x[i])]), F.col("check"))
     counts = scanned(rows).where(F.col("check").isin(sorted(options))).withColumns({"category": named(1), "area": named(2)})
     some = found.select("doc_id", "category").distinct()
-    return counts.join(some, ["doc_id", "category"], "left_anti").select("doc_id", "area", F.lit("Bez grešaka").alias("result"), "count")
+    passed = counts.join(some, ["doc_id", "category"], "left_anti").select("doc_id", "area", "count")
+    if notes is not None and "footnotes" in options:
+        each = rows.select("doc_id").distinct().join(notes.groupBy("doc_id").agg(F.count("*").alias("count")), "doc_id", "left").fillna(0, ["count"])
+        failed = found.where(F.col("check_ord") == NOTE_CHECK).select("doc_id").distinct()
+        passed = passed.unionByName(each.join(failed, "doc_id", "left_anti").select("doc_id", F.lit("Fusnote").alias("area"), "count"))
+    return passed.select("doc_id", "area", F.lit("Bez grešaka").alias("result"), "count")
 
 
 def scope(options: set[str], preset: str = "full") -> dict:

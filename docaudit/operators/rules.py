@@ -85,13 +85,13 @@ def quoted(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def spacing(text: Column, rule: str = "spacing_body", kinds: tuple[int, ...] = (1, 2, 3, 4, 5)) -> Column:
+def spacing(text: Column, rule: str = "spacing_body", kinds: tuple[int, ...] = (1, 2, 3, 4, 5), radius: int = 25) -> Column:
     """Double spaces; spaces before marks and closers; spaces after openers; no space after , ; :"""
     def last(x: Column, k: int) -> Column:
         return F.substring(x["m"], F.length(x["m"]) - (k - 1), F.lit(k))
 
     def double(x: Column) -> Column:
-        ctx = window(text, x["pos"], 25)
+        ctx = window(text, x["pos"], radius)
         return finding(rule, SPACING, MUST, 0.99, ctx, F.regexp_replace(ctx, "  +", " "), "Višestruki razmak.", 3, 1, x["pos"], fix=True)
 
     def before(x: Column) -> Column:
@@ -443,6 +443,19 @@ def numbering() -> Column:
     return F.when(skips(), F.array(made))
 
 
+def list_numbering() -> Column:
+    """An item of a DOCX list whose number isn't one more than that of the item before it in its list. Reads
+    number, label, list_before (struct of both for the item before) and num_pattern."""
+    now, before = F.col("number"), F.col("list_before")
+    expected = (before["number"] + 1).cast("string")
+    shown = lambda label, n: F.coalesce(label, n.cast("string"))
+    made = finding(
+        "numbering_skip", NUMBERING, MUST, 0.92, quoted("Stavka ", shown(F.col("label"), now), " (prethodno: ", shown(before["label"], before["number"]), ")"),
+        quoted("Očekivano: ", F.regexp_replace(F.coalesce("num_pattern", F.lit("%1.")), F.lit(r"^([^%]*)%\d"), F.concat(F.lit("$1"), expected))),
+        quoted("Numeracija preskače sa ", before["number"].cast("string"), " na ", now.cast("string"), "."), 8)
+    return F.when(before["number"].isNotNull() & (now != before["number"] + 1), F.array(made))
+
+
 def skips() -> Column:
     return F.col("before").isNotNull() & F.col("num").isNotNull() & (F.col("num") != 1) & (F.col("num") != F.col("before") + 1)
 
@@ -504,21 +517,22 @@ def body_for_capitals() -> Column:
     return (F.col("type") == "paragraph") & (F.col("first_heading").isNull() | (F.col("ord") >= F.col("first_heading"))) & ~F.col("text").rlike(r"\.{3,}") & ~shout
 
 
-def capital_words() -> Column:
+def capital_words(text: Column | None = None) -> Column:
     """array<struct<nth, word>>: words all in capitals that are neither acronyms nor Roman numerals, of
-    paragraphs from the first heading on; of headings, all words in capitals."""
-    head = F.col("type") == "heading"
-    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & (head | (w != F.lower(w))))
+    paragraphs from the first heading on; of headings and tables, all words in capitals."""
+    text = F.col("text") if text is None else text
+    head = F.col("type").isin("heading", "table")
+    words = F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 3) & (w == F.upper(w)) & (head | (w != F.lower(w))))
     numbered_words = F.transform(words, lambda w, i: F.struct(i.alias("nth"), w.alias("word")))
     rare = F.filter(numbered_words, lambda x: head | (~x["word"].isin(ACRONYMS) & ~x["word"].rlike(r"^[IVXLCDM]+\z")))
-    return F.when((head | body_for_capitals()) & F.col("text").rlike(r"\p{Lu}"), rare)
+    return F.when((head | body_for_capitals()) & text.rlike(r"\p{Lu}"), rare)
 
 
 def unlisted_capitals(rows: DataFrame) -> DataFrame:
     """rows with doc_id, type and capitals (see capital_words) -> a row for each word of a paragraph that no
-    heading of the document has in capitals."""
-    titles = rows.where("type = 'heading'").select("doc_id", F.explode("capitals.word").alias("word")).distinct()
-    found = rows.where("type <> 'heading'").select("*", F.explode("capitals").alias("x")).select("*", "x.nth", "x.word").drop("x", "capitals")
+    heading or table of the document has in capitals."""
+    titles = rows.where("type in ('heading', 'table')").select("doc_id", F.explode("capitals.word").alias("word")).distinct()
+    found = rows.where("type not in ('heading', 'table')").select("*", F.explode("capitals").alias("x")).select("*", "x.nth", "x.word").drop("x", "capitals")
     return found.join(titles, ["doc_id", "word"], "left_anti")
 
 
@@ -592,12 +606,14 @@ def marked(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
     text) and the narrow columns that ACROSS and the counts of checks read. This is the one pass over texts."""
     text = F.col("text")
     columns = local_columns(options, kind) + [f() for k, f in IN_CONTEXT.items() if k in options]
+    if "numbering" in options and "list_before" in rows.columns:
+        columns.append(list_numbering())
     found = F.transform(merged(columns), lambda f: f.withField("stands", stands_in(text, f)))
     on = lambda k, c: c if k in options else F.lit(None)
     return in_context(rows).select(
         *place_of(rows), "type", found.alias("found"), on("toc", toc_entry()).cast("string").alias("entry"), on("toc", heading_title()).cast("string").alias("title"),
         F.when(bibliography_entry(), text).alias("entry_text"), on("bibliography", cited_names()).cast("array<string>").alias("cited"), "bibliography",
-        on("capsWords", capital_words()).cast("array<struct<nth:int,word:string>>").alias("capitals"), seen(kind).alias("seen"),
+        on("capsWords", capital_words(F.col("table_text") if "table_text" in rows.columns else None)).cast("array<struct<nth:int,word:string>>").alias("capitals"), seen(kind).alias("seen"),
     )
 
 

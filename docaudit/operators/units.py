@@ -14,6 +14,7 @@ from docaudit.operators.rules import direct_quote as direct_quote
 
 # Places in findings' wording, and the kinds of spacing and Markdown that each place is checked for.
 PLACES = {"cell": "ćeliji", "footnote": "fusnota", "endnote": "endnota", "header": "zaglavlju", "footer": "podnožju"}
+NAMES = {"footnote": "Fusnota", "endnote": "Endnota"}
 SUFFIX = {"cell": "table_cell", "footnote": "note", "endnote": "note", "header": "header_footer", "footer": "header_footer"}
 SPACES = {"cell": (1, 2, 5), "footnote": (1, 2, 3, 5), "endnote": (1, 2, 3, 5), "header": (1,), "footer": (1,)}
 FEW_MARKS = [R.MARKDOWN_PATTERNS[i] for i in (0, 1, 7, 8)]
@@ -49,7 +50,7 @@ def unit_rules(unit: str, options: set[str]) -> list[Column]:
     if (note and "noteContentChecks" not in options) or (s == "header_footer" and "headersFooters" not in options):
         return []
     made = {
-        "spacing": lambda: R.spacing(t, f"spacing_{s}", SPACES[unit]), "brackets": lambda: bracket_findings(t, f"unbalanced_brackets_{s}", place),
+        "spacing": lambda: R.spacing(t, f"spacing_{s}", SPACES[unit], radius=20), "brackets": lambda: bracket_findings(t, f"unbalanced_brackets_{s}", place),
         "scriptMix": lambda: R.script_mix(t, f"script_mixing_{s}"), "duplicates": lambda: R.duplicate_words(t, f"duplicate_words_{s}"),
         "urls": lambda: F.filter(R.urls(t, f"urls_{s}", long=False), lambda f: f["confidence"] == 0.80),
     }
@@ -77,7 +78,9 @@ def unit_findings(units: DataFrame, options: set[str]) -> DataFrame:
         own = units.where((F.col("unit") == unit) & F.col("text").isNotNull())
         parts = unit_rules(unit, options)
         if SUFFIX[unit] == "note" and "emptyNotes" in options and "footnotes" in options:
-            empty = R.finding("empty_note", R.NOTES, R.MUST, 0.99, R.quoted(f"[Prazna {PLACES[unit]} ", F.coalesce("note_id", F.lit("")), "]"), "[dodati tekst]", "Beleška bez sadržaja.", 11)
+            name, low = NAMES[unit], NAMES[unit].lower()
+            original = R.quoted(f"[{name} ", F.coalesce("note_id", F.lit("")), " - prazna]")
+            empty = R.finding("empty_note", R.NOTES, R.MUST, 0.99, original, "[dodati sadržaj]", f"Prazna {low}.", 11)
             parts = [*parts, F.when(R.trimmed(F.col("text")) == "", F.array(empty)).otherwise(F.expr(f"cast(array() as {R.FINDING})"))]
         if not parts:
             continue

@@ -21,9 +21,10 @@ class Audit:
     verified: DataFrame
     docs: DataFrame
     options: frozenset[str]
+    notes: DataFrame | None = None
 
     def passed(self) -> DataFrame:
-        return review.passed_checks(self.candidates, self.elements, set(self.options))
+        return review.passed_checks(self.candidates, self.elements, set(self.options), self.notes)
 
     def summary(self) -> DataFrame:
         return review.summary(self.verified, self.docs, set(self.options))

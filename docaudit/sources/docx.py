@@ -1,8 +1,9 @@
 """DOCX files as rows of units: body elements, table cells, notes, headers and footers.
 
 A package is opened with the standard library in a Python worker, one file at a time; one that is unsafe
-or broken gives a row with its error and nothing else. Files over the admitted size are dropped by
-their metadata, before they are read.
+or broken gives a row with its error and nothing else. Files over the admitted size are turned away by
+their metadata, before they are read. Parts never unpack to more than the size their entry declares, so the
+limits on declared sizes and ratios hold for actual ones.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.sources import files
+
 # Limits of a package and namespaces of its parts.
 MAX_UPLOAD, MAX_ENTRIES, MAX_TOTAL, MAX_PART, MAX_RATIO = 20 * 2**20, 500, 100 * 2**20, 50 * 2**20, 200
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -30,7 +33,7 @@ ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC
 MODES = ("accept", "show_deleted", "ignore_deleted")
 
 UNITS = (
-    "path string, error string, unit string, ord int, type string, level int, text string, style string, para_id string, num_id string, num_level int, "
+    "path string, error string, unit string, ord int, type string, level int, text string, style string, para_id string, num_id string, num_level int, num_pattern string, "
     "number int, label string, list_id string, num_fmt string, all_italic boolean, table_ord int, depth int, row_index int, column_index int, grid_span int, "
     "v_merge string, merge_row int, note_id string"
 )
@@ -232,12 +235,12 @@ class Numbering:
         return merged | ({"start": start} if start is not None else {})
 
     def item(self, num_id: str, level: int, before: dict | None) -> tuple | None:
-        """(number, label, list id, format) of an item; before: the row ahead of it."""
+        """(number, label, list id, format, pattern) of an item; before: the row ahead of it."""
         d = self.definition(num_id, level)
         if d is None:
             return None
         if d["fmt"] in ("bullet", "none"):
-            return None, None, None, d["fmt"]
+            return None, None, None, d["fmt"], d["text"]
         same = before is not None and before["num_id"] == num_id
         if num_id not in self.lists or (before is not None and not same):
             self.made += 1
@@ -253,7 +256,7 @@ class Numbering:
                     over = self.nums[num_id][1].get(deep, (None, None))[0]
                     counters[deep] = (over if over is not None else own["start"] if own["start"] is not None else 1) - 1
         counters[level] = counters.get(level, (d["start"] if d["start"] is not None else 1) - 1) + 1
-        return counters[level], self.label(num_id, d["text"], counters), f"{num_id}-{seq}-{level}", d["fmt"]
+        return counters[level], self.label(num_id, d["text"], counters), f"{num_id}-{seq}-{level}", d["fmt"], d["text"]
 
     def label(self, num_id: str, pattern: str, counters: dict[int, int]) -> str:
         def one(m: re.Match) -> str:
@@ -289,7 +292,7 @@ def paragraph(p: ET.Element, mode: str, styles: Styles, numbering: Numbering, be
     }
     item = numbering.item(num_id, num_level or 0, before) if num_id else None
     if item:
-        row["number"], row["label"], row["list_id"], row["num_fmt"] = item
+        row["number"], row["label"], row["list_id"], row["num_fmt"], row["num_pattern"] = item
     elif not num_id:
         numbering.interrupt()
     return row
@@ -365,8 +368,24 @@ def parsed(data: bytes, mode: str = "accept") -> list[dict]:
     return out
 
 
-def units(files: DataFrame, mode: str = "accept") -> DataFrame:
-    """files (path, content) -> UNITS."""
+# What an audit covers in part or not at all, by what the document part holds.
+PROBES = (
+    ("partial", "textboxes", ("w:txbxContent", "wps:txbx")), ("partial", "drawings_shapes", ("mc:AlternateContent", "w:drawing")),
+    ("unsupported", "equations", ("m:oMath",)), ("unsupported", "charts", ("c:chart",)), ("unsupported", "altChunk", ("w:altChunk",)),
+    ("unsupported", "ole_objects", ("w:object", "o:OLEObject")),
+)
+SIDE_PARTS = (("footnote", "footnotes"), ("endnote", "endnotes"), ("header", "headers"), ("footer", "footers"))
+
+
+def coverage(data: bytes, found: list[dict]) -> list[dict]:
+    """Units of the kind coverage: names of what is covered in part or not at all, in order."""
+    text, there = part(checked(data), "word/document.xml") or "", {x["unit"] for x in found}
+    names = [("partial", name) for unit, name in SIDE_PARTS if unit in there] + [(kind, name) for kind, name, signs in PROBES if any(x in text for x in signs)]
+    return [_EMPTY | {"unit": "coverage", "type": kind, "text": name, "ord": i} for i, (kind, name) in enumerate(names)]
+
+
+def units(packages: DataFrame, mode: str = "accept") -> DataFrame:
+    """packages (path, content) -> UNITS."""
     if mode not in MODES:
         raise ValueError(mode)
 
@@ -374,16 +393,20 @@ def units(files: DataFrame, mode: str = "accept") -> DataFrame:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows = [x | {"path": path} for x in parsed(bytes(data), mode)]
+                    found = parsed(bytes(data), mode)
+                    rows = [x | {"path": path} for x in found + coverage(bytes(data), found)]
                 except (Unsafe, zipfile.BadZipFile, zipfile.LargeZipFile, RuntimeError, EOFError, OSError) as e:
                     rows = [_EMPTY | {"path": path, "error": str(e) or type(e).__name__}]
                 if rows:
                     yield pd.DataFrame(rows, columns=list(_EMPTY)).astype(object).where(lambda x: x.notna(), None)
 
-    return files.select("path", "content").mapInPandas(run, UNITS)
+    return packages.select("path", "content").mapInPandas(run, UNITS)
 
 
 def read(spark: SparkSession, path: str, mode: str = "accept") -> DataFrame:
-    """Units of every .docx file below a path, of those up to the admitted size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
-    return units(files.where(F.col("length") <= MAX_UPLOAD), mode)
+    """Units of every .docx file below a path; one above the admitted size gives a row with its error."""
+    admitted, rejected = files.admitted(spark, path, ("docx",), MAX_UPLOAD)
+    errors = rejected.where("extension in ('docx', 'docm')").select(*[
+        F.col(k).alias(k) if k in ("path", "error") else F.lit(None).cast(kind).alias(k) for k, kind in (x.split() for x in UNITS.split(", "))
+    ])
+    return units(admitted, mode).unionByName(errors)

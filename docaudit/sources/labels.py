@@ -20,7 +20,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def checked(labels: DataFrame) -> DataFrame:
     """Typed labels; raises with every bad field if there is any."""
-    bad = invalid(labels, tuple(c for c in COLUMNS if c != "note")).limit(1000).collect()
+    bad = invalid(labels, tuple(c for c in COLUMNS if c != "note")).orderBy("line", "field").collect()
     if bad:
         raise ValueError("; ".join(f"line {r['line']}: {r['field']} = {r['value']!r}" for r in bad))
     return labels.select("rule_id", F.col("label").cast("int").alias("label"), F.col("predicted_confidence").cast("double").alias("confidence"), "rule_version", "document_id", "finding_id")

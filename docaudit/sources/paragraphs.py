@@ -54,8 +54,9 @@ def identified(rows: DataFrame) -> DataFrame:
     w = in_order()
     near = lambda c: F.coalesce(F.substring(c, 1, 30), F.lit(""))
     style = F.when(F.col("type") == "heading", F.concat(F.lit("Heading"), F.col("level").cast("string"))).otherwise("Normal")
+    style = F.coalesce("style", style) if "style" in rows.columns else style
     key = F.concat_ws("|", "type", style, "text", near(F.lag("text").over(w)), near(F.lead("text").over(w)))
-    letter = F.when(F.col("type") == "heading", "h-").otherwise("p-")
+    letter = F.when(F.col("type") == "heading", "h-").when(F.col("type") == "table", "t-").otherwise("p-")
     named = lambda h: F.concat(letter, F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 7, "0"))
     rows = rows.withColumn("_h", unit_hash(key))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "type", "_h").orderBy("ord")))
