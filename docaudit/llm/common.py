@@ -25,6 +25,18 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+#: Rows of a batch between the JVM and Python. Texts are long, and a batch lies in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to BATCH_ROWS; a session that asks for fewer keeps its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

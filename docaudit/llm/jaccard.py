@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm import bytewords as B
-from docaudit.llm.common import persisted, removed, unused
+from docaudit.llm.common import persisted, removed, small_batches, unused
 from docaudit.llm.components import components
 
 WIDTH = 5
@@ -231,6 +231,7 @@ def _by_difference(x: DataFrame, percent: int) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(frequency_classes(base, width))
     sets = persisted(base.mapInArrow(_sets(width, percent, classes), SETS), "sets")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import new_path, partitions
+from docaudit.llm.common import new_path, partitions, small_batches
 
 END_ID = 1
 #: Chunks end where the hash has MASK_BITS zero bits, after at least LEAST ids and at most MOST.
@@ -164,7 +164,7 @@ def _encode(path: str):
                     address = hashlib.blake2b(small.dtype.itemsize.to_bytes(1) + data, digest_size=16).digest()
                     addresses.append(address)
                     if address not in sent:
-                        if len(sent) > 200_000:
+                        if len(sent) > 50_000:
                             sent.clear()
                         sent.add(address)
                         chunks.append(("chunk", address, small.dtype.itemsize.to_bytes(1) + data, None, end - at, None, None))
@@ -177,6 +177,7 @@ def _encode(path: str):
                     held = 0
             if rows:
                 yield out()
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -210,6 +211,7 @@ MANIFEST = "range long, root binary, documents long, ids long"
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the store of all texts; equal chunks meet in one shuffle of what each task found new."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer), RAW)
     # recipes have addresses of their own; a chunk's copies share one

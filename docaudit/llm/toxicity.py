@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm import bytewords as B
-from docaudit.llm.common import persisted, removed, residue, unused
+from docaudit.llm.common import persisted, removed, residue, small_batches, unused
 
 PREFIX = 4
 BUCKETS = 1 << 17
@@ -244,6 +244,7 @@ def calibrate(model: Classifier, scored: DataFrame, labels: DataFrame, score_col
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """The columns id_col and `keep`, and the score under the name `out`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     (held,) = unused(docs.select(id_col, *keep).withColumn(out, F.lit(0)), "text_to_score")
 
