@@ -136,13 +136,40 @@ def confidence_class(c: Column) -> Column:
     return F.when(c >= 0.9, "high").when(c >= 0.75, "medium").otherwise("low")
 
 
-def audit_json(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, json: summary and findings of each document."""
-    fields = ["finding_id", "section", "paragraph_id", "category", "rule_id", "priority", "confidence", "original", "replacement", "rationale", "status"]
-    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", *fields))).alias("findings"))
-    s = summary(found, docs)
-    x = s.join(rows, "doc_id", "left")
-    return x.select("doc_id", F.to_json(F.struct(F.struct(*[c for c in s.columns if c != "doc_id"]).alias("summary"), "findings")).alias("json"))
+def audit_json(found: DataFrame, docs: DataFrame, passed: DataFrame, options: set[str] = FULL, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """doc_id, json: scope, status, summary, findings, passed checks and patterns of each document. What is
+    exported is summed anew, so a filtered export has the summary of its own findings."""
+    fields = [
+        "finding_id", "section", "paragraph_id", "category", "rule_id", "priority", "confidence", "original", "replacement", "rationale", "status",
+        "auto_fixable", "requires_source_verification", "is_direct_quote", "global_pattern",
+    ]
+
+    def lists(x: DataFrame, name: str, order: str, columns: list[str]) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("x"))))
+        return x.groupBy("doc_id").agg(rows["x"].alias(name))
+
+    on = scope(options)
+    s = summary(found, docs, options, required)
+    rank = F.array_position(F.array(*[F.lit(name) for *_, name in CHECKS], F.lit("Fusnote")), F.col("area"))
+    parts = [
+        lists(found, "findings", "seq", fields), lists(passed.withColumn("rank", rank), "passed_checks", "rank", ["area", "result", "count"]),
+        lists(global_patterns(found), "global_patterns", "rank", ["category", "rationale", "count"]),
+    ]
+    x = s
+    for part in parts:
+        x = x.join(part, "doc_id", "left")
+    names = [p.columns[1] for p in parts]
+    x = x.withColumns({n: F.coalesce(n, F.array().cast(dict(p.dtypes)[n])) for n, p in zip(names, parts)})
+    done = lambda k, yes: F.lit(yes if on[k] else "NIJE " + yes)
+    status = F.struct(
+        "status", done("grammar", "IZVRŠENA").alias("linguistic_analysis"), done("style", "IZVRŠENA").alias("style_analysis"), done("visual_layout", "IZVRŠEN").alias("visual_review")
+    )
+    sums = [c for c in s.columns if c not in ("doc_id", "status")]
+    whole = F.struct(
+        F.struct(*[F.lit(v).alias(k) for k, v in on.items()]).alias("scope"), status.alias("audit_status"),
+        F.struct(*sums, F.size("passed_checks").alias("passed_checks")).alias("summary"), *names, F.array(*[F.lit(c) for c in required]).alias("required_capabilities"),
+    )
+    return x.select("doc_id", F.to_json(whole).alias("json"))
 
 
 def fence(c: Column) -> Column:

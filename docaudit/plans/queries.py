@@ -145,7 +145,7 @@ QUERIES = {
     "global_patterns": lambda s, d: full(s, d).patterns(),
     "export_open": lambda s, d: review.exported(review.with_status((v := full(s, d).verified), statuses(v, s, d)), "open").select(*FINDING_COLUMNS),
     "status_overlay": lambda s, d: review.summary(review.with_status((v := full(s, d).verified), statuses(v, s, d)), docs(s, d)),
-    "audit_json": lambda s, d: review.audit_json(full(s, d).verified, docs(s, d)),
+    "audit_json": lambda s, d: review.audit_json((a := full(s, d)).verified, docs(s, d), a.passed()),
     "markdown_report": lambda s, d: review.markdown_report(full(s, d).verified),
     "eval_per_rule": lambda s, d: E.per_rule(labels(s, d)),
     "eval_reliability": lambda s, d: E.reliability(labels(s, d)),

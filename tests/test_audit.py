@@ -1,3 +1,5 @@
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,17 @@ def test_export_open_only(spark):
     assert review.exported(x, "open").count() == a.verified.count() - 1
 
 
+def test_json_of_an_audit_and_of_what_is_open(spark):
+    a, _ = found(spark, "a  b\nc  d\ne  f", options={"spacing", "brackets"})
+    first = a.verified.orderBy("seq").first()["finding_id"]
+    ev = spark.createDataFrame([(1, first, "DONE", 1)], "doc_id long, finding_id string, status string, ts int")
+    for x, left in ((a.verified, 3), (review.exported(review.with_status(a.verified, ev), "open"), 2)):
+        got = json.loads(review.audit_json(x, a.docs, a.passed(), {"spacing", "brackets"}).first()["json"])
+        assert got["summary"]["total"] == got["summary"]["open_mandatory"] == len(got["findings"]) == left and got["audit_status"]["status"] == "DELIMIČAN"
+        assert [p["area"] for p in got["passed_checks"]] == ["Nebalansirane zagrade"] and got["summary"]["passed_checks"] == 1 and got["scope"]["proofreading"]
+        assert [p["count"] for p in got["global_patterns"]] == ([3] if left == 3 else [])
+
+
 def test_formula_guard_and_fence(spark):
     x = spark.createDataFrame([("=1+1", "a `` b"), (" @x", "no"), ("ok", "````")], "a string, b string").select(review.safe_cell(F.col("a")).alias("a"), review.fence(F.col("b")).alias("b"))
     assert [tuple(r) for r in x.collect()] == [("'=1+1", "```"), ("' @x", "```"), ("ok", "`````")]
