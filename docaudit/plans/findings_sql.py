@@ -130,14 +130,17 @@ def found_sql(elements: str, spacing: dict[int, str], known: dict[str, str]) ->
     rules by query name."""
     def rows(source: str, rule: str, category: str, priority: str, confidence, original: str, replacement: str, rationale: str, check: int, sub: int = 0, pos: str = "0", where: str = "true") -> str:
         return (
-            f"SELECT e.doc_id, e.ord, e.section, e.id AS paragraph_id, e.q, '{rule}' AS rule_id, '{category}' AS category, '{priority}' AS priority, CAST({confidence} AS DOUBLE) AS confidence, "
-            f"{original} AS original, {replacement} AS replacement, {rationale} AS rationale, {check} AS check_ord, {sub} AS sub_ord, CAST({pos} AS INT) AS match_pos, e.text AS body "
+            f"SELECT e.doc_id, e.ord, e.section, e.id AS paragraph_id, e.q, '{rule}' AS rule_id, '{category}' AS category, '{priority}' AS "
+                f"priority, CAST({confidence} AS DOUBLE) AS confidence, "
+            f"{original} AS original, {replacement} AS replacement, {rationale} AS rationale, {check} AS check_ord, {sub} AS sub_ord, "
+                f"CAST({pos} AS INT) AS match_pos, e.text AS body "
             f"FROM {source} x JOIN el e USING (doc_id, ord) WHERE {where}"
         )
 
     def whole(rule: str, confidence: float, original: str, replacement: str, rationale: str, sub: int, where: str) -> str:
         return (
-            f"SELECT doc_id, -1, '(ceo dokument)', 'doc-global', false, '{rule}', '{R.QUOTES}', '{R.MUST}', {confidence}, {original}, '{replacement}', {rationale}, 1, {sub}, 0, '' "
+            f"SELECT doc_id, -1, '(ceo dokument)', 'doc-global', false, '{rule}', '{R.QUOTES}', '{R.MUST}', {confidence}, {original}, "
+                f"'{replacement}', {rationale}, 1, {sub}, 0, '' "
             f"FROM quote_balance WHERE {where}"
         )
 

@@ -40,10 +40,12 @@ def exploded(x: DataFrame, column) -> DataFrame:
 
 SPACING_SQL = {
     1: ("  +", "true", "o25", "regexp_replace(o25, '  +', ' ', 'g')", "'Višestruki razmak.'"),
-    2: (" +[,.:;!?]", "NOT regexp_matches(substr(t, greatest(0, pos - 5) + 1, least(5, pos)), 'https?:$') AND NOT (right(m, 1) = '.' AND substr(t, pos + length(m) + 1, 2) = '..')", "o20", "left(o20, lp) || right(m, 1) || substr(o20, lp + length(m) + 1)", "'Razmak pre „' || right(m, 1) || '“.'"),
+    2: (" +[,.:;!?]", "NOT regexp_matches(substr(t, greatest(0, pos - 5) + 1, least(5, pos)), 'https?:$') AND NOT (right(m, 1) = '.' AND substr(t, pos + "
+        "length(m) + 1, 2) = '..')", "o20", "left(o20, lp) || right(m, 1) || substr(o20, lp + length(m) + 1)", "'Razmak pre „' || right(m, 1) || '“.'"),
     3: (" +[)\\]}»“]", "true", "o20", "left(o20, lp) || right(m, 1) || substr(o20, lp + length(m) + 1)", "'Razmak pre zatvorene zagrade.'"),
     4: ("[(\\[{«„] +", "true", "o20", "left(o20, lp) || left(m, 1) || substr(o20, lp + length(m) + 1)", "'Razmak posle otvorene zagrade.'"),
-    5: ("[,;:][^\\s\\d\"''“”„’)\\]]", f"NOT regexp_matches(near, 'https?:|[A-Za-z0-9_]:\\\\|[0-9a-fA-F]{{2}}:[0-9a-fA-F]') AND NOT regexp_matches(near, '(?i)({rules.PREFIXES}):')", "o20", "left(o20, lp) || left(m, 1) || ' ' || right(m, 1) || substr(o20, lp + 3)", "'Nedostaje razmak posle „' || left(m, 1) || '“.'"),
+    5: ("[,;:][^\\s\\d\"''“”„’)\\]]", f"NOT regexp_matches(near, 'https?:|[A-Za-z0-9_]:\\\\|[0-9a-fA-F]{{2}}:[0-9a-fA-F]') AND NOT regexp_matches(near, "
+        f"'(?i)({rules.PREFIXES}):')", "o20", "left(o20, lp) || left(m, 1) || ' ' || right(m, 1) || substr(o20, lp + 3)", "'Nedostaje razmak posle „' || left(m, 1) || '“.'"),
 }
 
 MADE = f"made AS (SELECT doc_id, {INJECTED} AS text FROM documents)"
@@ -163,9 +165,12 @@ BIB = ", b AS (SELECT doc_id, ord AS b_ord, level AS b_level FROM els WHERE type
 ORACLE_SQL = {
     "paragraphs": "WITH " + LINES.format(src="documents") + " SELECT doc_id, ord, line, raw AS text FROM lines",
     "word_count": "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS BIGINT) AS words FROM documents",
-    "language": "WITH " + MADE + ", n AS (SELECT doc_id, len(regexp_extract_all(left(text, 5000), '[\\x{0400}-\\x{04FF}]')) AS c, len(regexp_extract_all(left(text, 5000), '[a-zA-Z\\x{00C0}-\\x{024F}]')) AS l FROM made) SELECT doc_id, CASE WHEN c > 2 * l THEN 'sr-Cyrl' WHEN l > 2 * c THEN 'sr-Latn' ELSE 'sr' END AS language FROM n",
+    "language": "WITH " + MADE + ", n AS (SELECT doc_id, len(regexp_extract_all(left(text, 5000), '[\\x{0400}-\\x{04FF}]')) AS c, len(regexp_extract_all(left(text, "
+        "5000), '[a-zA-Z\\x{00C0}-\\x{024F}]')) AS l FROM made) SELECT doc_id, CASE WHEN c > 2 * l THEN 'sr-Cyrl' WHEN l > 2 * c THEN "
+        "'sr-Latn' ELSE 'sr' END AS language FROM n",
     "markdown_elements": ELEMENTS + " SELECT doc_id, ord, line, type, level, text FROM els",
-    "section_fill": ELEMENTS + ", t AS (SELECT doc_id, ord, CASE WHEN type = 'heading' AND " + TRIM.format(t="text") + " <> '' THEN " + TRIM.format(t="text") + " END AS title FROM els) SELECT doc_id, ord, coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING), '" + P.FIRST_SECTION + "') AS section FROM t",
+    "section_fill": ELEMENTS + ", t AS (SELECT doc_id, ord, CASE WHEN type = 'heading' AND " + TRIM.format(t="text") + " <> '' THEN " + TRIM.format(t="text") + " END AS title FROM els) SELECT doc_id, ord, coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS "
+        "UNBOUNDED PRECEDING), '" + P.FIRST_SECTION + "') AS section FROM t",
     # a run of k equal words in a row has k // 2 pairs; a word ends a pair even if marks follow it
     "dup_words": "WITH " + LINES.format(src="documents") + """, w AS (SELECT doc_id, ord, unnest(regexp_split_to_array(raw, '\\s+')) AS w, generate_subscripts(regexp_split_to_array(raw, '\\s+'), 1) AS i FROM lines),
  x AS (SELECT doc_id, ord, i, lower(w) AS a, regexp_matches(w, '^\\p{L}+$') AS pure, lower(regexp_extract(w, '^(\\p{L}+)(?:[,.:;!?)\\]}].*)?$', 1)) AS head FROM w),
@@ -173,12 +178,17 @@ ORACLE_SQL = {
  r AS (SELECT *, sum(CASE WHEN before_pure AND before = head THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, ord ORDER BY i) AS run FROM l),
  k AS (SELECT doc_id, ord, run, any_value(head) AS word, count(*) // 2 AS n FROM r GROUP BY ALL)
  SELECT doc_id, CAST(sum(n) AS BIGINT) AS findings FROM k WHERE n > 0 AND length(word) >= 2 AND word NOT IN (""" + ", ".join(f"'{w}'" for w in rules.MAY_REPEAT) + ") GROUP BY doc_id",
-    "repeated_paragraphs": "WITH " + LINES.format(src="documents") + ", n AS (SELECT doc_id, ord, " + FLAT.format(t=TRIM.format(t="raw")) + " AS norm FROM lines WHERE length(" + TRIM.format(t="raw") + ") >= 50), r AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, norm) AS first_ord FROM n) SELECT doc_id, ord, first_ord FROM r WHERE ord > first_ord",
+    "repeated_paragraphs": "WITH " + LINES.format(src="documents") + ", n AS (SELECT doc_id, ord, " + FLAT.format(t=TRIM.format(t="raw")) + " AS norm FROM lines WHERE length(" + TRIM.format(t="raw") + ") >= 50), r AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, norm) AS first_ord FROM n) SELECT doc_id, ord, first_ord FROM r "
+        "WHERE ord > first_ord",
     **{f"spacing_{k}": spacing_sql(k) for k in SPACING_SQL},
     "quote_balance": ELEMENTS + " SELECT doc_id, " + ", ".join(f"CAST(sum({COUNT.format(t='text', p=p)}) AS BIGINT) AS {n}" for p, n in (('"', "straight"), ("„", "opened"), ("“", "closed"))) + " FROM els GROUP BY 1",
     "bracket_balance": ELEMENTS + " SELECT doc_id, " + ", ".join(f"CAST(sum({COUNT.format(t='text', p=p)}) AS BIGINT) AS {n}" for p, n in (("\\(", "round_open"), ("\\)", "round_close"), ("\\[", "square_open"), ("\\]", "square_close"))) + " FROM els GROUP BY 1",
-    "markdown_links": ELEMENTS + ", m AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '\\[([^\\]]+)\\]\\([^)]+\\)')) AS m, '[link](url)' AS kind FROM els UNION ALL SELECT doc_id, ord, unnest(regexp_extract_all(text, '```')), '```' FROM els) SELECT doc_id, ord, " + TRIM.format(t="m") + " AS original, '[ukloniti markdown]' AS replacement, 'Ostatak ' || kind || '.' AS rationale FROM m",
-    "script_mix": ELEMENTS + f", w AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '{CLEAN_WORD}')) AS w FROM els), c AS (SELECT *, len(regexp_extract_all(w, '[\\x{{0400}}-\\x{{04FF}}]')) AS c, len(regexp_extract_all(w, '[a-zA-Z\\x{{00C0}}-\\x{{024F}}]')) AS l FROM w) SELECT doc_id, ord, w AS original, '[prebaciti na ' || CASE WHEN c > l THEN 'ćirilica' ELSE 'latinica' END || ']' AS replacement, 'Reč „' || w || '“: ' || c || ' ćir. + ' || l || ' lat.' AS rationale FROM c WHERE length(w) >= 2 AND c > 0 AND l > 0",
+    "markdown_links": ELEMENTS + ", m AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '\\[([^\\]]+)\\]\\([^)]+\\)')) AS m, '[link](url)' AS kind FROM els "
+        "UNION ALL SELECT doc_id, ord, unnest(regexp_extract_all(text, '```')), '```' FROM els) SELECT doc_id, ord, " + TRIM.format(t="m") + " AS original, '[ukloniti markdown]' AS replacement, 'Ostatak ' || kind || '.' AS rationale FROM m",
+    "script_mix": ELEMENTS + f", w AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '{CLEAN_WORD}')) AS w FROM els), c AS (SELECT *, "
+        f"len(regexp_extract_all(w, '[\\x{{0400}}-\\x{{04FF}}]')) AS c, len(regexp_extract_all(w, '[a-zA-Z\\x{{00C0}}-\\x{{024F}}]')) AS l "
+        "FROM w) SELECT doc_id, ord, w AS original, '[prebaciti na ' || CASE WHEN c > l THEN 'ćirilica' ELSE 'latinica' END || ']' AS "
+        "replacement, 'Reč „' || w || '“: ' || c || ' ćir. + ' || l || ' lat.' AS rationale FROM c WHERE length(w) >= 2 AND c > 0 AND l > 0",
     "all_caps": ELEMENTS + f""", fh AS (SELECT doc_id, min(ord) AS fh FROM els WHERE type = 'heading' GROUP BY 1),
  body AS (SELECT e.* FROM els e LEFT JOIN fh USING (doc_id) WHERE type = 'paragraph' AND (fh IS NULL OR ord >= fh) AND NOT regexp_matches(text, '\\.{{3,}}') AND NOT (text = upper(text) AND text <> lower(text))),
  w AS (SELECT doc_id, ord, unnest(list_filter(regexp_extract_all(text, '{CLEAN_WORD}'), lambda w: length(w) >= 3 AND w = upper(w) AND w <> lower(w))) AS word, generate_subscripts(list_filter(regexp_extract_all(text, '{CLEAN_WORD}'), lambda w: length(w) >= 3 AND w = upper(w) AND w <> lower(w)), 1) - 1 AS nth FROM body),
@@ -190,18 +200,44 @@ ORACLE_SQL = {
  UNION ALL SELECT doc_id, ord, left(u, 50) || '...', '[proveriti]', 'Veoma dugačak URL.' FROM c WHERE length(u) > 100""",
     "toc_match": ELEMENTS + HEADS + " SELECT e.doc_id, e.ord, e.title, coalesce(bool_or(" + FLAT.format(t="h.title") + " = " + FLAT.format(t="e.title") + "), false) AS same, arg_min(h.title, h.ord) FILTER (WHERE levenshtein(lower(h.title), " + FLAT.format(t="e.title") + ") <= 3) AS near FROM e LEFT JOIN h USING (doc_id) GROUP BY e.doc_id, e.ord, e.title",
     "heading_not_in_toc": ELEMENTS + HEADS + " SELECT h.doc_id, h.ord, h.title FROM h JOIN e USING (doc_id) GROUP BY ALL HAVING NOT bool_or(" + FLAT.format(t="e.title") + " = " + FLAT.format(t="h.title") + " OR levenshtein(lower(e.title), " + FLAT.format(t="h.title") + ") <= 3)",
-    "numbering_gaps": ELEMENTS + ", n AS (SELECT doc_id, ord, TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d+)[.)]\\s', 1), '') AS BIGINT) AS num FROM els), r AS (SELECT *, sum(CASE WHEN num IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM n), l AS (SELECT doc_id, ord, num, lag(num) OVER (PARTITION BY doc_id, run ORDER BY ord) AS before FROM r WHERE num IS NOT NULL) SELECT doc_id, ord, num, before FROM l WHERE before IS NOT NULL AND num <> 1 AND num <> before + 1",
-    "heading_sequence": ELEMENTS + ", n AS (SELECT *, lead(type) OVER (PARTITION BY doc_id ORDER BY ord) AS nt, lead(level) OVER (PARTITION BY doc_id ORDER BY ord) AS nl FROM els) SELECT doc_id, ord, 'OBAVEZNO' AS priority, '[Prazan naslov nivoa ' || level || ']' AS original FROM n WHERE type = 'heading' AND " + TRIM.format(t="text") + " = '' UNION ALL SELECT doc_id, ord, 'PREPORUKA', CASE WHEN text = '' THEN '[prazan]' ELSE text END FROM n WHERE type = 'heading' AND nt = 'heading' AND nl <= level",
-    "bibliography_entries": ELEMENTS + BIB + f", m AS (SELECT doc_id, ord, text, NOT (regexp_matches(text, '(?i)\\b({rules.ANCIENT})\\b') OR regexp_matches(text, 'https?://') OR regexp_matches(text, '(?i)\\b({rules.RELIGIOUS})\\b')) AS modern FROM entries) SELECT doc_id, ord, modern AND NOT regexp_matches(text, '\\b(1[5-9]\\d{{2}}|20\\d{{2}})\\b') AS no_year, modern AND NOT (regexp_matches(text, ':\\s*[A-Z\\x{{0400}}-\\x{{04FF}}]') OR regexp_matches(text, '(?i)University|Press|Verlag|izdava') OR regexp_matches(text, '[„\"“«»]') OR regexp_matches(text, '(?i)\\b({rules.PERIODICALS})\\b')) AS no_publisher FROM m",
-    "bibliography_crossref": ELEMENTS + BIB + r", f AS (SELECT doc_id, min(b_ord) AS first FROM b GROUP BY 1), c AS (SELECT DISTINCT e.doc_id, f.first, unnest(list_concat(regexp_extract_all(e.text, '\((\p{Lu}\p{Ll}{2,}),?\s*\d{4}\)', 1), regexp_extract_all(e.text, '(\p{Lu}\p{Ll}{2,})\s*\(\d{4}\)', 1))) AS author FROM els e JOIN f USING (doc_id) WHERE e.ord < f.first) SELECT doc_id, first AS ord, 'Citiran: „' || author || '“' AS original FROM c WHERE EXISTS (SELECT 1 FROM entries x WHERE x.doc_id = c.doc_id) AND NOT EXISTS (SELECT 1 FROM entries x WHERE x.doc_id = c.doc_id AND contains(x.text, c.author)) AND author NOT IN (" + ", ".join(f"'{a}'" for a in rules.NOT_AUTHORS) + ")",
+    "numbering_gaps": ELEMENTS + ", n AS (SELECT doc_id, ord, TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d+)[.)]\\s', 1), '') AS BIGINT) AS num FROM els), r AS "
+        "(SELECT *, sum(CASE WHEN num IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM n), l AS (SELECT "
+        "doc_id, ord, num, lag(num) OVER (PARTITION BY doc_id, run ORDER BY ord) AS before FROM r WHERE num IS NOT NULL) SELECT doc_id, "
+        "ord, num, before FROM l WHERE before IS NOT NULL AND num <> 1 AND num <> before + 1",
+    "heading_sequence": ELEMENTS + ", n AS (SELECT *, lead(type) OVER (PARTITION BY doc_id ORDER BY ord) AS nt, lead(level) OVER (PARTITION BY doc_id ORDER BY ord) "
+        "AS nl FROM els) SELECT doc_id, ord, 'OBAVEZNO' AS priority, '[Prazan naslov nivoa ' || level || ']' AS original FROM n WHERE type "
+        "= 'heading' AND " + TRIM.format(t="text") + " = '' UNION ALL SELECT doc_id, ord, 'PREPORUKA', CASE WHEN text = '' THEN '[prazan]' ELSE text END FROM n WHERE type = 'heading' "
+        "AND nt = 'heading' AND nl <= level",
+    "bibliography_entries": ELEMENTS + BIB + f", m AS (SELECT doc_id, ord, text, NOT (regexp_matches(text, '(?i)\\b({rules.ANCIENT})\\b') OR regexp_matches(text, 'https?://') "
+        f"OR regexp_matches(text, '(?i)\\b({rules.RELIGIOUS})\\b')) AS modern FROM entries) SELECT doc_id, ord, modern AND NOT "
+        f"regexp_matches(text, '\\b(1[5-9]\\d{{2}}|20\\d{{2}})\\b') AS no_year, modern AND NOT (regexp_matches(text, "
+        f"':\\s*[A-Z\\x{{0400}}-\\x{{04FF}}]') OR regexp_matches(text, '(?i)University|Press|Verlag|izdava') OR regexp_matches(text, "
+        f"'[„\"“«»]') OR regexp_matches(text, '(?i)\\b({rules.PERIODICALS})\\b')) AS no_publisher FROM m",
+    "bibliography_crossref": ELEMENTS + BIB + r", f AS (SELECT doc_id, min(b_ord) AS first FROM b GROUP BY 1), c AS (SELECT DISTINCT e.doc_id, f.first, "
+        r"unnest(list_concat(regexp_extract_all(e.text, '\((\p{Lu}\p{Ll}{2,}),?\s*\d{4}\)', 1), regexp_extract_all(e.text, "
+        r"'(\p{Lu}\p{Ll}{2,})\s*\(\d{4}\)', 1))) AS author FROM els e JOIN f USING (doc_id) WHERE e.ord < f.first) SELECT doc_id, first AS "
+        r"ord, 'Citiran: „' || author || '“' AS original FROM c WHERE EXISTS (SELECT 1 FROM entries x WHERE x.doc_id = c.doc_id) AND NOT "
+        r"EXISTS (SELECT 1 FROM entries x WHERE x.doc_id = c.doc_id AND contains(x.text, c.author)) AND author NOT IN (" + ", ".join(f"'{a}'" for a in rules.NOT_AUTHORS) + ")",
     "eval_per_rule": LABELS + """, g AS (SELECT rule_id, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label = 0) AS fp, count(*) AS n, avg(label) AS p, avg(pow(confidence - label, 2)) AS brier FROM lab GROUP BY 1),
  w AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM g)
  SELECT rule_id, tp, fp, n, round(p, 6) AS precision, round(greatest(0.0, c - h), 6) AS lower, round(least(1.0, c + h), 6) AS upper, round(c, 6) AS centre, round(brier, 6) AS brier, CASE WHEN n < 10 THEN 'very small sample' WHEN n < 30 THEN 'small sample' ELSE '' END AS warning FROM w""",
-    "eval_reliability": LABELS + ", g AS (SELECT CAST(least(9, floor(confidence * 10)) AS BIGINT) AS bin, count(*) AS n, avg(confidence) AS p, avg(label) AS o FROM lab GROUP BY 1) SELECT bin, n, round(p, 6) AS predicted, round(o, 6) AS observed, round(abs(p - o), 6) AS difference, round(abs(p - o) * n / sum(n) OVER (), 6) AS contribution FROM g",
+    "eval_reliability": LABELS + ", g AS (SELECT CAST(least(9, floor(confidence * 10)) AS BIGINT) AS bin, count(*) AS n, avg(confidence) AS p, avg(label) AS o FROM "
+        "lab GROUP BY 1) SELECT bin, n, round(p, 6) AS predicted, round(o, 6) AS observed, round(abs(p - o), 6) AS difference, round(abs(p "
+        "- o) * n / sum(n) OVER (), 6) AS contribution FROM g",
     "mcnemar": MCNEMAR + " SELECT * FROM test",
-    "bh_fdr": MCNEMAR + ", r AS (SELECT rule_id, p, row_number() OVER (ORDER BY p, rule_id) AS rank, count(*) OVER () AS m FROM test), k AS (SELECT *, rank / m * 0.05 AS critical FROM r) SELECT rule_id, p, rank, round(critical, 6) AS critical, coalesce(rank <= max(CASE WHEN p <= critical THEN rank END) OVER (), false) AS significant FROM k",
-    "cliffs_delta": LABELS + ", a AS (SELECT lang, n_chars AS x FROM lab WHERE label = 1), b AS (SELECT lang, n_chars AS y FROM lab WHERE label = 0), d AS (SELECT lang, sum(sign(x - y)) AS s, count(*) AS pairs FROM a JOIN b USING (lang) GROUP BY 1), n AS (SELECT lang, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM lab GROUP BY 1), q AS (SELECT n.*, CASE WHEN pairs > 0 THEN CAST(s AS DOUBLE) / pairs ELSE 0.0 END AS v FROM n LEFT JOIN d USING (lang)) SELECT lang, n1, n0, round(v, 6) AS delta, CASE WHEN abs(v) < 0.147 THEN 'negligible' WHEN abs(v) < 0.33 THEN 'small' WHEN abs(v) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM q",
-    "sample_size": "WITH p AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row) + ")" for row in PARAMS) + ") t(p, e, level, design, per_doc)), n AS (SELECT *, CASE level WHEN 0.9 THEN 1.645 WHEN 0.95 THEN 1.96 ELSE 2.576 END AS z FROM p) SELECT p, e, level, design, per_doc, CAST(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) AS BIGINT) AS n, CAST(ceil(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) * design) AS BIGINT) AS findings, CAST(ceil(ceil(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) * design) / per_doc) AS BIGINT) AS documents FROM n",
+    "bh_fdr": MCNEMAR + ", r AS (SELECT rule_id, p, row_number() OVER (ORDER BY p, rule_id) AS rank, count(*) OVER () AS m FROM test), k AS (SELECT *, "
+        "rank / m * 0.05 AS critical FROM r) SELECT rule_id, p, rank, round(critical, 6) AS critical, coalesce(rank <= max(CASE WHEN p <= "
+        "critical THEN rank END) OVER (), false) AS significant FROM k",
+    "cliffs_delta": LABELS + ", a AS (SELECT lang, n_chars AS x FROM lab WHERE label = 1), b AS (SELECT lang, n_chars AS y FROM lab WHERE label = 0), d AS "
+        "(SELECT lang, sum(sign(x - y)) AS s, count(*) AS pairs FROM a JOIN b USING (lang) GROUP BY 1), n AS (SELECT lang, count(*) FILTER "
+        "(WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM lab GROUP BY 1), q AS (SELECT n.*, CASE WHEN pairs > 0 THEN "
+        "CAST(s AS DOUBLE) / pairs ELSE 0.0 END AS v FROM n LEFT JOIN d USING (lang)) SELECT lang, n1, n0, round(v, 6) AS delta, CASE WHEN "
+        "abs(v) < 0.147 THEN 'negligible' WHEN abs(v) < 0.33 THEN 'small' WHEN abs(v) < 0.474 THEN 'medium' ELSE 'large' END AS effect "
+        "FROM q",
+    "sample_size": "WITH p AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"CAST({x} AS DOUBLE)" for x in row) + ")" for row in PARAMS) + ") t(p, e, level, design, per_doc)), n AS (SELECT *, CASE level WHEN 0.9 THEN 1.645 WHEN 0.95 THEN 1.96 ELSE 2.576 END AS z FROM "
+        "p) SELECT p, e, level, design, per_doc, CAST(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) AS BIGINT) AS n, "
+        "CAST(ceil(ceil(CAST(z AS DOUBLE) * z * p * (1 - p) / (e * e)) * design) AS BIGINT) AS findings, CAST(ceil(ceil(ceil(CAST(z AS "
+        "DOUBLE) * z * p * (1 - p) / (e * e)) * design) / per_doc) AS BIGINT) AS documents FROM n",
 }
 
 ORACLE_SQL |= findings_sql.oracle(ELEMENTS, {k: spacing_sql(k) for k in SPACING_SQL}, ORACLE_SQL, FINDING_COLUMNS)
