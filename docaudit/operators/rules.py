@@ -71,7 +71,10 @@ FINDING = (
 )
 
 
-def finding(rule: str, category: str, priority: str, confidence, original, replacement, rationale, check: int, sub: int = 0, pos=None, fix: bool = False, source: bool = False, whole: bool = False) -> Column:
+def finding(
+    rule: str, category: str, priority: str, confidence, original, replacement, rationale, check: int, sub: int = 0, pos=None, fix: bool = False,
+    source: bool = False, whole: bool = False,
+) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
         F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"),
@@ -95,7 +98,8 @@ def spacing(text: Column, rule: str = "spacing_body", kinds: tuple[int, ...] = (
         return finding(rule, SPACING, MUST, 0.99, ctx, F.regexp_replace(ctx, "  +", " "), "Višestruki razmak.", 3, 1, x["pos"], fix=True)
 
     def before(x: Column) -> Column:
-        return finding(rule, SPACING, MUST, 0.97, window(text, x["pos"], 20), spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1)), quoted("Razmak pre „", last(x, 1), "“."), 3, 2, x["pos"], fix=True)
+        to = spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1))
+        return finding(rule, SPACING, MUST, 0.97, window(text, x["pos"], 20), to, quoted("Razmak pre „", last(x, 1), "“."), 3, 2, x["pos"], fix=True)
 
     def before_ok(x: Column) -> Column:
         ahead = F.substring(text, F.greatest(F.lit(0), x["pos"] - 5) + 1, F.least(F.lit(5), x["pos"]))
@@ -103,14 +107,17 @@ def spacing(text: Column, rule: str = "spacing_body", kinds: tuple[int, ...] = (
         return ~ahead.rlike("https?:\\z") & ~((last(x, 1) == ".") & (rest == ".."))
 
     def closer(x: Column) -> Column:
-        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1)), "Razmak pre zatvorene zagrade.", 3, 3, x["pos"], fix=True)
+        to = spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1))
+        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), to, "Razmak pre zatvorene zagrade.", 3, 3, x["pos"], fix=True)
 
     def opener(x: Column) -> Column:
-        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), spliced(text, x["pos"], 20, F.length(x["m"]), F.substring(x["m"], 1, 1)), "Razmak posle otvorene zagrade.", 3, 4, x["pos"], fix=True)
+        to = spliced(text, x["pos"], 20, F.length(x["m"]), F.substring(x["m"], 1, 1))
+        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), to, "Razmak posle otvorene zagrade.", 3, 4, x["pos"], fix=True)
 
     def after(x: Column) -> Column:
         mark = F.substring(x["m"], 1, 1)
-        return finding(rule, SPACING, MUST, 0.85, window(text, x["pos"], 20), spliced(text, x["pos"], 20, F.lit(2), F.concat(mark, F.lit(" "), last(x, 1))), quoted("Nedostaje razmak posle „", mark, "“."), 3, 5, x["pos"], fix=True)
+        to = spliced(text, x["pos"], 20, F.lit(2), F.concat(mark, F.lit(" "), last(x, 1)))
+        return finding(rule, SPACING, MUST, 0.85, window(text, x["pos"], 20), to, quoted("Nedostaje razmak posle „", mark, "“."), 3, 5, x["pos"], fix=True)
 
     def after_ok(x: Column) -> Column:
         start = F.greatest(F.lit(0), x["pos"] - 10)
