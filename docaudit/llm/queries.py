@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import decontamination, jaccard, langid, lm, mixing, quality, sharding, tokens, toxicity, warc
+from docaudit.llm import decontamination, jaccard, langid, licences, lm, mixing, negatives, quality, sharding, spelling, tokens, toxicity, warc
 from docaudit.llm.common import residue, table
 
 
@@ -55,6 +55,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=moved)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_ppm": op2_ppm,
@@ -66,5 +79,8 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_licences": op11_licences,
+    "op12_spelling": op12_spelling,
+    "op13_negatives": op13_negatives,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.oracle_sql()}
