@@ -7,12 +7,14 @@ elements with one another are joins of the narrow columns that the same pass lea
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import EDGE_LEFT, EDGE_RIGHT, NOT_WS, WS, collapsed, hits, sign_count, spliced, trimmed, window
+from docaudit.functions.text import (
+    EDGE_LEFT, EDGE_RIGHT, NOT_WS, WS, at_hits, collapsed, cut, hits, let, piece, sign_count, spliced, Stack, stacks_after, trimmed, window,
+)
 from docaudit.sources.paragraphs import in_order
 
 # Categories, priorities and wording of findings.
@@ -93,44 +95,43 @@ def spacing(text: Column, rule: str = "spacing_body", kinds: tuple[int, ...] = (
     def last(x: Column, k: int) -> Column:
         return F.substring(x["m"], F.length(x["m"]) - (k - 1), F.lit(k))
 
-    def double(x: Column) -> Column:
-        ctx = window(text, x["pos"], radius)
-        return finding(rule, SPACING, MUST, 0.99, ctx, F.regexp_replace(ctx, "  +", " "), "Višestruki razmak.", 3, 1, x["pos"], fix=True)
+    def made(t: Column, x: Column, sub: int, priority: str, sure: float, why, new: Column, size: Column | None = None) -> Column:
+        to = spliced(t, x["pos"], 20, F.length(x["m"]) if size is None else size, new)
+        return finding(rule, SPACING, priority, sure, window(t, x["pos"], 20), to, why, 3, sub, x["pos"], fix=True)
+
+    def double(t: Column, x: Column) -> Column:
+        around = window(t, x["pos"], radius)
+        return finding(rule, SPACING, MUST, 0.99, around, F.regexp_replace(around, "  +", " "), "Višestruki razmak.", 3, 1, x["pos"], fix=True)
 
-    def before(x: Column) -> Column:
-        to = spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1))
-        return finding(rule, SPACING, MUST, 0.97, window(text, x["pos"], 20), to, quoted("Razmak pre „", last(x, 1), "“."), 3, 2, x["pos"], fix=True)
+    def before(t: Column, x: Column) -> Column:
+        return made(t, x, 2, MUST, 0.97, quoted("Razmak pre „", last(x, 1), "“."), last(x, 1))
 
-    def before_ok(x: Column) -> Column:
-        ahead = F.substring(text, F.greatest(F.lit(0), x["pos"] - 5) + 1, F.least(F.lit(5), x["pos"]))
-        rest = F.substring(text, x["pos"] + F.length(x["m"]) + 1, F.lit(2))
+    def before_ok(t: Column, x: Column) -> Column:
+        ahead = piece(t, F.greatest(F.lit(0), x["pos"] - 5), F.least(F.lit(5), x["pos"]))
+        rest = piece(t, x["pos"] + F.length(x["m"]), 2)
         return ~ahead.rlike("https?:\\z") & ~((last(x, 1) == ".") & (rest == ".."))
 
-    def closer(x: Column) -> Column:
-        to = spliced(text, x["pos"], 20, F.length(x["m"]), last(x, 1))
-        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), to, "Razmak pre zatvorene zagrade.", 3, 3, x["pos"], fix=True)
+    def closer(t: Column, x: Column) -> Column:
+        return made(t, x, 3, SHOULD, 0.90, "Razmak pre zatvorene zagrade.", last(x, 1))
 
-    def opener(x: Column) -> Column:
-        to = spliced(text, x["pos"], 20, F.length(x["m"]), F.substring(x["m"], 1, 1))
-        return finding(rule, SPACING, SHOULD, 0.90, window(text, x["pos"], 20), to, "Razmak posle otvorene zagrade.", 3, 4, x["pos"], fix=True)
+    def opener(t: Column, x: Column) -> Column:
+        return made(t, x, 4, SHOULD, 0.90, "Razmak posle otvorene zagrade.", F.substring(x["m"], 1, 1))
 
-    def after(x: Column) -> Column:
+    def after(t: Column, x: Column) -> Column:
         mark = F.substring(x["m"], 1, 1)
-        to = spliced(text, x["pos"], 20, F.lit(2), F.concat(mark, F.lit(" "), last(x, 1)))
-        return finding(rule, SPACING, MUST, 0.85, window(text, x["pos"], 20), to, quoted("Nedostaje razmak posle „", mark, "“."), 3, 5, x["pos"], fix=True)
+        return made(t, x, 5, MUST, 0.85, quoted("Nedostaje razmak posle „", mark, "“."), F.concat(mark, F.lit(" "), last(x, 1)), F.lit(2))
 
-    def after_ok(x: Column) -> Column:
+    def after_ok(t: Column, x: Column) -> Column:
         start = F.greatest(F.lit(0), x["pos"] - 10)
-        near = F.substring(text, start + 1, x["pos"] + 10 - start)
+        near = piece(t, start, x["pos"] + 10 - start)
         return ~near.rlike(r"https?:|[A-Za-z0-9_]:\\|[0-9a-fA-F]{2}:[0-9a-fA-F]") & ~near.rlike(f"(?iu)({PREFIXES}):")
 
     unspaced = r"[,;:][^\d\x{0022}'\x{201C}\x{201D}\x{201E}\x{2019})\]" + WS[1:]
-    made = {
-        1: lambda: F.transform(hits(text, "  +"), double), 2: lambda: F.transform(F.filter(hits(text, " +[,.:;!?]"), before_ok), before),
-        3: lambda: F.transform(hits(text, r" +[)\]}»\x{201C}]"), closer), 4: lambda: F.transform(hits(text, r"[(\[{«\x{201E}] +"), opener),
-        5: lambda: F.transform(F.filter(hits(text, unspaced), after_ok), after),
+    of = {
+        1: ("  +", double, None), 2: (" +[,.:;!?]", before, before_ok), 3: (r" +[)\]}»\x{201C}]", closer, None),
+        4: (r"[(\[{«\x{201E}] +", opener, None), 5: (unspaced, after, after_ok),
     }
-    return F.concat(*[made[k]() for k in kinds])
+    return merged([at_hits(text, *of[k]) for k in kinds])
 
 
 def script_mix(text: Column, rule: str = "script_mixing_body") -> Column:
@@ -152,18 +153,17 @@ def greek(text: Column, rule: str = "greek_body") -> Column:
     """Greek runs with no translation in brackets or quotes near by."""
     near = r"[(\x{201E}\x{201A}\x{0022}][^)\x{0022}\x{201C}]*[\x{0400}-\x{04FF}a-zA-Z\x{00C0}-\x{024F}]{5,}[^)\x{0022}\x{201C}]*[)\x{0022}\x{201C}]"
 
-    def bare(x: Column) -> Column:
-        end = x["pos"] + F.length(x["m"])
-        after = F.substring(text, end + 1, F.lit(150))
+    def bare(t: Column, x: Column) -> Column:
+        after = piece(t, x["pos"] + F.length(x["m"]), 150)
         start = F.greatest(F.lit(0), x["pos"] - 100)
-        before = F.substring(text, start + 1, x["pos"] - start)
+        before = piece(t, start, x["pos"] - start)
         return ~after.rlike(near) & ~before.rlike(r"[(\x{201E}\x{201A}].*[\x{0400}-\x{04FF}a-zA-Z]{5,}.*[)\x{201C}\x{0022}]") & ~(before.rlike(f"\\({WS}*\\z") & after.rlike(f"^{WS}*\\)"))
 
-    def made(x: Column) -> Column:
+    def made(t: Column, x: Column) -> Column:
         snip = F.when(F.length(x["m"]) > 40, F.concat(F.substring(x["m"], 1, 40), F.lit("..."))).otherwise(x["m"])
         return finding(rule, GREEK, CHECK, 0.75, snip, "[dodati prevod]", "Grčki bez prevoda u blizini.", 5, pos=x["pos"], source=True)
 
-    return F.transform(F.filter(hits(text, GREEK_RUN), bare), made)
+    return merged([at_hits(text, GREEK_RUN, made, bare)])
 
 
 DOUBLE_WORD = f"(?iu)(?<!{NOT_WS})(\\p{{L}}++){WS}++\\1(?={WS}|[,.:;!?)\\]}}]|\\z)"
@@ -215,46 +215,64 @@ def code_like(text: Column) -> Column:
 ROMAN = r"(?iu)^(?=[IVXLCDM]+\z)M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\z"
 
 
-def bracket_errors(text: Column, code: Column | None = None, markers: bool = True) -> Column:
-    """array<struct<kind, pos, close, open, open_pos>>: a fold over the brackets with a stack of open ones.
-    A closer that doesn't match the top takes the nearest match below it (crossed) or is an orphan. Where
-    the stack is empty, closers of list items and of braces in code-like text are let pass."""
-    code = F.lit(False) if code is None else code
-    none = F.expr("cast(array() as array<struct<kind:string,pos:int,close:string,open:string,open_pos:int>>)")
-    empty = F.expr("cast(array() as array<struct<pos:int,c:string>>)")
-    chars = F.filter(F.transform(F.split(text, "", -1), lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"].isin(*"([{)]}"))
-    opener = lambda c: F.translate(c, ")]}", "([{")
-    error = lambda kind, pos, close, open_, at: F.array(F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), close.alias("close"), open_.alias("open"), at.alias("open_pos")))
-    null, nowhere = F.lit(None).cast("string"), F.lit(None).cast("int")
-
-    def listed(pos: Column) -> Column:
-        token = trimmed(F.substring_index(F.substring(text, F.lit(1), pos), "\n", -1))
+PAIRS = ("()", "[]", "{}")
+
+
+def list_marks(text: Column) -> Column:
+    """Places of closing brackets after a number, a letter or a Roman numeral that begins a line."""
+    def listed(x: Column) -> Column:
+        token = trimmed(F.substring(x["m"], F.lit(1), F.length(x["m"]) - 1))
         return token.rlike(r"^\d+\z") | token.rlike(r"^\p{L}\p{M}*\z") | (token.rlike(ROMAN) & (token != ""))
 
-    def step(a: Column, x: Column) -> Column:
-        stack, errors, c = a["stack"], a["errors"], x["c"]
-        n = F.size(stack)
-        top = F.get(stack, n - 1)
-        below = F.filter(F.transform(stack, lambda s, i: F.struct(i.alias("i"), s["c"].alias("c"), s["pos"].alias("pos"))), lambda s: s["c"] == opener(c))
-        deep = F.get(below, F.size(below) - 1)
-        is_open = c.isin(*"([{")
-        passes = (code & (c == "}")) | ((c == ")") & listed(x["pos"]) if markers else F.lit(False))
-        rest = F.concat(F.slice(stack, F.lit(1), F.coalesce(deep["i"], F.lit(0))), F.slice(stack, F.coalesce(deep["i"], F.lit(0)) + 2, n))
-        return (
-            F.when(is_open, F.struct(F.concat(stack, F.array(F.struct(x["pos"].alias("pos"), c.alias("c")))).alias("stack"), errors.alias("errors")))
-            .when((n == 0) & passes, a)
-            .when((n > 0) & (top["c"] == opener(c)), F.struct(F.slice(stack, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("stack"), errors.alias("errors")))
-            .when((n > 0) & deep.isNotNull(), F.struct(rest.alias("stack"), F.concat(errors, error("crossed", x["pos"], c, deep["c"], deep["pos"])).alias("errors")))
-            .otherwise(F.struct(stack.alias("stack"), F.concat(errors, error("orphan_close", x["pos"], c, null, nowhere)).alias("errors")))
-        )
+    heads = F.filter(hits(text, r"(?<![^\n])[^()\[\]{}\n]*\)"), listed)
+    return F.transform(heads, lambda x: x["pos"] + F.length(x["m"]) - 1)
 
-    def done(a: Column) -> Column:
-        left = F.filter(a["stack"], lambda s: ~(code & (s["c"] == "{")))
-        return F.concat(a["errors"], F.transform(left, lambda s: F.struct(
-            F.lit("unclosed_open").alias("kind"), s["pos"].alias("pos"), F.translate(s["c"], "([{", ")]}").alias("close"), s["c"].alias("open"), s["pos"].alias("open_pos"))))
 
-    fold = F.aggregate(chars, F.struct(empty.alias("stack"), none.alias("errors")), step, done)
-    return F.when(text.rlike(r"[()\[\]{}]"), fold).otherwise(none)
+def bracket_errors(text: Column, code: Column | None = None, markers: bool = True) -> Column:
+    """array<struct<kind, pos, close, open, open_pos>>: one walk over the brackets. A closer takes the last open bracket
+    of its own kind, so each kind has a stack of its own; where one of another kind was opened later and is still
+    open, they cross. A closer without any is an orphan. Where nothing is open, closers of list items and of braces in
+    code-like text are let pass. No step looks at more than the stacks' ends, so a line costs what it is long."""
+    code = F.lit(False) if code is None else code
+    signs = F.filter(F.transform(F.split(text, "", -1), lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"].isin(*"([{)]}"))
+    kinds = {f"s{k}": pair for k, pair in enumerate(PAIRS)}
+
+    def walk(of: Column) -> Column:
+        listed, code = of["listed"], of["code"]
+
+        def step(stacks: dict[str, Stack], x: Column) -> list:
+            c, pos = x["c"], x["pos"]
+            none_open = reduce(lambda a, b: a & b, [stacks[k].top().isNull() for k in kinds])
+            out = [(none_open & ((code & (c == "}")) | ((c == ")") & F.array_contains(listed, pos))), {})]
+            error = lambda at: {"at": stacks["at"].pushed(pos), "open": stacks["open"].pushed(at)}
+            for k, (opens, closes) in kinds.items():
+                mine = stacks[k].top()
+                crossed = F.greatest(*[F.coalesce(stacks[j].top(), F.lit(-1)) for j in kinds]) > mine
+                out += [
+                    (c == opens, {k: stacks[k].pushed(pos)}), ((c == closes) & mine.isNull(), error(F.lit(-1))),
+                    ((c == closes) & crossed, error(mine) | {k: stacks[k].popped()}), (c == closes, {k: stacks[k].popped()}),
+                ]
+            return out
+
+        def told(found: Column) -> Column:
+            letters = F.split(text, "", -1)
+            met = F.arrays_zip(found["at"].alias("pos"), found["open"].alias("open_pos"))
+            left = F.array_sort(F.concat(found["s0"], found["s1"], F.when(code, F.expr("cast(array() as array<int>)")).otherwise(found["s2"])))
+            return let(letters, lambda sign: F.concat(
+                F.transform(met, lambda e: F.struct(
+                    F.when(e["open_pos"] < 0, "orphan_close").otherwise("crossed").alias("kind"), e["pos"].alias("pos"), F.get(sign, e["pos"]).alias("close"),
+                    F.get(sign, e["open_pos"]).alias("open"), F.when(e["open_pos"] >= 0, e["open_pos"]).alias("open_pos"))),
+                F.transform(left, lambda p: F.struct(
+                    F.lit("unclosed_open").alias("kind"), p.alias("pos"), F.translate(F.get(sign, p), "([{", ")]}").alias("close"),
+                    F.get(sign, p).alias("open"), p.alias("open_pos"))),
+            ))
+
+        return let(stacks_after(signs, [*kinds, "at", "open"], step), told)
+
+    none_listed = F.expr("cast(array() as array<int>)")
+    marks = F.when(text.contains(")"), list_marks(text)).otherwise(none_listed) if markers else none_listed
+    none = F.expr("cast(array() as array<struct<kind:string,pos:int,close:string,open:string,open_pos:int>>)")
+    return F.when(text.rlike(r"[()\[\]{}]"), let(F.struct(marks.alias("listed"), code.alias("code")), walk)).otherwise(none)
 
 
 def brackets(text: Column, balanced: Column, rule: str = "unbalanced_brackets_body") -> Column:
@@ -265,7 +283,7 @@ def brackets(text: Column, balanced: Column, rule: str = "unbalanced_brackets_bo
         level = F.when(kind == "(", balanced["b0"]).when(kind == "[", balanced["b1"]).otherwise(balanced["b2"])
         return level, F.when(kind == "(", "obla").when(kind == "[", "uglasta").otherwise("vitičasta")
 
-    def made(e: Column) -> Column:
+    def made(t: Column, e: Column) -> Column:
         close, open_, pos = e["close"], e["open"], e["pos"]
         name = of(e)[1]
         to = F.when(e["kind"] == "crossed", quoted("[ukrštene zagrade: ", open_, "...", close, "]")).when(
@@ -276,29 +294,25 @@ def brackets(text: Column, balanced: Column, rule: str = "unbalanced_brackets_bo
             e["kind"] == "orphan_close", quoted("Zatvorena zagrada ", close, " bez odgovarajuće otvorene.")
         ).otherwise(quoted("Otvorena ", name, " zagrada bez zatvorene."))
         sure = F.when(e["kind"] == "crossed", 0.95).otherwise(0.98)
-        return finding(rule, BRACKETS, MUST, sure, window(text, pos, 40), to, why, 0, 0, pos)
+        return finding(rule, BRACKETS, MUST, sure, window(t, pos, 40), to, why, 0, 0, pos)
 
     errors = F.filter(bracket_errors(text, code_like(text)), lambda e: (e["kind"] == "crossed") | ~of(e)[0])
-    return F.when(text.rlike(r"[()\[\]{}]"), F.transform(errors, made))
+    return F.when(text.rlike(r"[()\[\]{}]"), let(cut(text), lambda t: F.transform(errors, lambda e: made(t, e))))
 
 
 def semicolons(text: Column, rule: str = "unbalanced_brackets_body") -> Column:
     """The first ; of each round bracket that is never closed."""
-    none = F.expr("cast(array() as array<struct<semi:int>>)")
-    chars = F.filter(F.transform(F.split(text, "", -1), lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"].isin("(", ")", ";"))
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.size(a)
-        top = F.get(a, n - 1)["semi"]
-        return (
-            F.when(x["c"] == "(", F.concat(a, F.array(F.struct(F.lit(-1).alias("semi")))))
-            .when(x["c"] == ")", F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))))
-            .when((n > 0) & (top == -1), F.concat(F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(x["pos"].alias("semi"))))).otherwise(a)
-        )
+    signs = F.filter(F.transform(F.split(text, "", -1), lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"].isin("(", ")", ";"))
 
-    left = F.filter(F.aggregate(chars, none, step), lambda s: s["semi"] >= 0)
-    made = F.transform(left, lambda s: finding(rule, BRACKETS, CHECK, 0.75, window(text, s["semi"], 50), "[proveriti da li „;“ treba da bude „)“]", "Tačka-zarez unutar nezatvorene zagrade.", 0, 1, s["semi"]))
-    return F.when(text.contains("(") & text.contains(";"), made).otherwise(F.lit(None).cast(FINDING))
+    def step(stacks: dict[str, Stack], x: Column) -> list:
+        """The stack holds the place of each open bracket's first ; and -1 before it."""
+        s, c = stacks["open"], x["c"]
+        return [(c == "(", {"open": s.pushed(F.lit(-1))}), ((c == ")") & s.top().isNotNull(), {"open": s.popped()}), ((c == ";") & (s.top() == -1), {"open": s.replaced(x["pos"])})]
+
+    left = F.filter(stacks_after(signs, ["open"], step)["open"], lambda at: at >= 0)
+    made = lambda t, at: finding(
+        rule, BRACKETS, CHECK, 0.75, window(t, at, 50), "[proveriti da li „;“ treba da bude „)“]", "Tačka-zarez unutar nezatvorene zagrade.", 0, 1, at)
+    return F.when(text.contains("(") & text.contains(";"), let(cut(text), lambda t: F.transform(left, lambda at: made(t, at)))).otherwise(F.lit(None).cast(FINDING))
 
 
 # ---- rules over a document
@@ -584,12 +598,14 @@ def merged(columns: list[Column]) -> Column:
     return F.concat(*[F.coalesce(c, none) for c in columns]) if columns else none
 
 
-def stands_in(text: Column, f: Column) -> Column:
-    """A finding that holds for the document or says what isn't there, or whose original stands in the text."""
+def stands_in(text: Column, f: Column, ready: Column) -> Column:
+    """A finding that holds for the document or says what isn't there, or whose original stands in the text: mostly
+    about its match, which is looked at first."""
     original = f["original"]
     free = f["global_pattern"] | (f["check_ord"] == WHOLE_DOCUMENT) | reduce(lambda a, b: a | b, [original.startswith(h) for h in EXEMPT])
     clean = F.regexp_replace(F.regexp_replace(original, r"^\.\.\.", ""), r"\.\.\.\z", "")
-    return free | (text == "") | (F.length(clean) <= 3) | F.contains(text, clean)
+    near = piece(ready, F.greatest(F.lit(0), f["match_pos"] - 100), 256)
+    return free | (text == "") | (F.length(clean) <= 3) | F.contains(near, clean) | F.contains(text, clean)
 
 
 def local(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame | None:
@@ -608,14 +624,21 @@ def exploded(rows: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
+def found_column(application: str, options: frozenset[str], kind: str, listed: bool) -> Column:
+    """Findings of all rules but those of ACROSS. Its thousands of parts are put together once for an application."""
+    text = F.col("text")
+    columns = local_columns(set(options), kind) + [f() for k, f in IN_CONTEXT.items() if k in options]
+    if "numbering" in options and listed:
+        columns.append(list_numbering())
+    return let(cut(text), lambda t: F.transform(merged(columns), lambda f: f.withField("stands", stands_in(text, f, t))))
+
+
 def marked(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
     """Elements -> PLACE, type, found (findings of all rules but those of ACROSS, and whether they stand in the
     text) and the narrow columns that ACROSS and the counts of checks read. This is the one pass over texts."""
     text = F.col("text")
-    columns = local_columns(options, kind) + [f() for k, f in IN_CONTEXT.items() if k in options]
-    if "numbering" in options and "list_before" in rows.columns:
-        columns.append(list_numbering())
-    found = F.transform(merged(columns), lambda f: f.withField("stands", stands_in(text, f)))
+    found = found_column(rows.sparkSession.sparkContext.applicationId, frozenset(options), kind, "list_before" in rows.columns)
     on = lambda k, c: c if k in options else F.lit(None)
     return in_context(rows).select(
         *place_of(rows), "type", found.alias("found"), on("toc", toc_entry()).cast("string").alias("entry"), on("toc", heading_title()).cast("string").alias("title"),
