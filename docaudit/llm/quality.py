@@ -1,34 +1,39 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Rules vote bad, good or abstain; expectation-maximisation over the counts of vote patterns
-estimates each rule's confusion table (votes given the hidden class) and the class priors; the
-posterior probability of good replaces all-must-pass filtering. The vote patterns are at most 3 to the number
-of rules, so the iterations run over a table whose size doesn't depend on the corpus.
+Rules vote bad, good or abstain. Expectation-maximisation over the counts of vote patterns estimates how each rule
+votes on good and on bad documents, and how common these are; the posterior probability of good replaces
+all-must-pass filtering, so that a weak rule's bad vote is overruled by others' good ones. At first a document with
+any bad vote is held for bad. As rules are written to pass good documents, no rule is believed to vote bad on more
+than FALSE_ALARM of them; without that bound the class of bad shrinks to the commonest kind of junk. Sweeps end when no
+estimate moves by TOLERANCE. They run over the table of patterns, at most 3 to the number of rules rows, whose size
+doesn't depend on the corpus.
 
 Defined results: null text has no words (all counts 0, base_failed); repeated rows are judged each
-on its own; an empty table gives an empty result; other columns are ignored.
+on its own; a posterior of just keep_at is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.common import SPACE, persisted, removed
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "A-ZÀ-ÖØ-Þ"
-ITERATIONS = 6
+TOLERANCE, SWEEPS, FALSE_ALARM = 1e-3, 500, 0.02
 #: Each row: rule, feature, bad where feature > first bound, good where feature <= second bound (none: never votes good).
 RULES = (
-    ("symbols", "symbol_share", 0.10, None),
-    ("dup_lines", "dup_line_share", 0.40, None),
+    ("symbols", "symbol_share", 0.10, 0.02),
+    ("bare_symbols", "bare_share", 0.05, None),
+    ("dup_lines", "dup_line_share", 0.40, 0.0),
     ("repeats", "repeat_share", 0.30, 0.02),
-    ("capitals", "capital_share", 0.30, None),
+    ("capitals", "capital_share", 0.30, 0.08),
     ("shouting", "shout_share", 0.20, None),
-    ("long_words", "word_length", 12.0, None),
+    ("long_words", "word_length", 6.5, 5.6),
 )
 
 
@@ -45,6 +50,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "doc_id",
         F.array_remove(F.split("_t", SPACE, -1), "").alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
+        F.regexp_count("_t", F.lit(f"(?<![^\\x20\\x09-\\x0D])[{SYMBOLS}]+(?![^\\x20\\x09-\\x0D])")).alias("_n_bare"),
         F.regexp_replace("_t", f"[^{SYMBOLS}!{CAPITALS}]+", "").alias("_s"),
     )
     x = x.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -70,17 +76,19 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_r") == 0, 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size("_l").alias("_n_lines"),
+        "_n_bare",
         F.length(F.regexp_replace("_s", "[^!]+", "")).alias("_n_shout"),
         F.length(F.regexp_replace("_s", f"[^{CAPITALS}]+", "")).alias("_n_caps"),
     )
     return x.withColumns({
         "symbol_share": F.col("n_symbols") / F.greatest("n_words", F.lit(1)),
+        "bare_share": F.col("_n_bare") / F.greatest("n_words", F.lit(1)),
         "dup_line_share": F.col("n_dup_lines") / F.greatest("_n_lines", F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
         "capital_share": F.col("_n_caps") / F.greatest("word_chars", F.lit(1)),
         "shout_share": F.col("_n_shout") / F.greatest("n_words", F.lit(1)),
         "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    }).drop("_n_lines", "_n_shout", "_n_caps")
+    }).drop("_n_lines", "_n_bare", "_n_shout", "_n_caps")
 
 
 def votes(df: DataFrame, rules=RULES) -> DataFrame:
@@ -92,55 +100,51 @@ def votes(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def posterior(params: dict, rules=RULES) -> Column:
-    """Probability that a row with these votes is of the class good."""
-    def weight(c: int) -> Column:
-        return reduce(lambda a, b: a * b, [
-            F.element_at(F.array(*[F.lit(params[(c, n, v)]) for v in range(3)]), F.col(f"v_{n}") + 1) for n, *_ in rules
-        ], F.lit(params[c]))
-
-    all_of = reduce(lambda a, b: a + b, [weight(c) for c in range(len(rules) + 1)])
-    return weight(0) / all_of
-
-
-def fit(voted: DataFrame, rules=RULES, iterations: int = ITERATIONS) -> dict:
-    """EM over the vote patterns' counts, as joins and sums of tables that the rules' number bounds.
-
-    The hidden class is good (0) or one kind of bad for each rule: texts that break one rule seldom
-    break the others, so one class of bad would be claimed by the commonest kind. At first a pattern
-    belongs to the kinds whose rules vote bad; all tables then follow from the counts. Returns the
-    priors by class and P(vote | class) by (class, rule, vote)."""
-    spark, names = voted.sparkSession, [n for n, *_ in rules]
-    patterns = voted.groupBy(*[f"v_{n}" for n in names]).agg(F.count("*").cast("double").alias("n")).coalesce(1)
-    patterns = persisted(patterns.withColumn("pid", F.xxhash64(*[f"v_{n}" for n in names])), "patterns")
-    long = patterns.select("pid", "n", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"v_{n}").alias("v")) for j, n in enumerate(names)])).alias("x")).select("pid", "n", "x.*")
-    fired = sum((F.col(f"v_{n}") == 0).cast("double") for n in names)
-    start = patterns.select("pid", "n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), (F.when(fired > 0, 0.1).otherwise(0.99) if c == 0 else F.when(fired > 0, F.when(F.col(f"v_{names[c - 1]}") == 0, 0.9 / fired).otherwise(0.0)).otherwise(0.01 / len(names))).alias("q"))
-        for c in range(len(names) + 1)
-    ])).alias("x")).select("pid", "n", "x.c", "x.q")
-    cells = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("c")).select("c", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j")).select("c", "j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("v"))
-    q, old = persisted(start.coalesce(1), "em"), []
-    for _ in range(iterations):
-        mass = q.groupBy("c").agg(F.sum(F.col("n") * F.col("q")).alias("m"))
-        seen = long.join(q.select("pid", "c", "q"), "pid").groupBy("c", "j", "v").agg(F.sum(F.col("n") * F.col("q")).alias("s"))
-        table = (
-            cells.join(seen, ["c", "j", "v"], "left").join(mass, "c", "left")
-            .select("c", "j", "v", ((F.coalesce("s", F.lit(0.0)) + 1) / (F.coalesce("m", F.lit(0.0)) + 3)).alias("p"), (F.coalesce("m", F.lit(0.0)) + 1).alias("m"))
-        )
-        score = long.join(table, ["j", "v"]).groupBy("pid", "n", "c").agg((F.sum(F.ln("p")) + F.ln(F.first("m"))).alias("s"))
-        by = Window.partitionBy("pid")
-        score = score.withColumn("e", F.exp(F.col("s") - F.max("s").over(by)))
-        old.append(q)
-        q = persisted(score.select("pid", "n", "c", (F.col("e") / F.sum("e").over(by)).alias("q")).coalesce(1), "em")
-    mass = {r["c"]: r["m"] for r in q.groupBy("c").agg(F.sum(F.col("n") * F.col("q")).alias("m")).collect()}
-    seen = long.join(q.select("pid", "c", "q"), "pid").groupBy("c", "j", "v").agg(F.sum(F.col("n") * F.col("q")).alias("s"))
-    params: dict = {c: (mass.get(c, 0.0) + 1) / (sum(mass.values()) + len(names) + 1) for c in range(len(names) + 1)}
-    params |= {(c, n, v): 1 / (mass.get(c, 0.0) + 3) for c in range(len(names) + 1) for n in names for v in range(3)}
-    params |= {(r["c"], names[r["j"]], r["v"]): (r["s"] + 1) / (mass[r["c"]] + 3) for r in seen.collect()}
-    removed(patterns, q, *old)
+    """Probability that a row with these votes is good."""
+    odds = F.lit(math.log(params["good"] / (1 - params["good"])))
+    for name, *_ in rules:
+        told = [math.log(params[name, "good", v] / params[name, "bad", v]) for v in range(3)]
+        odds = odds + F.element_at(F.array(*[F.lit(x) for x in told]), F.col(f"v_{name}") + 1)
+    return 1 / (1 + F.exp(-odds))
+
+
+def sums(patterns: DataFrame, good: Column, rules=RULES) -> dict:
+    """Weights of the classes and of each vote within them, given each pattern's probability of good; one row."""
+    q = patterns.withColumn("_q", good)
+    of = {"good": F.col("n") * F.col("_q"), "bad": F.col("n") * (1 - F.col("_q"))}
+    each = [F.sum(w).alias(c) for c, w in of.items()]
+    each += [F.sum(F.when(F.col(f"v_{name}") == v, w).otherwise(0.0)).alias(f"{name}/{c}/{v}") for name, *_ in rules for c, w in of.items() for v in range(3)]
+    return {k: x or 0.0 for k, x in q.agg(*each).first().asDict().items()}
+
+
+def estimated(found: dict, rules=RULES, false_alarm: float = FALSE_ALARM) -> dict:
+    """Share of good, and P(vote | class) by (rule, class, vote), each count raised by one."""
+    params = {"good": (found["good"] + 1) / (found["good"] + found["bad"] + 2)}
+    for name, *_ in rules:
+        for c in ("good", "bad"):
+            p = [(found[f"{name}/{c}/{v}"] + 1) / (found[c] + 3) for v in range(3)]
+            if c == "good" and p[0] > false_alarm:
+                p = [false_alarm, *[x / (1 - p[0]) * (1 - false_alarm) for x in p[1:]]]
+            params |= {(name, c, v): p[v] for v in range(3)}
     return params
 
 
+def fit(voted: DataFrame, rules=RULES, tolerance: float = TOLERANCE, sweeps: int = SWEEPS, false_alarm: float = FALSE_ALARM) -> dict:
+    """EM over the counts of vote patterns until no estimate moves by tolerance; raises if sweeps don't get there."""
+    names = [f"v_{n}" for n, *_ in rules]
+    patterns = persisted(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
+    fired = reduce(lambda a, b: a | b, [F.col(n) == 0 for n in names])
+    params = estimated(sums(patterns, F.when(fired, 0.05).otherwise(0.95), rules), rules, false_alarm)
+    for _ in range(sweeps):
+        new = estimated(sums(patterns, posterior(params, rules), rules), rules, false_alarm)
+        moved = max(abs(new[k] - params[k]) for k in params)
+        params = new
+        if moved < tolerance:
+            removed(patterns)
+            return params
+    raise RuntimeError(f"estimates still move by {moved:.2g} after {sweeps} sweeps")
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, keep_at: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """doc_id, the counts, base_failed, posterior, kept. Counts are made once, then votes are counted
     and judged over the small table of counts."""
