@@ -14,7 +14,8 @@ of the texts for each, so what a task holds has a size that doesn't depend on th
 
 Defined results: null texts and items match nothing, nor do items that are empty when folded; an item
 too short for pieces of MIN_PIECE characters gets fewer edits, and at least 0; items with equal text
-match under each of their ids; rows of documents with equal ids are searched each on its own; empty
+match under each of their ids; an item without an id matches with a null item_id and counts in without_items as any
+other; rows of documents with equal ids are searched each on its own; empty
 tables give no matches; other columns are ignored.
 """
 
@@ -166,10 +167,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out if out is not None else searched([])
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", size: int = BLOCK) -> Iterator[list[tuple[int | None, str]]]:
     """Folded items in blocks of about `size` characters."""
     block, held = [], 0
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
         block.append((r["i"], fold(r["t"])))
         held += len(r["t"])
         if held >= size:

@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,6 +40,12 @@ END_ID = 1
 MASK_BITS, LEAST, MOST, WINDOW = 9, 64, 4096, 32
 #: Words whose ids a worker keeps; a full table becomes the old one, from which words used again come back.
 HELD_WORDS = 500_000
+# Normalizers and pre-tokenizers of a file whose words may be encoded one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _GEAR = np.random.default_rng(20240301).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 _WORD = re.compile(r"[^ \t\n\r\f\x0b]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
@@ -46,6 +53,15 @@ _BYTE = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None fo
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+def _word_wise(file: dict) -> bool:
+    """Whether the file cuts and folds texts as the quick way does; any other goes to the tokenizer as a whole."""
+    model = file["model"]
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["unk_token"] or model["ignore_merges"])
+    cuts = file["pre_tokenizer"] or {}
+    added = all(t["special"] and not re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    return plain and added and (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and cuts.get("pretokenizers") == PRE_TOKENIZERS
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text -> ids as little-endian uint32, equal to encode(text, add_special_tokens=False) of the tokenizer
     in that file: its pieces never span white space, so each distinct word is encoded once. Words of plain
@@ -58,7 +74,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     merge = tok.model.tokenize
     spare = {b: c for b, c in zip((b for b in range(256) if _BYTE[b] is None), map(chr, range(256, 512)))}
     letters = str.maketrans({b: _BYTE[b] or spare[b] for b in range(256)})
-    word_wise = "</w>" == (tok.model.end_of_word_suffix or "")
+    word_wise = _word_wise(json.loads(tok.to_str()))
     held: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
 

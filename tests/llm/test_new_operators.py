@@ -256,3 +256,35 @@ def test_fit_says_so_when_it_does_not_settle(spark):
     x = quality.votes(spark.createDataFrame([(100, 1.0), (100, 0.0), (100, 0.3)], "n_words int, f double"), rules)
     with pytest.raises(RuntimeError):
         quality.fit(x, rules, tolerance=0.0, sweeps=3)
+
+
+def test_benchmark_items_without_an_id_count(spark):
+    from docaudit.llm import decontamination as D
+
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = docs_of(spark, [(1, f"before {item} after"), (2, "nothing of it"), (3, None), (4, ("word " * 200_000) + item)])
+    bench = spark.createDataFrame([(None, item), (5, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in D.matches(docs, bench).collect()) == [(1, None, 0), (4, None, 0)]
+    assert sorted(r.doc_id for r in D.without_items(docs, bench).collect()) == [2, 3]
+
+
+def test_other_tokenizer_files_are_not_cut_by_words(tmp_path):
+    """A file with the same suffix but other cuts gives the tokenizer's own ids."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from docaudit.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    file = json.loads(Tokenizer.from_file(path).to_str())
+    assert tokens._word_wise(file)
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:1]
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(file))
+    assert not tokens._word_wise(file)
+    for text in ("Hello there, it's THE End of 2024", "", "ÀB c"):
+        for p in (path, str(other)):
+            want = np.array(Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+            assert tokens.encoder(p)(text) == want

@@ -30,3 +30,26 @@ def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
     assert len({i for i in range(200) if i % 5 == 0} & ids[1]) <= 2 and len({i for i in range(200) if i % 5} - ids[1]) <= 4
     assert 300 not in ids[2] and 1 in ids[2] and 301 in ids[2] and 301 not in ids[3] and ids[5] == ids[4]
     assert 0.5 < len(ids[4]) / len(ids[3]) < 1
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables; then null and repeated ids, null and empty texts, a very long text and clashing columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key int, sid int, toxic_score int, block int, text_hash int"
+    rnd = random.Random(2)
+    prose = lambda n: " ".join("".join(rnd.choice(("the", "an", "er", "tion")) for _ in range(3)) for _ in range(n))
+    one = prose(60)
+    odd = [(i, prose(30), "en", "s", 0) for i in range(30)] + [(7, one, "en", "s", 0), (7, one, "en", "s", 0), (7, prose(40), None, None, None)]
+    odd += [(None, None, None, None, None), (None, one, "en", "s", 0), (40, "", "en", "s", 0), (41, "  \n", "en", "s", 0), (42, prose(40_000), "en", "s", 0), (43, "x" * 300_000, "en", "s", 0)]
+    for n, rows in enumerate(([], [(*r, 1, 2, 3, 4, 5) for r in odd])):
+        d = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(None, prose(30)), (1, None), (2, "")] if rows else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        columns = docs.columns
+        for k, (name, stage) in enumerate(P.STAGES):
+            stage(spark, docs, d).write.parquet(f"{d}/{name}")
+            docs = spark.read.parquet(f"{d}/{name}")
+            assert k == len(P.STAGES) - 1 or docs.columns == columns
+        left = docs.collect()
+        assert bool(left) == bool(rows) and all(r["n_tokens"] >= 1 for r in left)
