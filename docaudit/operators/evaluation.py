@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.sources.shared import persisted
+
 Z = 1.96
 # The normal quantile by confidence level, and a polynomial approximation of erf.
 QUANTILES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
@@ -61,6 +63,66 @@ def reliability(labels: DataFrame, bins: int = 10) -> DataFrame:
     return x.select("bin", "n", F.round("p", 6).alias("predicted"), F.round("o", 6).alias("observed"), F.round(F.abs(F.col("p") - F.col("o")), 6).alias("difference"), F.round(F.abs(F.col("p") - F.col("o")) * F.col("n") / total, 6).alias("contribution"))
 
 
+# The report's notes, warnings and table heads.
+REPORT_NOTES = (
+    "Ova evaluacija meri preciznost prijavljenih nalaza. Ne meri recall, F1 niti greške koje alat nije pronašao.",
+    "Nalazi iz istog dokumenta nisu statistički nezavisni. Wilson intervali po pojedinačnim nalazima mogu potceniti stvarnu neizvesnost.",
+    "Buduća evaluacija može koristiti bootstrap na nivou celog dokumenta.",
+)
+FEW, SOME = "Veoma mali uzorak - rezultati nepouzdani", "Mali uzorak - širok interval poverenja"
+RULE_HEAD = (
+    "| Rule ID | TP | FP | N | Precision | Wilson CI | Width | Brier | Versions | Warning |",
+    "|---------|----|----|---|-----------|-----------|-------|-------|----------|---------|",
+)
+BIN_HEAD = (
+    "| Bin | N | Mean predicted | Observed correct | Calibration diff | Brier contribution |",
+    "|-----|---|----------------|-----------------|-----------------|-------------------|",
+)
+
+
+def rule_report(labels: DataFrame, group: str = "rule_id", version: str = "rule_version") -> DataFrame:
+    """per_rule's figures, unrounded, with the interval's width and the rule's versions."""
+    y, p = F.col("label"), F.col("confidence")
+    x = labels.groupBy(group).agg(
+        F.count_if(y == 1).alias("tp"), F.count_if(y == 0).alias("fp"), F.count("*").alias("n"), F.avg(y.cast("double")).alias("precision"),
+        F.avg(F.pow(p - y, F.lit(2.0))).alias("brier"), F.array_join(F.array_sort(F.collect_set(version)), ", ").alias("versions"))
+    lower, upper, _ = wilson(F.col("tp"), F.col("n"))
+    warning = F.when(F.col("n") < 10, FEW).when(F.col("n") < 30, SOME).otherwise("-")
+    return x.select("*", lower.alias("lower"), upper.alias("upper"), (upper - lower).alias("width"), warning.alias("warning"))
+
+
+def bin_report(labels: DataFrame, bins: int = 10) -> DataFrame:
+    """Bins of confidence with observed minus predicted, and each bin's share of the overall Brier score."""
+    y, p = F.col("label"), F.col("confidence")
+    b = F.least(F.lit(bins - 1), F.floor(p * bins)).cast("long")
+    x = labels.groupBy(b.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg((y == 1).cast("double")).alias("observed"), F.sum(F.pow(p - y, F.lit(2.0))).alias("squares"))
+    total = F.sum("n").over(Window.partitionBy())  # over the bins
+    return x.select("bin", "n", "predicted", "observed", (F.col("observed") - F.col("predicted")).alias("difference"), (F.col("squares") / total).alias("contribution"))
+
+
+def overall(labels: DataFrame) -> DataFrame:
+    """samples and overall Brier score: one row."""
+    return labels.agg(F.count("*").alias("samples"), F.avg(F.pow(F.col("confidence") - F.col("label"), F.lit(2.0))).alias("brier"))
+
+
+def report(labels: DataFrame, group: str = "rule_id", version: str = "rule_version") -> DataFrame:
+    """The report in Markdown, as lines (section, key, line) in the order of section and key."""
+    spark = labels.sparkSession
+    fixed = [(0, "", "# Confidence Evaluation Report")] + [(1, str(k), f"> {note}") for k, note in enumerate(REPORT_NOTES)]
+    fixed += [(3, "0", "## Per-rule results")] + [(3, str(k + 1), h) for k, h in enumerate(RULE_HEAD)]
+    fixed += [(5, "0", "## Reliability diagram")] + [(5, str(k + 1), h) for k, h in enumerate(BIN_HEAD)]
+    o = overall(labels).select(F.lit(2).alias("section"), F.explode(F.array(
+        F.struct(F.lit("0").alias("key"), F.format_string("**Ukupno obeleženih uzoraka:** %d", "samples").alias("line")),
+        F.struct(F.lit("1").alias("key"), F.format_string("**Ukupni Brier score:** %.4f", "brier").alias("line")))).alias("x")).select("section", "x.*")
+    r = rule_report(labels, group, version).select(F.lit(4).alias("section"), F.col(group).cast("string").alias("key"), F.format_string(
+        "| %s | %d | %d | %d | %.1f%% | [%.3f, %.3f] | %.3f | %.4f | %s | %s |", group, "tp", "fp", "n", F.col("precision") * 100, "lower", "upper", "width", "brier", "versions", "warning").alias("line"))
+    end = F.when(F.col("bin") == 9, "1.0]").otherwise(F.format_string("0.%d)", F.col("bin") + 1))
+    b = bin_report(labels).select(F.lit(6).alias("section"), F.format_string("%02d", "bin").alias("key"), F.format_string(
+        "| [0.%d,%s | %d | %.3f | %.3f | %.3f | %.4f |", "bin", end, "n", "predicted", "observed", "difference", "contribution").alias("line"))
+    return spark.createDataFrame(fixed, "section int, key string, line string").unionByName(o).unionByName(r).unionByName(b)
+
+
 def mcnemar(pairs: DataFrame, group: str) -> DataFrame:
     """pairs: before and after (0/1). Continuity-corrected; no discordant pair gives p = 1."""
     x = pairs.groupBy(group).agg(F.count_if((F.col("before") == 1) & (F.col("after") == 0)).alias("b"), F.count_if((F.col("before") == 0) & (F.col("after") == 1)).alias("c"))
@@ -80,11 +142,21 @@ def benjamini_hochberg(tests: DataFrame, key: str, alpha: float = 0.05) -> DataF
 
 
 def cliffs_delta(values: DataFrame, group: str) -> DataFrame:
-    """values: group, side (1 or 0), x. Pairs are counted from sums by distinct value, never formed."""
+    """values: group, side (1 or 0), x. Pairs are counted from sums by distinct value, never formed: distinct values are dealt
+    by ranges, each range knows what lies in the ranges before it, and running sums stay within a range, so one
+    group may hold all rows."""
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = values.groupBy(group, "x").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0"))
-    below = Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("less0", F.coalesce(F.sum("n0").over(below), F.lit(0))).withColumn("less1", F.coalesce(F.sum("n1").over(below), F.lit(0)))
-    s = v.groupBy(group).agg(F.sum(F.col("n1") * F.col("less0") - F.col("n0") * F.col("less1")).alias("d"), F.sum("n1").alias("a"), F.sum("n0").alias("b"))
+    v = persisted(v.repartitionByRange(parts, group, "x").withColumn("_range", F.spark_partition_id()), "values")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = v.groupBy(group, "_range").agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"))  # a row for each group and range at most
+    ranges = ranges.select(group, "_range", *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"low{k}") for k in (0, 1)])
+    below = Window.partitionBy(group, "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.select("*", *[F.coalesce(F.sum(f"n{k}").over(below), F.lit(0)).alias(f"in{k}") for k in (0, 1)]).withColumnRenamed(group, "_g").withColumnRenamed("_range", "_r")
+    v = v.join(ranges, F.col("_g").eqNullSafe(F.col(group)) & (F.col("_r") == F.col("_range")))
+    less = {k: F.col(f"low{k}") + F.col(f"in{k}") for k in (0, 1)}
+    s = v.groupBy(group).agg(F.sum(F.col("n1") * less[0] - F.col("n0") * less[1]).alias("d"), F.sum("n1").alias("a"), F.sum("n0").alias("b"))
     delta = F.when(F.col("a") * F.col("b") > 0, F.col("d") / (F.col("a") * F.col("b"))).otherwise(0.0)
     size = F.abs(delta)
     word = F.when(size < 0.147, "negligible").when(size < 0.33, "small").when(size < 0.474, "medium").otherwise("large")
@@ -118,9 +190,12 @@ def bootstrap_bca(labels: DataFrame, group: str = "rule_id", resamples: int = 10
                 draws = np.sort(np.random.default_rng([seed, k, n]).binomial(n, mean, resamples) / n)
                 share = ((draws < mean).sum() + 0.5 * (draws == mean).sum()) / resamples
                 z0 = normal.inv_cdf(min(max(share, 1 / resamples), 1 - 1 / resamples))
-                jack = np.repeat([(k - 1) / (n - 1), k / (n - 1)], [k, n - k]) if n > 1 else np.array([mean])
-                d = jack.mean() - jack
-                a = (d**3).sum() / (6 * max((d**2).sum(), 1e-300) ** 1.5) if (d**2).sum() > 0 else 0.0
+                # leaving out a 1 or a 0: two values, as often as there are of each
+                often = np.array([k, n - k])
+                jack = np.array([k - 1, k]) / max(1, n - 1)
+                d = (often * jack).sum() / n - jack
+                square = (often * d**2).sum()
+                a = (often * d**3).sum() / (6 * square**1.5) if n > 1 and square > 0 else 0.0
 
                 def bound(q: float) -> float:
                     z = z0 + normal.inv_cdf(q)

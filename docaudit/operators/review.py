@@ -127,6 +127,32 @@ def exported(found: DataFrame, which: str = "all") -> DataFrame:
     return found.where("status = 'OPEN'") if which == "open" else found
 
 
+def filtered(found: DataFrame, priority: str = "all", category: str = "all", section: str = "all", auto_only: bool = False, status: str = "all") -> DataFrame:
+    """Findings that pass each filter that is set; status is open, done or rejected."""
+    for name, want in (("priority", priority), ("category", category), ("section", section), ("status", status.upper() if status != "all" else status)):
+        found = found if want == "all" else found.where(F.col(name) == want)
+    return found.where("auto_fixable") if auto_only else found
+
+
+def choices(found: DataFrame) -> DataFrame:
+    """doc_id, field, value, shown, nth: the distinct categories and sections of a document's findings in order, as a filter
+    offers them; long ones are shown cut."""
+    x = found.select("doc_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("category", "section")]))).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id", "field").orderBy("value"))
+    shown = F.when((F.col("field") == "section") & (F.length("value") > 40), F.concat(F.substring("value", 1, 40), F.lit("..."))).otherwise(F.col("value"))
+    return x.select("doc_id", "field", "value", shown.alias("shown"), nth.alias("nth"))
+
+
+CUBE = ("priority", "category", "section")
+
+
+def cube(found: DataFrame, by: tuple[str, ...] = CUBE) -> DataFrame:
+    """Counts over all combinations of by at once: level (bit set: summed over that column), the columns, findings, open ones,
+    mean confidence. One pass; sums by combination are taken before the shuffle."""
+    x = found.cube(*by).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("findings"), F.count_if(F.col("status") == "OPEN").alias("open"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return x.select("level", *by, "findings", "open", "confidence")
+
+
 def safe_cell(c: Column) -> Column:
     """Text that a spreadsheet would take for a formula gets a leading apostrophe."""
     return F.when(c.rlike(r"^[ \x{00A0}]*[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)

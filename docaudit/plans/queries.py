@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import count_of, trimmed
 from docaudit.operators import evaluation as E
+from docaudit.operators import resampling as S
 from docaudit.operators import review, rules
-from docaudit.plans import findings_sql
+from docaudit.plans import evaluation_sql, findings_sql
 from docaudit.plans.audit import INJECTED, audit, injected
 from docaudit.sources import paragraphs as P
 
@@ -113,6 +114,12 @@ def statuses(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(found.select("doc_id", "finding_id"), "doc_id").withColumn("ts", F.lit(1))
 
 
+def interval(numerator, denominator=None):
+    """A query of the BCa interval of a mean, or of a ratio of sums, by rule."""
+    return lambda s, d: S.rounded(S.bootstrap(labels(s, d), "rule_id", "doc_id", *S.ratio(numerator, denominator)))
+
+
+BRIER_GAIN = "pow(confidence - label, 2) - pow(0.5 - label, 2)"
 FINDING_COLUMNS = ["doc_id", "finding_id", "seq", "section", "paragraph_id", "category", "rule_id", "priority", "confidence", "original", "replacement", "rationale", "status"]
 
 QUERIES = {
@@ -156,6 +163,15 @@ QUERIES = {
     "cliffs_delta": lambda s, d: E.cliffs_delta(labels(s, d).select("lang", F.col("label").alias("side"), F.col("n_chars").alias("x")), "lang"),
     "sample_size": lambda s, d: E.sample_size(params(s)),
     "bootstrap_bca": lambda s, d: E.bootstrap_bca(labels(s, d)),
+    "bootstrap_mean": interval(F.col("label")),
+    "bootstrap_ratio": interval(F.col("n_chars") * F.col("label"), F.col("n_chars")),
+    "bootstrap_brier": interval(F.expr(BRIER_GAIN)),
+    "eval_versions": lambda s, d: S.rounded(E.rule_report(labels(s, d), version="lang")),
+    "eval_overall": lambda s, d: S.rounded(E.overall(labels(s, d))),
+    "eval_report": lambda s, d: E.report(labels(s, d), version="lang"),
+    "findings_cube": lambda s, d: review.cube(full(s, d).verified),
+    "filter_choices": lambda s, d: review.choices(full(s, d).verified),
+    "filtered_findings": lambda s, d: review.filtered(full(s, d).verified, priority=rules.MUST, category=rules.SPACING, auto_only=True, status="open").select(*FINDING_COLUMNS),
 }
 
 CLEAN_WORD = "[\\p{L}\\p{M}]+"
@@ -241,3 +257,30 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL |= findings_sql.oracle(ELEMENTS, {k: spacing_sql(k) for k in SPACING_SQL}, ORACLE_SQL, FINDING_COLUMNS)
+
+# the wording of rows of a Markdown table, with C's number formats
+_RULES = """, g AS (SELECT rule_id, count(*) FILTER (WHERE label = 1) AS tp, count(*) FILTER (WHERE label = 0) AS fp, count(*) AS n, avg(label) AS p, avg(pow(confidence - label, 2)) AS brier,
+ array_to_string(list_sort(list(DISTINCT lang)), ', ') AS versions FROM lab GROUP BY 1),
+ w AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) AS c, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1 + 1.96 * 1.96 / n) AS h FROM g),
+ r AS (SELECT *, greatest(0.0, c - h) AS lower, least(1.0, c + h) AS upper, CASE WHEN n < 10 THEN '""" + E.FEW + "' WHEN n < 30 THEN '" + E.SOME + "' ELSE '-' END AS warning FROM w)"
+_BINS = """, b0 AS (SELECT CAST(least(9, floor(confidence * 10)) AS BIGINT) AS bin, count(*) AS n, avg(confidence) AS p, avg(label) AS o, sum(pow(confidence - label, 2)) AS sq FROM lab GROUP BY 1),
+ b AS (SELECT *, o - p AS d, sq / sum(n) OVER () AS contribution FROM b0)"""
+_FIXED = [(0, "", "# Confidence Evaluation Report"), *[(1, k, f"> {note}") for k, note in enumerate(E.REPORT_NOTES)], (3, 0, "## Per-rule results"), *[(3, k + 1, h) for k, h in enumerate(E.RULE_HEAD)], (5, 0, "## Reliability diagram"), *[(5, k + 1, h) for k, h in enumerate(E.BIN_HEAD)]]
+_VERIFIED = "WITH f AS (" + ORACLE_SQL["findings_verified"] + ") "
+_CUT = "CASE WHEN field = 'section' AND length(value) > 40 THEN left(value, 40) || '...' ELSE value END"
+
+ORACLE_SQL |= {
+    "bootstrap_mean": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", "label"),
+    "bootstrap_ratio": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", "n_chars * label", "n_chars"),
+    "bootstrap_brier": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", BRIER_GAIN),
+    "eval_versions": LABELS + _RULES + " SELECT rule_id, tp, fp, n, round(p, 6) AS precision, round(brier, 6) AS brier, versions, round(lower, 6) AS lower, round(upper, 6) AS upper, round(upper - lower, 6) AS width, warning FROM r",
+    "eval_overall": LABELS + " SELECT count(*) AS samples, round(avg(pow(confidence - label, 2)), 6) AS brier FROM lab",
+    "eval_report": LABELS + _RULES + _BINS + " SELECT * FROM (VALUES " + ", ".join(f"({k}, '{key}', '{line}')" for k, key, line in _FIXED) + """) t(section, key, line)
+ UNION ALL SELECT 2, '0', '**Ukupno obeleženih uzoraka:** ' || count(*) FROM lab UNION ALL SELECT 2, '1', printf('**Ukupni Brier score:** %.4f', round(avg(pow(confidence - label, 2)), 4)) FROM lab
+ UNION ALL SELECT 4, rule_id, printf('| %s | %d | %d | %d | %.1f%% | [%.3f, %.3f] | %.3f | %.4f | %s | %s |', rule_id, tp, fp, n, round(p * 100, 1), round(lower, 3), round(upper, 3), round(upper - lower, 3), round(brier, 4), versions, warning) FROM r
+ UNION ALL SELECT 6, printf('%02d', bin), printf('| [0.%d,%s | %d | %.3f | %.3f | %.3f | %.4f |', bin, CASE WHEN bin = 9 THEN '1.0]' ELSE '0.' || (bin + 1) || ')' END, n, round(p, 3), round(o, 3), round(d, 3), round(contribution, 4)) FROM b""",
+    "findings_cube": _VERIFIED + "SELECT GROUPING_ID(priority, category, section) AS level, priority, category, section, count(*) AS findings, count(*) FILTER (WHERE status = 'OPEN') AS open, round(avg(confidence), 6) AS confidence FROM f GROUP BY CUBE (priority, category, section)",
+    "filter_choices": _VERIFIED + f", c AS (SELECT DISTINCT doc_id, 'category' AS field, category AS value FROM f UNION SELECT DISTINCT doc_id, 'section', section FROM f) SELECT doc_id, field, value, {_CUT} AS shown, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY value) AS INT) AS nth FROM c",
+    # spacing findings that must be fixed are all fixable; those in direct quotes have another priority
+    "filtered_findings": _VERIFIED + f"SELECT * FROM f WHERE priority = '{rules.MUST}' AND category = '{rules.SPACING}' AND status = 'OPEN'",
+}
