@@ -36,11 +36,12 @@ def numbered(found: DataFrame) -> DataFrame:
 
 
 def verified(found: DataFrame) -> DataFrame:
-    """Drops findings that change nothing, repeat an earlier one of the document, are too uncertain, or
+    """Drops findings that change nothing, repeat an earlier one of their element or cell, are too uncertain, or
     whose text doesn't stand in their element. The window's key begins with that of numbered(), so nothing is
     shuffled again."""
     x = found.where(~F.col("original").eqNullSafe(F.col("replacement")))
-    key = Window.partitionBy("doc_id", "paragraph_id", "category", "original", "replacement").orderBy("seq")
+    cell = ["cell_id"] if "cell_id" in found.columns else []
+    key = Window.partitionBy("doc_id", "paragraph_id", *cell, "category", "original", "replacement").orderBy("seq")
     x = x.withColumn("_n", F.row_number().over(key)).where((F.col("_n") == 1) & (F.col("confidence") >= LEAST_CONFIDENCE))
     return x.where("stands").drop("_n", "stands")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import count_of
+from docaudit.functions.text import count_of, cut, let
 from docaudit.operators import rules as R
 from docaudit.operators.rules import direct_quote as direct_quote
 
@@ -70,10 +70,11 @@ def demoted(found: DataFrame, quote: Column) -> DataFrame:
 
 
 def unit_findings(units: DataFrame, options: set[str]) -> DataFrame:
-    """units (path, unit, ord, text, row_index, column_index, note_id) -> findings with their place. Notes
-    without text are findings themselves; quotes in cells and notes are demoted."""
+    """units (path, unit, ord, text, row_index, column_index, note_id, and ids of cells if there are any) -> findings
+    with their place and whether they stand in their text, which only cells are asked for. Notes without text are findings
+    themselves; quotes in cells and notes are demoted."""
     out = None
-    keys = ["path", "unit", "ord", "row_index", "column_index", "note_id"]
+    keys = ["path", "unit", "ord", "row_index", "column_index", "note_id", *[c for c in ("table_id", "row_id", "cell_id") if c in units.columns]]
     for unit in PLACES:
         own = units.where((F.col("unit") == unit) & F.col("text").isNotNull())
         parts = unit_rules(unit, options)
@@ -87,7 +88,9 @@ def unit_findings(units: DataFrame, options: set[str]) -> DataFrame:
         form = R.trimmed(F.col("text")).rlike(QUOTED) if unit in ("cell", "footnote", "endnote") else F.lit(False)
         if unit == "cell":
             form = form | R.trimmed(F.col("text")).rlike(r"^[\x{2014}\x{2015}]\s")
-        found = own.select(*keys, form.alias("_q"), F.explode(F.concat(*parts)).alias("f")).select(*keys, "_q", "f.*")
+        stands = (lambda t: lambda f: R.stands_in(F.col("text"), f, t)) if unit == "cell" else (lambda t: lambda f: F.lit(True))
+        told = let(cut(F.col("text")), lambda t: F.transform(F.concat(*parts), lambda f: f.withField("stands", stands(t)(f))))
+        found = own.select(*keys, form.alias("_q"), F.explode(told).alias("f")).select(*keys, "_q", "f.*")
         found = demoted(found, F.col("_q")).drop("_q")
         out = found if out is None else out.unionByName(found)
     return out

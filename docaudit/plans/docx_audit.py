@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.operators import review, rules
+from docaudit.operators import cells, review, rules
 from docaudit.operators import units as U
 from docaudit.plans.audit import Audit
 from docaudit.sources import paragraphs as P
@@ -13,7 +13,8 @@ from docaudit.sources.shared import persisted
 
 # Fixed value: the category of what an audit doesn't cover.
 COVERAGE = "Pokrivenost"
-COLUMNS = [*rules.PLACE, *[x.split(":")[0] for x in rules.FINDING[len("array<struct<"):-2].split(",")], "stands"]
+CELL = {"table_id": "string", "row_id": "string", "cell_id": "string", "row_index": "int", "column_index": "int"}
+COLUMNS = [*rules.PLACE, *[x.split(":")[0] for x in rules.FINDING[len("array<struct<"):-2].split(",")], "stands", *CELL]
 
 
 def body(units: DataFrame) -> DataFrame:
@@ -29,9 +30,20 @@ def body(units: DataFrame) -> DataFrame:
     return x.withColumn("list_before", F.when(listed, before))
 
 
+def located(units: DataFrame) -> DataFrame:
+    """Units whose cells have ids of their table, row and own; nested tables of one depth count as one."""
+    cell = F.col("unit") == "cell"
+    return cells.identified(units.where(cell), "path", ("ord", "depth")).unionByName(units.where(~cell), allowMissingColumns=True)
+
+
+def elsewhere(found: DataFrame) -> DataFrame:
+    """Findings that no cell has, with the columns of cells."""
+    return found.withColumns({"sub_ord": F.col("sub_ord").cast("long"), **{c: F.lit(None).cast(kind) for c, kind in CELL.items()}}).select(*COLUMNS)
+
+
 def beside(units: DataFrame, elements: DataFrame, options: set[str]) -> DataFrame:
     """Findings in cells, notes, headers and footers with their place; a cell has the section and id of its table."""
-    found = U.unit_findings(units, options)
+    found = U.unit_findings(located(units), options)
     if found is None:
         return None
     tables = elements.where("type = 'table'").select(F.col("doc_id").alias("path"), "ord", F.col("section").alias("t_section"), F.col("paragraph_id").alias("t_id"))
@@ -42,9 +54,9 @@ def beside(units: DataFrame, elements: DataFrame, options: set[str]) -> DataFram
     place = F.col("ord").cast("string")
     ids = named(cell=F.col("t_id"), footnote=F.concat(F.lit("fn-"), note), endnote=F.concat(F.lit("en-"), note), header=F.concat(F.lit("hdr-"), place), footer=F.concat(F.lit("ftr-"), place))
     check = F.when(unit == "cell", review.CELL_CHECK).when(unit.isin("header", "footer"), review.MARGIN_CHECK).otherwise(review.NOTE_CHECK)
-    # places within cells go before those within a text
-    at = F.coalesce("row_index", F.lit(0)) * 1000 + F.coalesce("column_index", F.lit(0))
-    x = x.withColumns({"doc_id": F.col("path"), "section": section, "paragraph_id": ids, "sub_ord": (at * 100 + F.col("check_ord")).cast("int"), "stands": F.lit(True)})
+    # places within cells go before those within a text: rows, then columns (under a million of them), then checks
+    at = F.coalesce("row_index", F.lit(0)).cast("long") * 2**20 + F.coalesce("column_index", F.lit(0))
+    x = x.withColumns({"doc_id": F.col("path"), "section": section, "paragraph_id": ids, "sub_ord": at * 128 + F.col("check_ord")})
     return x.withColumn("check_ord", check).select(*COLUMNS)
 
 
@@ -69,9 +81,9 @@ def audit_units(units: DataFrame, options: set[str] | None = None) -> Audit:
     options = review.FULL if options is None else options
     units = persisted(units, "units")
     marked = persisted(rules.marked(body(units), options, "docx"), "marked")
-    found = U.demoted(rules.candidates(marked, options), F.col("is_direct_quote")).select(*COLUMNS)
+    found = elsewhere(U.demoted(rules.candidates(marked, options), F.col("is_direct_quote")))
     side = beside(units, marked, options)
-    found = (found if side is None else found.unionByName(side)).unionByName(uncovered(units, options))
+    found = (found if side is None else found.unionByName(side)).unionByName(elsewhere(uncovered(units, options)))
     found = review.numbered(found)
     docs = units.where("error is null").select(F.col("path").alias("doc_id")).distinct()
     notes = units.where("unit in ('footnote', 'endnote')").select(F.col("path").alias("doc_id"))

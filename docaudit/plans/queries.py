@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docaudit.functions.text import count_of, trimmed
 from docaudit.operators import evaluation as E
 from docaudit.operators import resampling as S
-from docaudit.operators import review, rules
+from docaudit.operators import cells, review, rules
 from docaudit.plans import evaluation_sql, findings_sql
 from docaudit.plans.audit import INJECTED, audit, injected
 from docaudit.sources import paragraphs as P
@@ -170,6 +170,7 @@ QUERIES = {
     "eval_overall": lambda s, d: S.rounded(E.overall(labels(s, d))),
     "eval_report": lambda s, d: E.report(labels(s, d), version="lang"),
     "findings_cube": lambda s, d: review.cube(full(s, d).verified),
+    "cell_ids": lambda s, d: cells.identified(cells.pipe_cells(docs(s, d))),
     "filter_choices": lambda s, d: review.choices(full(s, d).verified),
     "filtered_findings": lambda s, d: review.filtered(full(s, d).verified, priority=rules.MUST, category=rules.SPACING, auto_only=True, status="open").select(*FINDING_COLUMNS),
 }
@@ -269,7 +270,18 @@ _FIXED = [(0, "", "# Confidence Evaluation Report"), *[(1, k, f"> {note}") for k
 _VERIFIED = "WITH f AS (" + ORACLE_SQL["findings_verified"] + ") "
 _CUT = "CASE WHEN field = 'section' AND length(value) > 40 THEN left(value, 40) || '...' ELSE value END"
 
+_NAMED = "'t-' || lpad(lower(to_base({}, 36)), 7, '0')"
+_AGAIN = "CASE WHEN n > 1 THEN " + findings_sql.fnv("h", "'|#' || n") + " ELSE h END"
+
 ORACLE_SQL |= {
+    "cell_ids": "WITH " + LINES.format(src="documents") + ", l AS (SELECT doc_id, line, raw FROM lines WHERE contains(raw, '|')), r AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l),\n"
+        " f AS (SELECT *, min(line) OVER (PARTITION BY doc_id, run) AS ord, string_split(regexp_replace(regexp_replace(" + TRIM.format(t="raw") + ", '^\\|', ''), '\\|$', ''), '|') AS c FROM r),\n"
+        " c0 AS (SELECT doc_id, ord, line - ord AS row_index, unnest(c) AS raw, unnest(range(len(c))) AS column_index FROM f), c AS (SELECT doc_id, ord, CAST(row_index AS INT) AS row_index, CAST(column_index AS INT) AS column_index, " + TRIM.format(t="raw") + " AS text FROM c0),\n"
+        " rw AS (SELECT doc_id, ord, row_index, string_agg(text, '|' ORDER BY column_index) AS l FROM c GROUP BY ALL), t AS (SELECT doc_id, ord, string_agg(l, '|' ORDER BY row_index) AS a FROM rw GROUP BY ALL),\n"
+        " t1 AS (SELECT doc_id, ord, " + findings_sql.fnv("2166136261", "'table|' || a") + " AS h FROM t), t2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY ord) AS n FROM t1), t3 AS (SELECT doc_id, ord, " + _NAMED.format(_AGAIN) + " AS table_id FROM t2),\n"
+        " r1 AS (SELECT doc_id, ord, row_index, table_id, " + findings_sql.fnv("2166136261", "table_id || '|row|' || l") + " AS h FROM rw JOIN t3 USING (doc_id, ord)), r2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_id, h ORDER BY row_index) AS n FROM r1),\n"
+        " r3 AS (SELECT doc_id, ord, row_index, table_id, " + _NAMED.format(_AGAIN) + " AS row_id FROM r2), k AS (SELECT *, " + findings_sql.fnv("2166136261", "row_id || '|cell|' || text || '|' || column_index") + " AS h FROM c JOIN r3 USING (doc_id, ord, row_index))\n"
+        " SELECT doc_id, ord, row_index, column_index, text, table_id, row_id, " + _NAMED.format("h") + " AS cell_id FROM k",
     "bootstrap_mean": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", "label"),
     "bootstrap_ratio": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", "n_chars * label", "n_chars"),
     "bootstrap_brier": evaluation_sql.bootstrap(LABELS, "rule_id", "doc_id", BRIER_GAIN),
