@@ -46,18 +46,19 @@ def verified(found: DataFrame) -> DataFrame:
     return x.where("stands").drop("_n", "stands")
 
 
-def scanned(rows: DataFrame) -> DataFrame:
+def scanned(rows: DataFrame, checks=CHECKS) -> DataFrame:
     """Marked elements -> doc_id, check, count: the elements each check looks at."""
-    bits = [F.sum(F.shiftright("seen", i).bitwiseAND(F.lit(1)).cast("long")).alias(k) for i, (k, *_) in enumerate(CHECKS)]
-    each = F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("count")) for k, *_ in CHECKS])
+    bits = [F.sum(F.shiftright("seen", i).bitwiseAND(F.lit(1)).cast("long")).alias(f"_{i}") for i in range(len(checks))]
+    each = F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"_{i}").alias("count")) for i, (k, *_) in enumerate(checks)])
     return rows.groupBy("doc_id").agg(*bits).select("doc_id", F.inline(each))
 
 
-def passed_checks(found: DataFrame, rows: DataFrame, options: set[str], notes: DataFrame | None = None) -> DataFrame:
+def passed_checks(found: DataFrame, rows: DataFrame, options: set[str], notes: DataFrame | None = None, extra: tuple[R.Rule, ...] = ()) -> DataFrame:
     """Checks that are on and have no finding of their category, before verification. notes (doc_id, one row for
     each note) adds the check of notes, which any finding in a note fails."""
-    named = lambda i: F.element_at(F.create_map(*[F.lit(y) for x in CHECKS for y in (x[0], x[i])]), F.col("check"))
-    counts = scanned(rows).where(F.col("check").isin(sorted(options))).withColumns({"category": named(1), "area": named(2)})
+    checks = [*CHECKS, *[(r.option, r.category, r.area) for r in extra]]
+    named = lambda i: F.element_at(F.create_map(*[F.lit(y) for x in checks for y in (x[0], x[i])]), F.col("check"))
+    counts = scanned(rows, checks).where(F.col("check").isin(sorted(options))).withColumns({"category": named(1), "area": named(2)})
     some = found.select("doc_id", "category").distinct()
     passed = counts.join(some, ["doc_id", "category"], "left_anti").select("doc_id", "area", "count")
     if notes is not None and "footnotes" in options:
@@ -205,6 +206,48 @@ def fence(c: Column) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
+def escaped(c: Column) -> Column:
+    """Text whose signs of Markdown mean nothing, on one line."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"([\\`*_{}\[\]()#+\-.!|<>~])", r"\\$1"), "\n", " "), "\r", "")
+
+
+def report_lines(found: DataFrame, docs: DataFrame, passed: DataFrame, options: set[str] = FULL, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """The report of each document as rows (doc_id, part, nth, lines) in the order of part and nth: head and status (0), summary
+    (1), findings (2, nth is their number), passed checks (3), assessment (4). Rows are written as they are sorted; no
+    document is gathered in one value."""
+    on = scope(options)
+    s = summary(found, docs, options, required).join(passed.groupBy("doc_id").agg(F.count("*").alias("passed")), "doc_id", "left").fillna(0, ["passed"])
+    done = lambda k, yes: yes if on[k] else "NIJE " + yes
+    bold = lambda c: F.concat(F.lit("**"), F.col(c).cast("string"), F.lit("**"))
+    of = lambda name, c, total: F.concat(F.lit(f"{name}: "), bold(c), F.lit("/"), F.col(total).cast("string"))
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("# Lektorsko-korektorski audit - "), escaped(F.col("doc_id").cast("string"))), F.lit(""), F.lit(f"**Preset:** {on['preset']}"), F.lit(""),
+        F.lit("## Status audita"), F.lit(""), F.concat(F.lit("- Status: "), bold("status")), F.lit(f"- Jezička analiza: **{done('grammar', 'IZVRŠENA')}**"),
+        F.lit(f"- Stilska analiza: **{done('style', 'IZVRŠENA')}**"), F.lit(f"- Vizuelni pregled: **{done('visual_layout', 'IZVRŠEN')}**"), F.lit(""), F.lit(f"> {on['note']}"), F.lit(""))
+    sums = F.concat_ws(
+        "\n", F.lit("## Sažetak"), F.lit(""), F.concat(F.lit("- Ukupno nalaza: "), bold("total")),
+        F.concat(F.lit("- Obavezne: "), bold("mandatory"), F.lit(" | Proveriti: "), bold("verify"), F.lit(" | Preporuke: "), bold("recommended"), F.lit(" | Blocker: "), bold("blocker")),
+        F.concat(F.lit("- Provere bez grešaka: "), bold("passed")),
+        F.concat(F.lit("- Otvoreno: "), bold("open"), F.lit(" | Rešeno: "), bold("done"), F.lit(" | Nije greška: "), bold("rejected")),
+        F.concat(F.lit("- "), of("Obavezno", "open_mandatory", "mandatory"), F.lit(" | "), of("Blocker", "open_blocker", "blocker"), F.lit(" | "), of("Proveriti", "open_verify", "verify"), F.lit(" *(otvoreno/ukupno)*")),
+        F.concat(F.lit("- Finalan: "), F.when(F.col("gate"), "**DA**").otherwise("**NE**")), F.lit(""), F.lit("## Nalazi"), F.lit(""))
+    end = F.concat_ws("\n", F.lit(""), F.lit("## Završna procena"), F.lit(""), F.col("assessment"), F.lit(""), F.lit("---"), F.lit(f"*{on['note']}*"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    fenced = lambda c: F.concat_ws("\n", fence(F.col(c)), F.col(c), fence(F.col(c)))
+    cell = F.lit(None).cast("string")
+    if "cell_id" in found.columns:
+        cell = F.concat(F.lit("> Tabela: "), F.col("table_id"), F.lit(" | Red: "), (F.col("row_index") + 1).cast("string"), F.lit(" | Kolona: "), (F.col("column_index") + 1).cast("string"), F.lit(" | Cell ID: "), F.col("cell_id"))
+    title = F.concat(F.lit("### "), F.col("nth").cast("string"), F.lit(". ["), escaped(F.col("section")), F.lit("] "), escaped(F.col("category")), F.lit(" ("), F.col("priority"), F.lit(")"))
+    why = F.concat(F.lit("- "), escaped(F.col("rationale")), F.lit(" (pouzdanost: "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%, rule_id: "), F.coalesce("rule_id", F.lit("unknown")), F.lit(")"))
+    each = found.withColumn("nth", nth)
+    each = each.select("doc_id", F.lit(2).alias("part"), "nth", F.concat_ws("\n", title, cell, F.lit("- **Original:**"), fenced("original"), F.lit("- **Ispravka:**"), fenced("replacement"), why, F.lit("")).alias("lines"))
+    rank = F.array_position(F.array(*[F.lit(name) for *_, name in CHECKS], F.lit("Fusnote")), F.col("area")).cast("int")
+    checks = passed.select("doc_id", F.lit(3).alias("part"), rank.alias("nth"), F.concat(F.lit("- "), F.col("area"), F.lit(" ("), F.col("count").cast("string"), F.lit(")")).alias("lines"))
+    whole = [(0, 0, head), (1, 0, sums), (3, -1, F.lit("## Provere bez grešaka\n")), (4, 0, end)]
+    fixed = s.select("doc_id", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(k).alias("nth"), c.alias("lines")) for p, k, c in whole])))
+    return fixed.unionByName(each).unionByName(checks)
+
+
 def markdown_report(found: DataFrame) -> DataFrame:
     """doc_id, report: one block for each finding in order, texts in fences that they can't close."""
     block = F.concat_ws(

@@ -7,6 +7,8 @@ elements with one another are joins of the narrow columns that the same pass lea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -318,7 +320,7 @@ def semicolons(text: Column, rule: str = "unbalanced_brackets_body") -> Column:
 # ---- rules over a document
 
 PLACE = ["doc_id", "ord", "section", "paragraph_id", "is_direct_quote"]
-#: Levels that a heading may have; one without a level counts as the first.
+#: Levels of headings that bibliographies tell apart: one without a level counts as the first, a deeper one as the last.
 LEVELS = range(1, 10)
 
 
@@ -347,7 +349,7 @@ def in_context(rows: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     text, head = F.col("text"), F.col("type") == "heading"
     par, t = F.col("type") == "paragraph", trimmed(F.col("text"))
-    level = F.coalesce("level", F.lit(1))
+    level = F.least(F.coalesce("level", F.lit(1)), F.lit(LEVELS[-1]))
     item = F.regexp_extract("text", f"^{WS}*(\\d+)[.)]{WS}", 1)
     rows = rows.withColumns({
         "num": F.when(item != "", item.try_cast("long")), "_title": head & t.rlike(f"(?iu)^({BIBLIOGRAPHY_TITLES})\\z"),
@@ -624,38 +626,52 @@ def exploded(rows: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A rule of a user's own, run in the same pass as the others: find gives array<finding> (see finding) of an element's
+    text, looks tells which elements it looks at. It is on where its option is; area names its check."""
+
+    option: str
+    category: str
+    area: str
+    find: Callable[[Column], Column]
+    looks: Callable[[], Column] = lambda: F.col("text") != ""
+
+
 @lru_cache(maxsize=16)
-def found_column(application: str, options: frozenset[str], kind: str, listed: bool) -> Column:
+def found_column(application: str, options: frozenset[str], kind: str, listed: bool, extra: tuple[Rule, ...] = ()) -> Column:
     """Findings of all rules but those of ACROSS. Its thousands of parts are put together once for an application."""
     text = F.col("text")
     columns = local_columns(set(options), kind) + [f() for k, f in IN_CONTEXT.items() if k in options]
     if "numbering" in options and listed:
         columns.append(list_numbering())
+    columns += [F.when(r.looks(), r.find(text).cast(FINDING)) for r in extra if r.option in options]
     return let(cut(text), lambda t: F.transform(merged(columns), lambda f: f.withField("stands", stands_in(text, f, t))))
 
 
-def marked(rows: DataFrame, options: set[str], kind: str = "txt") -> DataFrame:
+def marked(rows: DataFrame, options: set[str], kind: str = "txt", extra: tuple[Rule, ...] = ()) -> DataFrame:
     """Elements -> PLACE, type, found (findings of all rules but those of ACROSS, and whether they stand in the
     text) and the narrow columns that ACROSS and the counts of checks read. This is the one pass over texts."""
     text = F.col("text")
-    found = found_column(rows.sparkSession.sparkContext.applicationId, frozenset(options), kind, "list_before" in rows.columns)
+    found = found_column(rows.sparkSession.sparkContext.applicationId, frozenset(options), kind, "list_before" in rows.columns, extra)
     on = lambda k, c: c if k in options else F.lit(None)
     return in_context(rows).select(
         *place_of(rows), "type", found.alias("found"), on("toc", toc_entry()).cast("string").alias("entry"), on("toc", heading_title()).cast("string").alias("title"),
         F.when(bibliography_entry(), text).alias("entry_text"), on("bibliography", cited_names()).cast("array<string>").alias("cited"), "bibliography",
-        on("capsWords", capital_words(F.col("table_text") if "table_text" in rows.columns else None)).cast("array<struct<nth:int,word:string>>").alias("capitals"), seen(kind).alias("seen"),
+        on("capsWords", capital_words(F.col("table_text") if "table_text" in rows.columns else None)).cast("array<struct<nth:int,word:string>>").alias("capitals"), seen(kind, extra).alias("seen"),
     )
 
 
-def seen(kind: str = "txt") -> Column:
-    """Bits of the checks, in the order of review.CHECKS, that look at an element."""
+def seen(kind: str = "txt", extra: tuple[Rule, ...] = ()) -> Column:
+    """Bits of the checks, in the order of review.CHECKS and then of extra, that look at an element."""
     text, par, t = F.col("text"), F.col("type") == "paragraph", trimmed(F.col("text"))
     some, no = text != "", F.lit(False)
     looks = [
         t != "", some, no if kind == "markdown" else some, some, some, some, some, par & text.rlike(TOC_LINE), text.rlike(f"^{WS}*(\\d+)[.)]{WS}"),
         bibliography_entry(), some, par & (F.length(t) >= 50), body_for_capitals() & some, F.col("type") == "heading",
     ]
-    return reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(looks)]).cast("int")
+    looks += [r.looks() for r in extra]
+    return reduce(lambda a, b: a + b, [F.when(c, F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(looks)]).cast("long")
 
 
 def candidates(rows: DataFrame, options: set[str]) -> DataFrame:

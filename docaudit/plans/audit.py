@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import review, rules, units
 from docaudit.sources import paragraphs as P
-from docaudit.sources.shared import persisted
+from docaudit.sources.shared import persisted, removed
 
 
 @dataclass(frozen=True)
@@ -22,9 +22,17 @@ class Audit:
     docs: DataFrame
     options: frozenset[str]
     notes: DataFrame | None = None
+    extra: tuple[rules.Rule, ...] = ()
 
     def passed(self) -> DataFrame:
-        return review.passed_checks(self.candidates, self.elements, set(self.options), self.notes)
+        return review.passed_checks(self.candidates, self.elements, set(self.options), self.notes, self.extra)
+
+    def report(self) -> DataFrame:
+        return review.report_lines(self.verified, self.docs, self.passed(), set(self.options))
+
+    def done(self) -> None:
+        """Delete the marked elements, when nothing of this audit will be read any more."""
+        removed(self.elements)
 
     def summary(self) -> DataFrame:
         return review.summary(self.verified, self.docs, set(self.options))
@@ -33,15 +41,15 @@ class Audit:
         return review.global_patterns(self.verified)
 
 
-def audit(docs: DataFrame, options: set[str] | None = None, kind: str = "markdown", text_col: str = "text") -> Audit:
+def audit(docs: DataFrame, options: set[str] | None = None, kind: str = "markdown", text_col: str = "text", extra: tuple[rules.Rule, ...] = ()) -> Audit:
     """docs: doc_id and text. One shuffle by doc_id serves every window of the elements; the marked elements, with
-    their findings but without their texts, go to the shared folder."""
+    their findings but without their texts, go to the shared folder when the audit is made. extra: rules of one's own."""
     options = review.FULL if options is None else options
     rows = P.identified(P.sections(P.elements(docs, kind, text_col)))
-    marked = persisted(rules.marked(rows, options, kind), "marked")
+    marked = persisted(rules.marked(rows, options, kind, extra), "marked")
     found = units.demoted(rules.candidates(marked, options), F.col("is_direct_quote"))
     found = review.numbered(found)
-    return Audit(marked, found, review.verified(found), docs, frozenset(options))
+    return Audit(marked, found, review.verified(found), docs, frozenset(options), extra=extra)
 
 
 # Fixed value: text changed by id so that every rule has something to find; the same expression runs in DuckDB.

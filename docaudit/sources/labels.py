@@ -12,10 +12,15 @@ COLUMNS = ("document_id", "version_id", "rule_id", "finding_id", "location_key",
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows as text, with their number among the file's records. Label files are written by hand, so one
-    window numbers them."""
+    """Rows as text, with their number among the records of all files, in the order of the files' parts. One pass counts the
+    records of each part, the next numbers them from where the part begins, so no task sees them all."""
     x = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema=", ".join(f"{c} string" for c in COLUMNS), enforceSchema=False)
-    return x.withColumn("line", F.row_number().over(Window.partitionBy().orderBy(F.monotonically_increasing_id())) + 1)
+    x = x.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row for each part
+    starts = starts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    line = F.col("_start") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 2
+    return x.join(starts, "_part").select(*COLUMNS, line.alias("line"))
 
 
 def checked(labels: DataFrame) -> DataFrame:
