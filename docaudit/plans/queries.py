@@ -114,9 +114,10 @@ def statuses(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.join(found.select("doc_id", "finding_id"), "doc_id").withColumn("ts", F.lit(1))
 
 
-def interval(numerator, denominator=None):
+def interval(numerator: str, denominator: str | None = None):
     """A query of the BCa interval of a mean, or of a ratio of sums, by rule."""
-    return lambda s, d: S.rounded(S.bootstrap(labels(s, d), "rule_id", "doc_id", *S.ratio(numerator, denominator)))
+    whole = lambda: S.ratio(F.expr(numerator), None if denominator is None else F.expr(denominator))
+    return lambda s, d: S.rounded(S.bootstrap(labels(s, d), "rule_id", "doc_id", *whole()))
 
 
 BRIER_GAIN = "pow(confidence - label, 2) - pow(0.5 - label, 2)"
@@ -163,9 +164,9 @@ QUERIES = {
     "cliffs_delta": lambda s, d: E.cliffs_delta(labels(s, d).select("lang", F.col("label").alias("side"), F.col("n_chars").alias("x")), "lang"),
     "sample_size": lambda s, d: E.sample_size(params(s)),
     "bootstrap_bca": lambda s, d: E.bootstrap_bca(labels(s, d)),
-    "bootstrap_mean": interval(F.col("label")),
-    "bootstrap_ratio": interval(F.col("n_chars") * F.col("label"), F.col("n_chars")),
-    "bootstrap_brier": interval(F.expr(BRIER_GAIN)),
+    "bootstrap_mean": interval("label"),
+    "bootstrap_ratio": interval("n_chars * label", "n_chars"),
+    "bootstrap_brier": interval(BRIER_GAIN),
     "eval_versions": lambda s, d: S.rounded(E.rule_report(labels(s, d), version="lang")),
     "eval_overall": lambda s, d: S.rounded(E.overall(labels(s, d))),
     "eval_report": lambda s, d: E.report(labels(s, d), version="lang"),
