@@ -38,8 +38,9 @@ from docaudit.llm.common import new_path, partitions, small_batches
 END_ID = 1
 #: Chunks end where the hash has MASK_BITS zero bits, after at least LEAST ids and at most MOST.
 MASK_BITS, LEAST, MOST, WINDOW = 9, 64, 4096, 32
-#: Words whose ids a worker keeps; a full table becomes the old one, from which words used again come back.
-HELD_WORDS = 500_000
+#: Stems and words whose ids a worker keeps from text to text; a full table becomes the old one, from which those used
+#: again come back. Longer ones aren't kept, so both numbers bound bytes as well.
+HELD_STEMS, HELD_WORDS, HELD_LENGTH = 200_000, 200_000, 40
 # Normalizers and pre-tokenizers of a file whose words may be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENIZERS = [
@@ -48,7 +49,9 @@ PRE_TOKENIZERS = [
 ]
 _GEAR = np.random.default_rng(20240301).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 _WORD = re.compile(r"[^ \t\n\r\f\x0b]+")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
+# Letters, then signs of ASCII but the apostrophe, which begins pieces with letters in them.
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_PLAIN = re.compile(f"({_LETTERS}+)({_SIGNS}*)")
 _BYTE = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)}
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
@@ -58,14 +61,37 @@ def _word_wise(file: dict) -> bool:
     model = file["model"]
     plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["unk_token"] or model["ignore_merges"])
     cuts = file["pre_tokenizer"] or {}
-    added = all(t["special"] and not re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    added = all(t["special"] and not re.search(r"\s", t["content"]) and not re.fullmatch(f"{_LETTERS}*{_SIGNS}*", t["content"]) for t in file["added_tokens"])
     return plain and added and (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and cuts.get("pretokenizers") == PRE_TOKENIZERS
 
 
+class _Held(dict):
+    """Ids by key; what isn't held is made. A full table becomes the old one when trim() is called."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def __missing__(self, key: str) -> bytes:
+        out = self[key] = self.old.get(key) or self.make(key)
+        if len(key) > HELD_LENGTH:
+            self.long.append(key)
+        return out
+
+    def trim(self) -> None:
+        for key in self.long:
+            del self[key]
+        self.long.clear()
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text -> ids as little-endian uint32, equal to encode(text, add_special_tokens=False) of the tokenizer
     in that file: its pieces never span white space, so each distinct word is encoded once. Words of plain
-    Latin letters are one piece each (then punctuation another) and go straight to the model."""
+    Latin letters are one piece each (then signs another) and go straight to the model, whatever their case."""
     if path in _encoders:
         return _encoders[path]
     from tokenizers import Tokenizer
@@ -75,38 +101,33 @@ def encoder(path: str) -> Callable[[str], bytes]:
     spare = {b: c for b, c in zip((b for b in range(256) if _BYTE[b] is None), map(chr, range(256, 512)))}
     letters = str.maketrans({b: _BYTE[b] or spare[b] for b in range(256)})
     word_wise = _word_wise(json.loads(tok.to_str()))
-    held: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
 
-    def whole(word: str) -> bytes:
-        return np.array(tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+    def whole(text: str) -> bytes:
+        return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def merged(stem: str) -> bytes:
+        mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in merge(mapped)])
+
+    stems, signs = _Held(merged, HELD_STEMS), _Held(whole, HELD_WORDS)
 
-    def fresh(word: str) -> bytes:
-        if word in old:
-            return old[word]
-        m = _PLAIN.fullmatch(word) if word_wise else None
+    def word(w: str) -> bytes:
+        m = _PLAIN.fullmatch(w)
         if not m:
-            return whole(word)
-        stem, marks = m[1], m[2]
-        out = held.get(stem) or old.get(stem) if marks else None
-        if out is None:
-            text = stem.lower()
-            mapped = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
-            out = np.array([t.id for t in merge(mapped)], np.uint32).tobytes()
-            held[stem] = out
-        return out + (held.get(marks) or held.setdefault(marks, whole(marks))) if marks else out
+            return whole(w)
+        out = stems[m[1].lower()]
+        return out + signs[m[2]] if m[2] else out
+
+    words = _Held(word, HELD_WORDS)
+    tables = (stems, signs, words)
 
     def encode(text: str) -> bytes:
         if not word_wise:
             return whole(text)
-        if len(held) > HELD_WORDS:
-            old.clear()
-            old.update(held)
-            held.clear()
-        words = _WORD.findall(text)
-        for w in set(words).difference(held):
-            held[w] = fresh(w)
-        return b"".join(map(held.__getitem__, words))
+        out = b"".join(map(words.__getitem__, _WORD.findall(text)))
+        for x in tables:
+            x.trim()
+        return out
 
     _encoders[path] = encode
     return encode
@@ -202,6 +223,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within a sorted range: its number, ids and documents before each row."""
     from pyspark import TaskContext
 
+    _encoders.clear()  # workers are used again; the words of the stage before lie in their memory
     part, before, nth = TaskContext.get().partitionId(), 0, 0
     for b in batches:
         ends = np.cumsum(b.column("n").to_numpy())
@@ -276,6 +298,7 @@ def crc_combine(crc: np.ndarray, more: np.ndarray, size: np.ndarray, shift: list
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()
     for b in batches:
         good, crc, n = [], [], []
         for address, data in zip(b.column("address").to_pylist(), b.column("ids").to_pylist()):
@@ -290,6 +313,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a document with its chunks' CRCs and lengths in order -> its CRC and length."""
+    _encoders.clear()
     shift = _crc_shift()
     for b in batches:
         crcs, sizes, addresses = (b.column(x).to_pylist() for x in ("crcs", "sizes", "chunks"))

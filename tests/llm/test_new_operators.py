@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docaudit.llm import licences, negatives, quality, spelling
+from docaudit.llm import licences, negatives, quality, spelling, tokens
 
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -275,8 +275,6 @@ def test_other_tokenizer_files_are_not_cut_by_words(tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from docaudit.llm import tokens
-
     path = public_tokenizers.path("word_bpe_49k.json")
     file = json.loads(Tokenizer.from_file(path).to_str())
     assert tokens._word_wise(file)
@@ -288,3 +286,17 @@ def test_other_tokenizer_files_are_not_cut_by_words(tmp_path):
         for p in (path, str(other)):
             want = np.array(Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
             assert tokens.encoder(p)(text) == want
+
+
+def test_full_tables_of_words_change_no_ids(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for name, value in (("HELD_STEMS", 2), ("HELD_WORDS", 2), ("HELD_LENGTH", 5), ("_encoders", {})):
+        monkeypatch.setattr(tokens, name, value)
+    encode, tok = tokens.encoder(path), Tokenizer.from_file(path)
+    words = ["Whon,###", "whon", "WHON!!", "it's", "don't.", "a_b", "x&&&", "É`", "ÀÉÎ~~", "(249)", "'", "''s", "ß|", "y" * 90 + "...", "<|endoftext|>", "<|", "a<|", "7", "日本", "ſ.", "İx", "Σας", "á!"]
+    for k in range(len(words)):
+        text = " ".join(words[k:] + words[: k + 1])
+        assert np.frombuffer(encode(text), np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids
