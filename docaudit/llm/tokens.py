@@ -265,36 +265,44 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
 
 def _crc_shift() -> list[np.ndarray]:
-    """For k: the images of the 32 CRC bits under 2^k zero bytes."""
-    one = np.zeros(32, np.uint64)
+    """For k: the images of each byte of a CRC (4 x 256) under 2^k zero bytes."""
+    one = np.zeros(32, np.uint32)
     one[0] = 0xEDB88320
     one[1:] = [1 << i for i in range(31)]
+    value = np.arange(256)
 
-    def square(m: np.ndarray) -> np.ndarray:
-        out = np.zeros(32, np.uint64)
+    def tables(m: np.ndarray) -> np.ndarray:
+        """From the images of the 32 bits to those of the bytes."""
+        out = np.zeros((4, 256), np.uint32)
         for i in range(32):
-            out[i] = np.bitwise_xor.reduce(m[[j for j in range(32) if int(m[i]) >> j & 1]], initial=np.uint64(0))
+            out[i // 8] ^= np.where(value >> (i % 8) & 1 == 1, m[i], np.uint32(0))
         return out
 
+    def square(m: np.ndarray) -> np.ndarray:
+        return _shifted(m, tables(m))
+
     m = square(square(square(one)))
     out = []
     for _ in range(40):
-        out.append(m)
+        out.append(tables(m))
         m = square(m)
     return out
 
 
-def crc_combine(crc: np.ndarray, more: np.ndarray, size: np.ndarray, shift: list[np.ndarray]) -> np.ndarray:
-    """CRC-32 of a || b from those of a and b and the bytes of b, for arrays."""
-    crc = crc.astype(np.uint64)
-    for k in range(40):
-        on = (size >> k) & 1 == 1
-        if on.any():
-            x, y = crc[on], np.zeros(on.sum(), np.uint64)
-            for i in range(32):
-                y ^= np.where((x >> np.uint64(i)) & np.uint64(1) == 1, shift[k][i], np.uint64(0))
-            crc[on] = y
-    return crc ^ more.astype(np.uint64)
+def _shifted(crc: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+def crc_combine(crc: np.ndarray, size: np.ndarray, count: np.ndarray, shift: list[np.ndarray]) -> np.ndarray:
+    """CRC-32 of each run of parts (count: parts of each run, none of 0) from the parts' CRCs and bytes: a part's CRC is moved
+    by the bytes that follow it in its run, and those of a run are added."""
+    crc, ends = crc.astype(np.uint32), np.cumsum(count)
+    upto = np.cumsum(size)
+    after = np.repeat(upto[ends - 1], count) - upto
+    for k in range(int(after.max(initial=0)).bit_length()):
+        on = after >> k & 1 == 1
+        crc[on] = _shifted(crc[on], shift[k])
+    return np.bitwise_xor.reduceat(crc, ends - count) if len(crc) else crc
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,17 +324,19 @@ def _document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _encoders.clear()
     shift = _crc_shift()
     for b in batches:
-        crcs, sizes, addresses = (b.column(x).to_pylist() for x in ("crcs", "sizes", "chunks"))
-        total = np.zeros(b.num_rows, np.uint64)
-        count = np.array([len(x) for x in crcs], np.int64)
-        for k in range(count.max(initial=0)):
-            on = np.flatnonzero(count > k)
-            total[on] = crc_combine(total[on], np.array([crcs[i][k] for i in on], np.int64), np.array([4 * sizes[i][k] for i in on], np.int64), shift)
+        crcs, sizes, addresses = b.column("crcs"), b.column("sizes"), b.column("chunks").to_pylist()
+        count = pc.list_value_length(crcs).to_numpy(zero_copy_only=False)
+        flat = sizes.flatten().to_numpy()
+        total = np.zeros(b.num_rows, np.int64)
+        total[count > 0] = crc_combine(crcs.flatten().to_numpy(), 4 * flat, count[count > 0], shift)
+        upto = np.concatenate([[0], np.cumsum(flat)])
+        ends = np.cumsum(count)
+        long = upto[ends] - upto[ends - count]
         for i, root in enumerate(b.column("root").to_pylist()):
-            if merkle([addresses[i][j : j + 16] for j in range(0, len(addresses[i]), 16)]) != root or sum(sizes[i]) != b.column("n")[i].as_py():
+            if merkle([addresses[i][j : j + 16] for j in range(0, len(addresses[i]), 16)]) != root or long[i] != b.column("n")[i].as_py():
                 raise ValueError("a recipe doesn't match its root")
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("start"), b.column("n"), pa.array(total.astype(np.int64)), b.column("root")],
+            [b.column("doc_id"), b.column("start"), b.column("n"), pa.array(total), b.column("root")],
             names=["doc_id", "start", "n_tokens", "ids_crc32", "root"],
         )
 

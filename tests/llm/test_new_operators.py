@@ -300,3 +300,15 @@ def test_full_tables_of_words_change_no_ids(monkeypatch):
     for k in range(len(words)):
         text = " ".join(words[k:] + words[: k + 1])
         assert np.frombuffer(encode(text), np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_crcs_of_runs_equal_those_of_their_bytes():
+    rng = random.Random(3)
+    runs = [[rng.randbytes(rng.choice([1, 4, 100, 5000, 70_000])) for _ in range(rng.randint(1, 9))] for _ in range(100)]
+    parts = [x for r in runs for x in r]
+    got = tokens.crc_combine(
+        np.array([zlib.crc32(x) for x in parts], np.int64), np.array([len(x) for x in parts], np.int64), np.array([len(r) for r in runs]), tokens._crc_shift()
+    )
+    assert got.tolist() == [zlib.crc32(b"".join(r)) for r in runs]
+    none = np.zeros(0, np.int64)
+    assert len(tokens.crc_combine(none, none, none, tokens._crc_shift())) == 0
