@@ -40,7 +40,7 @@ END_ID = 1
 MASK_BITS, LEAST, MOST, WINDOW = 9, 64, 4096, 32
 #: Stems and words whose ids a worker keeps from text to text; a full table becomes the old one, from which those used
 #: again come back. Longer ones aren't kept, so both numbers bound bytes as well.
-HELD_STEMS, HELD_WORDS, HELD_LENGTH = 200_000, 200_000, 40
+HELD_STEMS, HELD_WORDS, HELD_LENGTH = 300_000, 400_000, 40
 # Normalizers and pre-tokenizers of a file whose words may be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENIZERS = [
