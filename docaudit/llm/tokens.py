@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -38,9 +39,11 @@ from docaudit.llm.common import new_path, partitions, small_batches
 END_ID = 1
 #: Chunks end where the hash has MASK_BITS zero bits, after at least LEAST ids and at most MOST.
 MASK_BITS, LEAST, MOST, WINDOW = 9, 64, 4096, 32
-#: Stems and words whose ids a worker keeps from text to text; a full table becomes the old one, from which those used
-#: again come back. Longer ones aren't kept, so both numbers bound bytes as well.
-HELD_STEMS, HELD_WORDS, HELD_LENGTH = 300_000, 400_000, 40
+#: Stems and other words whose ids a worker keeps from texts to texts; of a full table the half used last stays. Longer
+#: ones aren't kept, so both numbers bound bytes as well.
+HELD_STEMS, HELD_WORDS, HELD_LENGTH = 200_000, 100_000, 40
+#: Bytes of texts that are encoded at once; a longer text stands alone.
+AT_ONCE = 4_000_000
 # Normalizers and pre-tokenizers of a file whose words may be encoded one by one.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENIZERS = [
@@ -48,12 +51,11 @@ PRE_TOKENIZERS = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 _GEAR = np.random.default_rng(20240301).integers(0, 2**32, 1 << 16, dtype=np.uint32)
-_WORD = re.compile(r"[^ \t\n\r\f\x0b]+")
 # Letters, then signs of ASCII but the apostrophe, which begins pieces with letters in them.
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
-_PLAIN = re.compile(f"({_LETTERS}+)({_SIGNS}*)")
+_LETTERS_LIST, _SIGNS_LIST = ("".join(c for c in map(chr, range(256)) if re.fullmatch(x, c)) for x in (_LETTERS, _SIGNS))
 _BYTE = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)}
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _word_wise(file: dict) -> bool:
@@ -65,77 +67,114 @@ def _word_wise(file: dict) -> bool:
     return plain and added and (file["normalizer"] or {}).get("normalizers") == NORMALIZERS and cuts.get("pretokenizers") == PRE_TOKENIZERS
 
 
-class _Held(dict):
-    """Ids by key; what isn't held is made. A full table becomes the old one when trim() is called."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most = make, most
-        self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
-
-    def __missing__(self, key: str) -> bytes:
-        out = self[key] = self.old.get(key) or self.make(key)
-        if len(key) > HELD_LENGTH:
-            self.long.append(key)
-        return out
-
-    def trim(self) -> None:
-        for key in self.long:
-            del self[key]
-        self.long.clear()
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
-def encoder(path: str) -> Callable[[str], bytes]:
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Held:
+    """Ids by key, in flat arrays; what isn't held is made. The keys of one call are distinct."""
+
+    def __init__(self, make: Callable[[str], list[int]], most: int):
+        self.make, self.most, self.calls = make, most, 0
+        self.keys, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each key's start and how many it has."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        made = [self.make(k) for k in keys.take(pa.array(new)).to_pylist()]
+        at[new] = len(self.keys) + np.arange(len(new))
+        self.keys = pa.concat_arrays([self.keys, keys.take(pa.array(new))])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.uint32)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.calls += 1
+        self.used[at] = self.calls
+        starts = np.cumsum(self.sizes) - self.sizes
+        found = self.ids, starts[at], self.sizes[at]
+        self._trim(starts)
+        return found
+
+    def _trim(self, starts: np.ndarray) -> None:
+        stay = pc.less_equal(pc.utf8_length(self.keys), HELD_LENGTH).to_numpy(zero_copy_only=False)
+        if stay.sum() > self.most:
+            stay[np.argsort(np.where(stay, -self.used, 0), kind="stable")[self.most // 2 :]] = False
+        if not stay.all():
+            self.ids = _gather(self.ids, starts[stay], self.sizes[stay])
+            self.keys, self.sizes, self.used = self.keys.filter(pa.array(stay)), self.sizes[stay], self.used[stay]
+
+
+class Encoder:
     """Text -> ids as little-endian uint32, equal to encode(text, add_special_tokens=False) of the tokenizer
     in that file: its pieces never span white space, so each distinct word is encoded once. Words of plain
     Latin letters are one piece each (then signs another) and go straight to the model, whatever their case."""
-    if path in _encoders:
-        return _encoders[path]
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    merge = tok.model.tokenize
-    spare = {b: c for b, c in zip((b for b in range(256) if _BYTE[b] is None), map(chr, range(256, 512)))}
-    letters = str.maketrans({b: _BYTE[b] or spare[b] for b in range(256)})
-    word_wise = _word_wise(json.loads(tok.to_str()))
-
-    def whole(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def merged(stem: str) -> bytes:
-        mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in merge(mapped)])
-
-    stems, signs = _Held(merged, HELD_STEMS), _Held(whole, HELD_WORDS)
-
-    def word(w: str) -> bytes:
-        m = _PLAIN.fullmatch(w)
-        if not m:
-            return whole(w)
-        out = stems[m[1].lower()]
-        return out + signs[m[2]] if m[2] else out
-
-    words = _Held(word, HELD_WORDS)
-    tables = (stems, signs, words)
-
-    def encode(text: str) -> bytes:
-        if not word_wise:
-            return whole(text)
-        out = b"".join(map(words.__getitem__, _WORD.findall(text)))
-        for x in tables:
-            x.trim()
-        return out
-
-    _encoders[path] = encode
-    return encode
-
 
-def cut(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one stream of ids. The hash of a place sums table values of the last 32 ids,
-    each shifted by its distance, so it depends on these ids alone."""
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        merge = tok.model.tokenize
+        spare = {b: c for b, c in zip((b for b in range(256) if _BYTE[b] is None), map(chr, range(256, 512)))}
+        letters = str.maketrans({b: _BYTE[b] or spare[b] for b in range(256)})
+
+        def whole(text: str) -> list[int]:
+            return tok.encode(text, add_special_tokens=False).ids
+
+        def merged(stem: str) -> list[int]:
+            return [t.id for t in merge(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))]
+
+        self.word_wise, self.whole = _word_wise(json.loads(tok.to_str())), whole
+        self.stems, self.others = _Held(merged, HELD_STEMS), _Held(whole, HELD_WORDS)
+
+    def __call__(self, text: str) -> bytes:
+        return self.all(pa.array([text], pa.string()))[0].tobytes()
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after the other, and how many each has."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.word_wise:
+            parts = [self.whole(t) for t in texts.to_pylist()]
+            return np.fromiter(itertools.chain.from_iterable(parts), np.uint32), np.fromiter(map(len, parts), np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        at = words.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[at])])
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        return _gather(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]), np.diff(upto[ends], prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As all(), of distinct words: a plain one is its stem's ids, then its signs'."""
+        stem = pc.utf8_rtrim(words, characters=_SIGNS_LIST)
+        plain = pc.match_substring_regex(stem, f"^{_LETTERS}+$")
+        parts = [pc.if_else(plain, pc.utf8_lower(stem), words), pc.if_else(plain, pc.utf8_ltrim(words, characters=_LETTERS_LIST), "")]
+        keys = pa.concat_arrays(parts).dictionary_encode()
+        first, then = keys.indices.to_numpy().reshape(2, -1)
+        is_stem = np.zeros(len(keys.dictionary), bool)
+        is_stem[first[plain.to_numpy(zero_copy_only=False)]] = True
+        stems, starts, sizes = self.stems.find(keys.dictionary.filter(pa.array(is_stem)))
+        others, starts_, sizes_ = self.others.find(keys.dictionary.filter(pa.array(~is_stem)))
+        start, size = np.zeros(len(is_stem), np.int64), np.zeros(len(is_stem), np.int64)
+        start[is_stem], size[is_stem] = starts, sizes
+        start[~is_stem], size[~is_stem] = starts_ + len(stems), sizes_
+        both = np.stack([first, then], 1).ravel()
+        return _gather(np.concatenate([stems, others]), start[both], size[both]), size[first] + size[then]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, which keeps what it has met until the stage is over."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def cut(ids: np.ndarray, streams: np.ndarray | None = None) -> np.ndarray:
+    """Ends of the chunks of streams of ids that lie one after the other (streams: their ends; by default one). The hash
+    of a place sums table values of the last 32 ids, each shifted by its distance, so it depends on these ids alone; no chunk
+    is so short that they reach into another stream."""
     n = len(ids)
     h = _GEAR[ids & 0xFFFF] ^ (ids >> np.uint32(16))
     step = 1
@@ -147,11 +186,12 @@ def cut(ids: np.ndarray) -> np.ndarray:
         step *= 2
     marks = np.flatnonzero((h >> np.uint32(32 - MASK_BITS)) == 0) + 1
     ends, at = [], 0
-    for m in [*marks.tolist(), n]:
+    last = set([n] if streams is None else streams.tolist())
+    for m in sorted(last | set(marks.tolist())):
         while m - at > MOST:
             at += MOST
             ends.append(at)
-        if m - at >= LEAST or (m == n and m > at):
+        if m - at >= LEAST or (m in last and m > at):
             ends.append(m)
             at = m
     return np.array(ends, np.int64)
@@ -173,6 +213,18 @@ ADDRESSES = "transform(sequence(0, cast(length(chunks) div 16 as int) - 1), i ->
 RAW = "kind string, address binary, ids binary, doc_id long, n long, chunks binary, root binary"
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of AT_ONCE bytes at most or one row."""
+    lo, held = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if held and held + size > AT_ONCE:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if len(texts):
+        yield lo, len(texts)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -192,23 +244,28 @@ def _encode(path: str):
                 return pa.RecordBatch.from_arrays(arrays, names=["kind", "address", "ids", "doc_id", "n", "chunks", "root"])
 
             held = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.frombuffer(encode(text.as_py() or "") + END_ID.to_bytes(4, "little"), np.uint32)
-                small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
-                addresses, at = [], 0
-                for end in cut(ids).tolist():
-                    data = small[at:end].tobytes()
-                    address = hashlib.blake2b(small.dtype.itemsize.to_bytes(1) + data, digest_size=16).digest()
-                    addresses.append(address)
-                    if address not in sent:
-                        if len(sent) > 50_000:
-                            sent.clear()
-                        sent.add(address)
-                        chunks.append(("chunk", address, small.dtype.itemsize.to_bytes(1) + data, None, end - at, None, None))
-                        held += len(data)
-                    at = end
-                nth += 1  # a recipe's key: 17 bytes, so never a digest, and the same when the task runs again
-                rows.append(("recipe", b"r" + part + nth.to_bytes(8), None, doc_id, len(ids), b"".join(addresses), merkle(addresses)))
+            for lo, hi in _slices(batch.column("text")):
+                ids, counts = encode.all(batch.column("text")[lo:hi])
+                ids = np.insert(ids, np.cumsum(counts), END_ID)
+                ends = np.cumsum(counts + 1)
+                wide = np.maximum.reduceat(ids, ends - counts - 1) >> 16 > 0
+                small, at, cuts = ids.astype("<u2"), 0, iter(cut(ids, ends).tolist())
+                for doc_id, last, is_wide, n in zip(batch.column("doc_id")[lo:hi].to_pylist(), ends.tolist(), wide.tolist(), (counts + 1).tolist()):
+                    addresses, of = [], ids if is_wide else small
+                    while at < last:
+                        end = next(cuts)
+                        data = of.dtype.itemsize.to_bytes(1) + of[at:end].tobytes()
+                        address = hashlib.blake2b(data, digest_size=16).digest()
+                        addresses.append(address)
+                        if address not in sent:
+                            if len(sent) > 50_000:
+                                sent.clear()
+                            sent.add(address)
+                            chunks.append(("chunk", address, data, None, end - at, None, None))
+                            held += len(data)
+                        at = end
+                    nth += 1  # a recipe's key: 17 bytes, so never a digest, and the same when the task runs again
+                    rows.append(("recipe", b"r" + part + nth.to_bytes(8), None, doc_id, n, b"".join(addresses), merkle(addresses)))
                 if held > 4_000_000:
                     yield out()
                     held = 0

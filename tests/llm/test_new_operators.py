@@ -312,3 +312,46 @@ def test_crcs_of_runs_equal_those_of_their_bytes():
     assert got.tolist() == [zlib.crc32(b"".join(r)) for r in runs]
     none = np.zeros(0, np.int64)
     assert len(tokens.crc_combine(none, none, none, tokens._crc_shift())) == 0
+
+
+def test_words_that_a_worker_keeps_take_few_bytes(monkeypatch):
+    """60,000 distinct words, as many stems: what stays when a task's batches are through, in Python's and Arrow's memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(tokens, "_encoders", {})
+    encode = tokens._encode(public_tokenizers.path("word_bpe_49k.json"))
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:06d}")
+    batches = lambda lo, hi: (pa.RecordBatch.from_pydict({"doc_id": [i], "text": [" ".join(map(word, range(i, i + 1000)))]}) for i in range(lo, hi, 1000))
+    rows = sum(b.num_rows for b in encode(batches(900_000, 901_000)))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    rows += sum(b.num_rows for b in encode(batches(0, 60_000)))
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert rows > 61 and kept < 100 * 60_000
+
+
+def test_batches_of_texts_give_the_ids_of_each(monkeypatch):
+    """Texts of a batch share words, signs and white space; a batch is cut by bytes; streams are cut as each alone."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode, rnd = Tokenizer.from_file(path), tokens.encoder(path), random.Random(8)
+    pool = ["Whon,###", "whon", " ", "\n", "\x1c", "\x85", " ", "́", "don't", "<|endoftext|>", "É`", "ÀÉ~~", "7", "日本", "İ", "|", "\x00", "ÿ", "×"]
+    texts = [None, "", " ", *("".join(rnd.choices(pool, k=rnd.randint(1, 9))) for _ in range(2000))]
+    ids, counts = encode.all(pa.array(texts, pa.string()))
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    monkeypatch.setattr(tokens, "AT_ONCE", 10)
+    assert list(tokens._slices(pa.array(["x" * 6, "x" * 4, None, "y" * 30, "", "z"]))) == [(0, 3), (3, 4), (4, 6)]
+    assert not list(tokens._slices(pa.array([], pa.string())))
+    streams = [np.random.default_rng(n).integers(0, 3 if n == 20_000 else 90_000, n).astype(np.uint32) for n in (1, 63, 20_000, 64, 3000, 1, 9000)]
+    ends = np.cumsum([len(s) for s in streams])
+    assert tokens.cut(np.concatenate(streams), ends).tolist() == [c + e - len(s) for s, e in zip(streams, ends.tolist()) for c in tokens.cut(s).tolist()]
