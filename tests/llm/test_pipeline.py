@@ -53,3 +53,31 @@ def test_stages_on_odd_tables(spark, tmp_path):
             assert k == len(P.STAGES) - 1 or docs.columns == columns
         left = docs.collect()
         assert bool(left) == bool(rows) and all(r["n_tokens"] >= 1 for r in left)
+
+
+def test_the_last_stage_keeps_few_bytes_of_words(monkeypatch):
+    """More distinct words than tables hold: what a worker of token_output has at the end takes 100 bytes a place at most."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+    import pytest
+
+    from docaudit.llm import tokens
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    for name, value in (("_encoders", {}), ("HELD_STEMS", 10_000), ("HELD_WORDS", 10_000)):
+        monkeypatch.setattr(tokens, name, value)
+    encode = tokens._encode(public_tokenizers.path("word_bpe_49k.json"))
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:06d}") + "!,"
+    batches = lambda lo, hi: (pa.RecordBatch.from_pydict({"doc_id": [i], "text": [" ".join(map(word, range(i, i + 1000)))]}) for i in range(lo, hi, 1000))
+    assert sum(b.num_rows for b in encode(batches(900_000, 901_000))) > 1
+    tracemalloc.start()
+    held = []
+    for k in range(3):
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        assert sum(b.num_rows for b in encode(batches(k * 30_000, k * 30_000 + 30_000))) > 30
+        held.append(tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before)
+    tracemalloc.stop()
+    assert sum(held) < 100 * 2 * 10_000
