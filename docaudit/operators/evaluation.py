@@ -106,6 +106,14 @@ def overall(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count("*").alias("samples"), F.avg(F.pow(F.col("confidence") - F.col("label"), F.lit(2.0))).alias("brier"))
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """x times 10 ** digits, as the double it is, to the nearest whole number (halves away from 0) and back; a 0 that comes
+    of a negative number or of -0.0 keeps its sign. F.round takes the shortest decimal that stands for x, and drops that sign."""
+    scale = float(10**digits)
+    size = F.round(F.abs(x) * scale) / scale
+    return F.when(x.cast("string").startswith("-"), -size).otherwise(size)
+
+
 def report(labels: DataFrame, group: str = "rule_id", version: str = "rule_version") -> DataFrame:
     """The report in Markdown, as lines (section, key, line) in the order of section and key."""
     spark = labels.sparkSession
@@ -114,12 +122,14 @@ def report(labels: DataFrame, group: str = "rule_id", version: str = "rule_versi
     fixed += [(5, "0", "## Reliability diagram")] + [(5, str(k + 1), h) for k, h in enumerate(BIN_HEAD)]
     o = overall(labels).select(F.lit(2).alias("section"), F.explode(F.array(
         F.struct(F.lit("0").alias("key"), F.format_string("**Ukupno obeleženih uzoraka:** %d", "samples").alias("line")),
-        F.struct(F.lit("1").alias("key"), F.format_string("**Ukupni Brier score:** %.4f", "brier").alias("line")))).alias("x")).select("section", "x.*")
+        F.struct(F.lit("1").alias("key"), F.format_string("**Ukupni Brier score:** %.4f", nearest(F.col("brier"), 4)).alias("line")))).alias("x")).select("section", "x.*")
     r = rule_report(labels, group, version).select(F.lit(4).alias("section"), F.col(group).cast("string").alias("key"), F.format_string(
-        "| %s | %d | %d | %d | %.1f%% | [%.3f, %.3f] | %.3f | %.4f | %s | %s |", group, "tp", "fp", "n", F.col("precision") * 100, "lower", "upper", "width", "brier", "versions", "warning").alias("line"))
+        "| %s | %d | %d | %d | %.1f%% | [%.3f, %.3f] | %.3f | %.4f | %s | %s |", group, "tp", "fp", "n",
+        nearest(F.col("precision") * 100, 1), *[nearest(F.col(c), 3) for c in ("lower", "upper", "width")], nearest(F.col("brier"), 4), "versions", "warning").alias("line"))
     end = F.when(F.col("bin") == 9, "1.0]").otherwise(F.format_string("0.%d)", F.col("bin") + 1))
     b = bin_report(labels).select(F.lit(6).alias("section"), F.format_string("%02d", "bin").alias("key"), F.format_string(
-        "| [0.%d,%s | %d | %.3f | %.3f | %.3f | %.4f |", "bin", end, "n", "predicted", "observed", "difference", "contribution").alias("line"))
+        "| [0.%d,%s | %d | %.3f | %.3f | %.3f | %.4f |", "bin", end, "n",
+        *[nearest(F.col(c), 3) for c in ("predicted", "observed", "difference")], nearest(F.col("contribution"), 4)).alias("line"))
     return spark.createDataFrame(fixed, "section int, key string, line string").unionByName(o).unionByName(r).unionByName(b)
 
 

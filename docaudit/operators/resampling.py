@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.operators.evaluation import normal_cdf
+from docaudit.operators.evaluation import nearest, normal_cdf
 
 # Acklam's approximation of the normal quantile, and where its tails begin.
 CENTRE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -99,4 +99,4 @@ def ratio(numerator: Column, denominator: Column | None = None) -> tuple[dict[st
 
 
 def rounded(found: DataFrame, digits: int = 6) -> DataFrame:
-    return found.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
+    return found.select(*[nearest(F.col(c), digits).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])

@@ -107,3 +107,11 @@ def test_cube_choices_and_filters(spark):
     shown = [(r.doc_id, r.field, r.nth, r.shown) for r in review.choices(x).orderBy("doc_id", "field", "nth").collect()]
     assert shown == [(1, "category", 1, "Razmaci"), (1, "category", 2, "Zagrade"), (1, "section", 1, "s"), (1, "section", 2, "x" * 40 + "..."), (2, "category", 1, "Zagrade"), (2, "section", 1, "s")]
     assert review.filtered(x, category="Zagrade", status="done").count() == 1 and review.filtered(x, auto_only=True).count() == 1 and review.filtered(x).count() == 3
+
+
+def test_rounding_takes_the_double_and_keeps_the_sign_of_zero(spark):
+    """As DuckDB's round and the report's fixed digits have it; 0.52065 lies below the middle."""
+    values = [0.52065, -0.52065, -0.0, 0.0, -0.00004, 0.00005, 2.5, None, float("nan"), 1e300]
+    x = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [repr(r.v) for r in x.select(E.nearest(F.col("v"), 4).alias("v")).collect()] == ["0.5206", "-0.5206", "-0.0", "0.0", "-0.0", "0.0001", "2.5", "None", "nan", "1e+300"]
+    assert [repr(r.v) for r in S.rounded(x.limit(4), 4).collect()] == ["0.5206", "-0.5206", "-0.0", "0.0"]
