@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import new_path, partitions, small_batches
+from docaudit.llm.common import BATCH_ROWS, new_path, partitions, small_batches
 
 END_ID = 1
 #: Chunks end where the hash has MASK_BITS zero bits, after at least LEAST ids and at most MOST.
@@ -225,6 +225,25 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches become one, of AT_ONCE bytes of texts at most and until it has BATCH_ROWS rows."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
+    for b in batches:
+        more = b.column("text").nbytes
+        alone = more > AT_ONCE or b.num_rows >= BATCH_ROWS
+        if held and (alone or size + more > AT_ONCE or rows >= BATCH_ROWS):
+            yield pa.concat_batches(held)
+            held, size, rows = [], 0, 0
+        if alone:
+            yield b
+            continue
+        held.append(b)
+        size, rows = size + more, rows + b.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -233,7 +252,7 @@ def _encode(path: str):
         sent: set[bytes] = set()
         part, nth = TaskContext.get().partitionId().to_bytes(8), 0
 
-        for batch in batches:
+        for batch in _together(batches):
             chunks: list[tuple] = []
             rows: list[tuple] = []
 

@@ -355,3 +355,17 @@ def test_batches_of_texts_give_the_ids_of_each(monkeypatch):
     streams = [np.random.default_rng(n).integers(0, 3 if n == 20_000 else 90_000, n).astype(np.uint32) for n in (1, 63, 20_000, 64, 3000, 1, 9000)]
     ends = np.cumsum([len(s) for s in streams])
     assert tokens.cut(np.concatenate(streams), ends).tolist() == [c + e - len(s) for s, e in zip(streams, ends.tolist()) for c in tokens.cut(s).tolist()]
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "AT_ONCE", 200)
+    monkeypatch.setattr(tokens, "BATCH_ROWS", 4)
+    sizes = [1, 1, 2, 1, 300, 0, 1, 1, 5, 1]  # rows; 300: one row of so many bytes
+    rows = [["x" * 300] if n == 300 else ["ab", None, "c", "", "d"][:n] for n in sizes]
+    batches = [pa.RecordBatch.from_arrays([pa.array(r, pa.string())], names=["text"]) for r in rows]
+    got = list(tokens._together(iter(batches)))
+    assert [b.num_rows for b in got] == [4, 1, 1, 2, 5, 1]
+    assert [t for b in got for t in b.column("text").to_pylist()] == [t for r in rows for t in r]
+    assert not list(tokens._together(iter([])))
