@@ -264,6 +264,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])
         return found.where((100 + percent) * F.col("n") >= percent * F.col("both")).select("a", "b")
 
+    def merged(found: DataFrame, roots: DataFrame) -> DataFrame:
+        """The components with more links. Those so far count as stars, whatever links made them."""
+        return components(found.unionByName(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+
     def open_rows(roots: DataFrame) -> DataFrame:
         """Rows of shingles that more than one component has."""
         now = rows.join(roots, rows["sid"] == roots["id"], "left").select(*rows.columns, F.coalesce("root", "sid").alias("c"))
@@ -273,7 +277,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none = spark.createDataFrame([], "a long, b long")
     tested, links, roots = none, none, spark.createDataFrame([], "id long, root long")
     for turn in range(ROUNDS):
-        now = open_rows(roots)
+        # at first each set is a component, and each shingle has two or more
+        now = open_rows(roots) if turn else rows.withColumn("c", F.col("sid"))
         # first the row whose set has least of its own before the shingle, which lies nearest to the
         # middle of a group; then others, by a number that changes with the round
         pick = F.xxhash64("sid", F.lit(turn)) if turn else F.struct("k", "sid")
@@ -283,11 +288,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = persisted(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             segments = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-            links = links.unionByName(persisted(linked(pairs, segments), "links"))
+            found = persisted(linked(pairs, segments), "links")
             removed(segments)
-            roots = components(links)
+            links, roots = links.unionByName(found), merged(found, roots)
         tested = tested.unionByName(pairs.select("a", "b"))
-        removed(now)
+        if turn:
+            removed(now)
 
     now = open_rows(roots)
     if not now.isEmpty():
@@ -306,16 +312,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         removed(segments)
         near = _pairs(_by_difference(from_hub, percent)).select("a", "b", "both").distinct()
         far = large.where("sid <> hub").join(from_hub.where("near").select("sid", "hub"), ["sid", "hub"], "left_anti").select(*last.columns)
-        left = last.where("hub is null").unionByName(far)
+        # one plan for all of this has so many stages under way at once that the driver's memory grows by them
+        left = persisted(last.where("hub is null").unionByName(far), "left")
         other = left.select("g", F.col("sid").alias("o"), F.col("n").alias("on"), F.col("k").alias("ok"), F.col("c").alias("oc"))
         meet = (F.col("c") != F.col("oc")) & ((F.col("oc") == F.col("main")) | (F.col("sid") < F.col("o"))) & _fits(percent) & _first(percent)
-        apart = enough(_pairs(left.where("c <> main").join(other, "g").where(meet)).select("a", "b", "both", "n", "on").distinct())
+        apart = persisted(enough(_pairs(left.where("c <> main").join(other, "g").where(meet)).select("a", "b", "both", "n", "on").distinct()), "apart")
+        removed(left)
         pairs = persisted(near.unionByName(apart).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         to_hub = from_hub.where("apart and similar").select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
         segments = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-        links = links.unionByName(persisted(linked(pairs, segments).unionByName(to_hub), "links"))
-        removed(last, segments, from_hub, pairs)
-        roots = components(links)
+        found = persisted(linked(pairs, segments).unionByName(to_hub), "links")
+        removed(last, segments, from_hub, apart, pairs)
+        roots = merged(found, roots)
     removed(leads, rows)
     mine = sets.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("id"), "left").select(
         "doc_id", "n", "sid", F.coalesce("root", "sid").alias("c")

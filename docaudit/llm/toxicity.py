@@ -96,7 +96,10 @@ class Classifier:
         if len(labels) == 0 or labels.min() == labels.max():
             return
         rng = np.random.default_rng(seed)
-        used = np.unique(np.concatenate([f.ravel() for f in feats]))
+        there = np.zeros(len(self.table), bool)  # no copy of all features, which lie in the driver
+        for f in feats:
+            there[f] = True
+        used = np.flatnonzero(there)
         self.table[used] = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
         self.training = True
         grad2 = {id(a): np.full(a.shape, 1e-3, np.float32) for a in [self.table, *self.conv, *self.conv_bias, self.out]}
@@ -202,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     t = got.orderBy("doc_id", "toxic").toArrow()
     there = {r["toxic"]: r["count"] for r in mine.groupBy("toxic").count().collect()}
     removed(chosen, got)
-    feats = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in t["words"].to_pylist()]
+    feats = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 3) for x in t["words"]]  # views of what came
     y = t["toxic"].to_numpy().astype(np.float32)
     if not len(y):
         return model

@@ -81,3 +81,42 @@ def test_the_last_stage_keeps_few_bytes_of_words(monkeypatch):
         held.append(tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before)
     tracemalloc.stop()
     assert sum(held) < 100 * 2 * 10_000
+
+
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    """What the driver keeps of a round is its stages and tasks: stars need none, others end with the round that makes stars."""
+    from docaudit.llm import components as C
+
+    written = []
+    monkeypatch.setattr(C, "persisted", lambda df, name, f=C.persisted: written.append(name) or f(df, name))
+    rnd = random.Random(3)
+    links = [(rnd.randint(-60, 60), rnd.randint(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7), (200, 201), (201, 200)]
+    for pairs, most in ((links, 9), ([(9, 3), (3, 5), (3, 9), (4, 20)], 1), ([(1, 2), (2, 3)], 2), ([], 1)):
+        written.clear()
+        got = C.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        root = {x: x for p in pairs if p[0] != p[1] for x in p}
+        for _ in root:
+            for a, b in pairs:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert sorted(map(tuple, got)) == sorted(root.items())
+        assert len(written) <= most
+
+
+def test_the_fit_copies_no_features():
+    """The driver fits the classifier: beside the features that came it holds the tables and their squared gradients only."""
+    import tracemalloc
+
+    import numpy as np
+
+    from docaudit.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    feats = [rng.integers(0, 3 * toxicity.BUCKETS, (40_000, 3), np.int32) for _ in range(50)]  # 24 MB
+    model = toxicity.Classifier()
+    tracemalloc.start()
+    model.fit(feats, np.arange(50, dtype=np.float32) % 2, epochs=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.5 * model.table.nbytes
+    assert (model.table[np.unique(np.concatenate(feats))] != 0).any(1).all()
