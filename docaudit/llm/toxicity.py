@@ -18,6 +18,7 @@ without labels of both classes the score is 0.5 for all and no row is rejected;
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,17 @@ class Classifier:
 
     training = False
 
+    def __getstate__(self) -> dict:
+        """Of the tables only the rows that are not zero, which are those of the words that it was fitted on."""
+        at = np.flatnonzero(self.table.any(1)).astype(np.int32)
+        return self.__dict__ | {"table": (len(self.table), at, self.table[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        n, at, rows = state["table"]
+        self.__dict__.update(state)
+        self.table = np.zeros((n, DIM), np.float32)
+        self.table[at] = rows
+
     def logits(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self._pool(feats, first)[0] @ self.out + self.bias
 
@@ -96,7 +108,7 @@ class Classifier:
         if len(labels) == 0 or labels.min() == labels.max():
             return
         rng = np.random.default_rng(seed)
-        there = np.zeros(len(self.table), bool)  # no copy of all features, which lie in the driver
+        there = np.zeros(len(self.table), bool)  # no copy of all features
         for f in feats:
             there[f] = True
         used = np.flatnonzero(there)
@@ -184,6 +196,23 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _fitted(fit):
+    """The classifier, pickled, that `fit` makes of all examples that come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        feats = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 3) for x in t["words"]]  # views of what came
+        model = Classifier()
+        fit(model, feats, t["toxic"].to_numpy().astype(np.float32))
+        model.fitted = t["doc_id"].unique().to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """doc_id, toxic: the labels that may be learned from."""
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -192,7 +221,7 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic"
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic") -> Classifier:
     """Fits on up to `sample` rows of each class of the labelled training rows; which ones, a hash of
-    the id decides. Only their features come to the driver."""
+    the id decides. One task fits it on their features; only the model comes to the driver, whose memory this spares."""
     mine = labelled(labels, id_col, label_col).withColumn("h", F.xxhash64("doc_id"))
     chosen = [mine.where(F.col("toxic") == v).orderBy("h", "doc_id").limit(sample) for v in (0, 1)]
     chosen = persisted(chosen[0].unionByName(chosen[1]).drop("h"), "labels")
@@ -201,18 +230,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     ).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "toxic", "text")  # at most 2 * sample ids
     # sampled rows hold whole texts, so they come over in pieces
     got = persisted(texts.mapInArrow(_examples, "doc_id long, lang string, toxic int, words binary"), "examples")
-    model = Classifier()
-    t = got.orderBy("doc_id", "toxic").toArrow()
+    # at most 2 * sample rows, in order, as the fit goes by it
+    made = got.coalesce(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(_fitted(Classifier.fit), "model binary").head()
     there = {r["toxic"]: r["count"] for r in mine.groupBy("toxic").count().collect()}
     removed(chosen, got)
-    feats = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 3) for x in t["words"]]  # views of what came
-    y = t["toxic"].to_numpy().astype(np.float32)
-    if not len(y):
-        return model
-    model.fit(feats, y)
+    if made is None:
+        return Classifier()
+    model = pickle.loads(made["model"])
     if model.trained:
         model.bias += np.float32(np.log(max(1.0, there[1] / sample)) - np.log(max(1.0, there[0] / sample)))
-    model.fitted = t["doc_id"].unique().to_pylist()
     return model
 
 

@@ -120,3 +120,36 @@ def test_the_fit_copies_no_features():
     tracemalloc.stop()
     assert most < 3.5 * model.table.nbytes
     assert (model.table[np.unique(np.concatenate(feats))] != 0).any(1).all()
+
+
+def test_the_fit_runs_in_a_task(spark, monkeypatch):
+    """Neither the features nor the fit take the driver's memory; what comes of the model are the rows of words that occur."""
+    import os
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    from docaudit.llm import toxicity
+
+    whole = toxicity.Classifier.fit
+
+    def fit(self, feats, labels):
+        whole(self, feats, labels)
+        self.pid = os.getpid()
+
+    monkeypatch.setattr(toxicity.Classifier, "fit", fit)
+    docs = spark.createDataFrame([(i, f"some {'bad' if i % 3 == 0 else 'good'} word {i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.trained and model.pid != os.getpid()
+    assert model.fitted == sorted(model.fitted) and 30 < len(model.fitted) < 60
+    sent = pickle.dumps(model)
+    assert len(sent) < 100_000 < model.table.nbytes and (pickle.loads(sent).table == model.table).all()
+    # the same model as a fit on the same rows in this process
+    rows = [r for r in docs.orderBy("doc_id").collect() if r["doc_id"] in model.fitted]
+    there = toxicity.Classifier()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r["doc_id"] for r in rows], "lang": ["en"] * len(rows), "toxic": [int(r["doc_id"] % 3 == 0) for r in rows], "text": [r["text"] for r in rows]})
+    (got,) = toxicity._examples(iter([batch]))
+    whole(there, [np.frombuffer(x, np.int32).reshape(-1, 3) for x in got.column("words").to_pylist()], got.column("toxic").to_numpy().astype(np.float32))
+    assert np.allclose(there.table, model.table, atol=1e-5) and np.allclose(there.out, model.out, atol=1e-5)
