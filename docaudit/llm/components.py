@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
     while not _stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # both ends in one scan: the driver sends out a setting for each scan and keeps each stage's tasks
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # a row for each edge at most, so equal ones may wait for the distinct below
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

@@ -274,8 +274,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = now.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
         return persisted(now.join(mixed, "g", "left_semi"), "open")
 
-    none = spark.createDataFrame([], "a long, b long")
-    tested, links, roots = none, none, spark.createDataFrame([], "id long, root long")
+    # known to be empty, these fall out of the plans that they stand in
+    none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
+    tested, links, roots = none, none, none.toDF("id", "root")
     for turn in range(ROUNDS):
         # at first each set is a component, and each shingle has two or more
         now = open_rows(roots) if turn else rows.withColumn("c", F.col("sid"))

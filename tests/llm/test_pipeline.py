@@ -153,3 +153,27 @@ def test_the_fit_runs_in_a_task(spark, monkeypatch):
     (got,) = toxicity._examples(iter([batch]))
     whole(there, [np.frombuffer(x, np.int32).reshape(-1, 3) for x in got.column("words").to_pylist()], got.column("toxic").to_numpy().astype(np.float32))
     assert np.allclose(there.table, model.table, atol=1e-5) and np.allclose(there.out, model.out, atol=1e-5)
+
+
+def test_near_copies_scan_nothing_needless(spark, tmp_path, monkeypatch):
+    """Each scan and stage takes the driver's memory: empty tables are in no plan, and a round of components scans its edges four times at most."""
+    from docaudit.llm import components as C
+    from docaudit.llm import jaccard
+
+    plans = []
+
+    def kept(df, name, f=C.persisted):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return f(df, name)
+
+    monkeypatch.setattr(C, "persisted", kept)
+    monkeypatch.setattr(jaccard, "persisted", kept)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in (10, 30, 50)] + [" ".join(words), " ".join(words), "alone", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = jaccard.near_components(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (5, 5), (6, 6)]
+    assert len(plans) > 8 and not [name for name, plan in plans if "ExistingRDD" in plan]
+    plans.clear()
+    assert C.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).where("root = 0").count() == 10
+    assert max(plan.count("FileScan") for name, plan in plans[1:]) <= 4
