@@ -42,18 +42,34 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < TAIL, tail(low)).when(p > 1 - TAIL, -tail(high)).otherwise(polynomial(q * q, CENTRE_A) * q / polynomial(q * q, CENTRE_B))
 
 
+def digest(key: Column, resample: Column, seed: int = SEED) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), resample.cast("string"), F.lit(":"), key.cast("string")).cast("binary"))
+
+
+def times(drawn: Column) -> Column:
+    """The weight that a digest stands for. Its first 13 digits over 2 ** 52 are compared with POISSON as text, the least first, so
+    that few comparisons are made; the digits that follow don't change what is at or above a cut of 13. 0 for null."""
+    cuts = sorted(f"{math.ceil(c * 2**52):013x}" for c in POISSON if c < 1)
+    out = F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        out = F.when(drawn >= cuts[k], out).otherwise(F.lit(k))
+    return out
+
+
 def weight(key: Column, resample: Column, seed: int = SEED) -> Column:
     """How often a resample has the row with this key: 0, 1, 2..., of mean 1."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), resample.cast("string"), F.lit(":"), key.cast("string")).cast("binary"))
-    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(2**52)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: c <= u))
+    return times(digest(key, resample, seed))
 
 
 def resampled(rows: DataFrame, group: str, key: str, parts: dict[str, Column], resamples: int, seed: int = SEED) -> DataFrame:
-    """group, b and the weighted sum of each part, for each resample that has a row of the group."""
-    x = rows.select(F.col(group), F.col(key).alias("_key"), *[c.cast("double").alias(k) for k, c in parts.items()])
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("_w", weight(F.col("_key"), F.col("b"), seed))
-    return x.where("_w > 0").groupBy(group, "b").agg(*[F.sum(F.col("_w") * F.col(k)).alias(k) for k in parts])
+    """group, b and the weighted sum of each part, for each resample that has a row of the group. Rows are few where their
+    resamples are many, so they are dealt out anew first. Digest and weight are columns of their own, and what isn't drawn
+    is left out only after the sums: a filter on the weight, or a sum over its expression, would take the digest again."""
+    x = rows.select(F.col(group), F.col(key).cast("string").alias("_key"), *[c.cast("double").alias(k) for k, c in parts.items()])
+    x = x.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("_digest", digest(F.col("_key"), F.col("b"), seed))
+    x = x.withColumn("_w", times(F.col("_digest"))).groupBy(group, "b").agg(*[F.sum(F.col("_w") * F.col(k)).alias(k) for k in parts], F.sum("_w").alias("_drawn"))
+    return x.where("_drawn > 0").drop("_drawn")
 
 
 def bootstrap(

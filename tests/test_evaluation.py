@@ -1,6 +1,7 @@
 """Intervals by resampling against numpy, effect sizes of one hot group, the report, cube and filters."""
 
 import hashlib
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -71,6 +72,22 @@ def test_weights_are_poisson(spark):
     assert abs(np.mean(w) - 1) < 0.03 and abs(np.var(w) - 1) < 0.05 and max(w) >= 4
 
 
+def test_weights_are_those_of_the_digest_at_the_cuts(spark):
+    """As text from the least cut on; a digest at a cut is above it."""
+    cuts = [math.ceil(c * 2**52) for c in S.POISSON if c < 1]
+    at = [(f"{v:013x}{tail}", sum(c <= v / 2**52 for c in S.POISSON)) for c in cuts for v in (c - 1, c) for tail in ("0" * 19, "f" * 19)]
+    got = spark.createDataFrame(at, "d string, w int").select("w", S.times(F.col("d")).alias("got")).collect()
+    assert all(r.got == r.w for r in got) and {r.w for r in got} == set(range(len(cuts) + 1))
+
+
+def test_a_row_is_hashed_once_for_a_resample(spark):
+    """Not for each cut, and not again in a filter or in a sum."""
+    x = spark.createDataFrame(rows_of(), "rule_id string, doc_id long, label int, confidence double, size int")
+    parts, _ = S.ratio(F.expr("pow(confidence - label, 2) - pow(0.5 - label, 2)"))
+    plan = S.resampled(x, "rule_id", "doc_id", parts, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "lambda" not in plan
+
+
 def test_intervals_of_nothing(spark):
     x = spark.createDataFrame([], "rule_id string, doc_id long, label int")
     assert S.bootstrap(x, "rule_id", "doc_id", *S.ratio(F.col("label")), resamples=20).count() == 0
