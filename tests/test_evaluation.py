@@ -4,6 +4,7 @@ import hashlib
 import math
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from docaudit.operators import evaluation as E
 from docaudit.operators import resampling as S
 from docaudit.operators import review
+from docaudit.plans import evaluation_sql
 
 NORMAL = NormalDist()
 
@@ -88,6 +90,17 @@ def test_a_row_is_hashed_once_for_a_resample(spark):
     assert plan.count("md5(") == 1 and "lambda" not in plan
 
 
+def test_ratio_of_rows_without_a_label_equals_the_sql(spark):
+    """A resample that draws none of a group's labelled rows has a sum of 0, as in the SQL: the rows that aren't drawn count for 0."""
+    rows = [("a", 1, 1, 10), ("a", 2, None, 20), ("a", 3, None, 7), ("b", 4, 0, 5), ("b", 5, 1, 9), ("b", None, 1, 3), ("c", 6, None, 4), ("c", 7, None, 4)]
+    x = spark.createDataFrame(rows, "rule_id string, doc_id long, label int, n_chars int")
+    got = S.rounded(S.bootstrap(x, "rule_id", "doc_id", *S.ratio(F.expr("n_chars * label"), F.expr("n_chars")), resamples=200))
+    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+    lab = f"WITH lab AS (SELECT * FROM (VALUES {values}) t(rule_id, doc_id, label, n_chars))"
+    want = duckdb.sql(evaluation_sql.bootstrap(lab, "rule_id", "doc_id", "n_chars * label", "n_chars", resamples=200)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_intervals_of_nothing(spark):
     x = spark.createDataFrame([], "rule_id string, doc_id long, label int")
     assert S.bootstrap(x, "rule_id", "doc_id", *S.ratio(F.col("label")), resamples=20).count() == 0
