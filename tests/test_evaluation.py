@@ -101,6 +101,14 @@ def test_ratio_of_rows_without_a_label_equals_the_sql(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_few_rows_are_dealt_out_before_they_are_resampled(spark):
+    """Else the resamples of all rows that lie in one partition are one task's."""
+    x = spark.createDataFrame(rows_of(), "rule_id string, doc_id long, label int, confidence double, size int").coalesce(1)
+    found = S.resampled(x, "rule_id", "doc_id", S.ratio(F.col("label"))[0], 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in plan[plan.index("Generate explode") :] and found.count() == 3 * 50 + sum(drawn(10_000, b) > 0 for b in range(50))
+
+
 def test_intervals_of_nothing(spark):
     x = spark.createDataFrame([], "rule_id string, doc_id long, label int")
     assert S.bootstrap(x, "rule_id", "doc_id", *S.ratio(F.col("label")), resamples=20).count() == 0
